@@ -138,6 +138,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # calendar days of the oracle are UTC
         self.dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
