@@ -1 +1,7 @@
 """Match-history analytics for many players, written as plain Spark jobs."""
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
