@@ -124,3 +124,10 @@ def event_dimension(matches: DataFrame, overrides: DataFrame | None = None) -> D
     return dim.select("event_key", C.event_family().alias("family"),
                       C.is_constructed_event().alias("constructed_eligible"),
                       C.match_mode().alias("event_mode"), label.alias("event_label"))
+
+
+def with_event_labels(rows: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Add ``event_label``: each distinct key is translated once and joined back."""
+    dim = event_dimension(rows, overrides).select("event_key", "event_label")
+    return (rows.join(dim, "event_key", "left")
+            .withColumn("event_label", F.coalesce("event_label", F.lit(NO_EVENT))))

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import classify as C
-from ..functions.event_labels import friendly_event
+from ..functions.event_labels import with_event_labels
 from ..functions.winrate import count_where, is_loss, is_win, rate_columns
 from ..scope import Scope
 from ..session import cut_lineage
@@ -59,10 +59,10 @@ def journey_days(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     dated = rows.filter("play_day is not null")
     base = side_summary(dated, [*keys, "play_day"]).select(
         *keys, "play_day", "matches", "wins", "losses", "unknown_result", "wr", "play", "draw", "unknown_side")
-    labels = (dated.filter("event_key is not null").select(*keys, "play_day", "event_key").distinct()
-              .withColumn("label", friendly_event()))
+    labels = with_event_labels(
+        dated.filter("event_key is not null").select(*keys, "play_day", "event_key").distinct())
     events = labels.groupBy(*keys, "play_day").agg(
-        F.array_join(F.slice(F.array_sort(F.collect_set("label")), 1, 4), ",").alias("events"))
+        F.array_join(F.slice(F.array_sort(F.collect_set("event_label")), 1, 4), ",").alias("events"))
     version = F.nullif(F.trim("my_deck_version"), F.lit(""))
     first_use = (dated.withColumn("version", version).filter("version is not null")
                  .groupBy(*keys, "play_day", "version").agg(F.min(F.struct("start_time", "match_id")).alias("at")))
@@ -109,8 +109,9 @@ def deck_records(rows: DataFrame, games: DataFrame, commanders: DataFrame, keys:
     cards = (opponent_cards(rows.select("match_id", "my_seat", "event_key"), commanders, brawl_only=True)
              .groupBy("match_id").agg(F.array_sort(F.collect_set("grp_id")).alias("opp_cards")))
     own = nested_games(games.join(rows.select("match_id"), "match_id", "left_semi"))
-    return rows.join(cards, "match_id", "left").join(own, "match_id", "left").select(
-        *keys, "match_id", "start_time", "event_key", friendly_event().alias("event_label"), "play_draw", "my_result",
+    out = with_event_labels(rows).join(cards, "match_id", "left").join(own, "match_id", "left")
+    return out.select(
+        *keys, "match_id", "start_time", "event_key", "event_label", "play_draw", "my_result",
         "my_deck_tag", "my_deck_version", "source", F.coalesce("match_mode", F.lit("unknown")).alias("match_mode"),
         C.is_constructed_event().alias("type_eligible"), "opp_archetype_tag", "games",
         F.coalesce("opp_cards", F.array().cast("array<string>")).alias("opp_cards"))

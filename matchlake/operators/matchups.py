@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import classify as C
-from ..functions.event_labels import friendly_event
+from ..functions.event_labels import with_event_labels
 from ..functions.winrate import count_where, is_decided, is_loss, is_win, pct, rate_columns, side_counts
 from ..scope import Scope
 from .overview import mulligan_state, single_mode_events, top_ranked
@@ -193,12 +193,12 @@ def match_page(matches: DataFrame, games: DataFrame, mulligans: DataFrame, comma
     own_games = nested_games(games.join(ids.select("match_id"), "match_id", "left_semi"))
     labels = deck_labels(matches).select("player_id", "my_deck_id", "limited_label")
     sole = single_mode_events(matches).withColumn("mode_sole", F.lit(True))
-    out = (page.join(kept, "match_id", "left").join(cards, "match_id", "left").join(own_games, "match_id", "left")
+    out = (with_event_labels(page).join(kept, "match_id", "left").join(cards, "match_id", "left").join(own_games, "match_id", "left")
            .join(labels, ["player_id", "my_deck_id"], "left").join(sole, ["player_id", "event_key"], "left"))
     empty = F.array().cast("array<string>")
     brawl = C.is_brawl()
     return out.select(
-        "player_id", "position", "match_id", "event_key", friendly_event().alias("event_label"), "start_time",
+        "player_id", "position", "match_id", "event_key", "event_label", "start_time",
         "duration_sec", "opponent_name", "play_draw", C.scoop_note().alias("side_note"), "my_result",
         "end_reason", "total_turns", "is_abnormal", "is_bot", "my_deck_tag", "my_deck_id", "my_deck_version",
         F.coalesce("limited_label", F.nullif("my_deck_tag", F.lit(""))).alias("deck_label"), "source",
