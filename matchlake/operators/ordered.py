@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 MAX_HOT = 10_000
 TARGET_ROWS = 1_000_000
 CHUNK = "_chunk"
@@ -78,23 +80,22 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], sums:
             lasts: dict[str, Column] | None = None, mins: dict[str, Column] | None = None) -> DataFrame:
     """Inclusive running sums / last non-NULL values / minima over (chunk, order) within the key.
 
-    The window runs per (key, chunk); chunk totals are scanned in a second window of one row per chunk
-    and joined back, so no task ever holds a whole heavy key.
+    (keys, chunk, order) must identify a row. Only those columns and the inputs are scanned: they are
+    written once, windowed per (key, chunk), and corrected by a second window over one row per chunk, so
+    no task holds a whole heavy key. The results are joined back to the wide rows on the row's identity.
     """
     sums, lasts, mins = sums or {}, lasts or {}, mins or {}
-    src = df
-    for name, col in {**sums, **lasts, **mins}.items():
-        src = src.withColumn(f"_v_{name}", col)
+    named = {**sums, **lasts, **mins}
+    ident = [*keys, chunk, *order]
+    narrow = cut_lineage(df.select(*ident, *[c.alias(f"_v_{n}") for n, c in named.items()]))
     w = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = src
-    for name in sums:
-        out = out.withColumn(f"_l_{name}", F.coalesce(F.sum(f"_v_{name}").over(w), F.lit(0)))
-    for name in lasts:
-        out = out.withColumn(f"_l_{name}", F.last(f"_v_{name}", ignorenulls=True).over(w))
-    for name in mins:
-        out = out.withColumn(f"_l_{name}", F.min(f"_v_{name}").over(w))
+    local = narrow.select(
+        *ident,
+        *[F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)).alias(f"_l_{n}") for n in sums],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(w).alias(f"_l_{n}") for n in lasts],
+        *[F.min(f"_v_{n}").over(w).alias(f"_l_{n}") for n in mins])
     pos = F.struct(*order)
-    totals = src.groupBy(*keys, chunk).agg(
+    totals = narrow.groupBy(*keys, chunk).agg(
         *[F.coalesce(F.sum(f"_v_{n}"), F.lit(0)).alias(f"_t_{n}") for n in sums],
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), pos)).alias(f"_t_{n}") for n in lasts],
         *[F.min(f"_v_{n}").alias(f"_t_{n}") for n in mins])
@@ -104,12 +105,11 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], sums:
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
         *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in mins])
-    out = out.join(carried, [*keys, chunk])
-    for name in sums:
-        out = out.withColumn(name, F.col(f"_l_{name}") + F.col(f"_c_{name}"))
-    for name in lasts:
-        out = out.withColumn(name, F.coalesce(f"_l_{name}", f"_c_{name}"))
-    for name in mins:
-        out = out.withColumn(name, F.least(f"_l_{name}", f"_c_{name}"))
-    scratch = [f"_{p}_{n}" for n in {**sums, **lasts, **mins} for p in "vlc"]
-    return out.drop(*scratch)
+    out = local.join(carried, [*keys, chunk]).select(
+        *ident,
+        *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums],
+        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in lasts],
+        *[F.least(f"_l_{n}", f"_c_{n}").alias(n) for n in mins])
+    if set(df.columns) <= set(ident):
+        return out
+    return df.join(out, ident)

@@ -40,3 +40,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="matchlake-checkpoint-", dir=os.environ.get("TMPDIR"))
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one the session names (a temporary one only in local mode)."""
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="matchlake-", dir=os.environ.get("TMPDIR"))
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
