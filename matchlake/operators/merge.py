@@ -20,13 +20,19 @@ def _with_arrival(df: DataFrame, value) -> DataFrame:
     return df if "arrival" in df.columns else df.withColumn("arrival", F.lit(value).cast("bigint"))
 
 
-def merge_matches(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def _together(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    if existing is None:
+        return _with_arrival(incoming, 0)
+    return _with_arrival(existing, -1).unionByName(_with_arrival(incoming, 0), allowMissingColumns=True)
+
+
+def merge_matches(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     """One row per match. Per column the newest known value wins, except: the source is that of the
     newest record, turns are the maximum, and the first non-empty deck name stays.
 
     ``incoming`` may hold several records of a match, ordered by ``arrival`` (>= 0).
     """
-    both = _with_arrival(existing, -1).unionByName(_with_arrival(incoming, 0), allowMissingColumns=True)
+    both = _together(existing, incoming)
     at = F.col("arrival")
     have = [c for c in LAST_KNOWN if c in both.columns]
     named = F.coalesce(F.col("my_deck_tag"), F.lit("")) != ""
@@ -39,23 +45,23 @@ def merge_matches(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.withColumn("total_turns", turns).withColumn("is_abnormal", F.lit(0)).drop("_turns", "_n")
 
 
-def merge_games(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    both = _with_arrival(existing, -1).unionByName(_with_arrival(incoming, 0), allowMissingColumns=True)
+def merge_games(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    both = _together(existing, incoming)
     rest = [c for c in both.columns if c not in ("match_id", "game_no", "arrival")]
     return both.groupBy("match_id", "game_no").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(c) for c in rest])
 
 
-def merge_mulligans(existing: DataFrame, incoming: DataFrame, matches: DataFrame) -> DataFrame:
+def merge_mulligans(existing: DataFrame | None, incoming: DataFrame, matches: DataFrame) -> DataFrame:
     """Highest kept_on per (match, game, seat); a missing seat is the player's own."""
-    both = existing.unionByName(incoming)
+    both = incoming if existing is None else existing.unionByName(incoming)
     seats = matches.select("match_id", "my_seat")
     own = both.join(seats, "match_id", "left").withColumn("seat", F.coalesce("seat", "my_seat"))
     return own.groupBy("match_id", "game_no", "seat").agg(F.max("kept_on").alias("kept_on"))
 
 
-def merge_commanders(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    both = _with_arrival(existing, -1).unionByName(_with_arrival(incoming, 0), allowMissingColumns=True)
+def merge_commanders(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    both = _together(existing, incoming)
     return both.groupBy("match_id", "seat", "grp_id").agg(F.min_by("partner_idx", "arrival").alias("partner_idx"))
 
 

@@ -52,7 +52,8 @@ def open_matches(events: DataFrame, identities: DataFrame) -> DataFrame:
         "owner", "file", "chunk", "pos", "seg", F.coalesce(config["matchId"], F.lit("?")).alias("match_id"),
         F.coalesce(config["eventId"], F.expr("get(filter(players, p -> p.eventId is not null), 0).eventId")).alias("event_key"),
         F.col("ts").alias("start_ts"), team.alias("my_team"), F.coalesce(_int("me.systemSeatId"), team).alias("my_seat"),
-        F.col("opp.playerName").alias("opponent_name"), F.col("opp.platformId").alias("opponent_platform"))
+        F.col("opp.playerName").alias("opponent_name"), F.col("opp.platformId").alias("opponent_platform"),
+        "players")
 
 
 # ---- decks ----------------------------------------------------------------------------------
@@ -291,5 +292,8 @@ def rebuild_facts(payloads: DataFrame, identities: DataFrame | None = None,
         F.col("deck.version").alias("my_deck_version"))
     orphans = entries.join(starts.select("match_id").distinct(), "match_id", "left_anti").select(
         "match_id", F.struct("at", "i").alias("entry_no"), "scope", F.col("winner").alias("winning_team"), "reason")
-    return {"matches": matches, "games": games, "mulligans": mulligans_from(line, starts),
+    rosters = starts.select("match_id", F.col("owner").alias("player_id"), "players")
+    results = entries.select("match_id", F.struct("at", "i").alias("entry_no"), "scope",
+                             F.col("winner").alias("winning_team"), "reason")
+    return {"rosters": rosters, "results": results, "decks": decks, "matches": matches, "games": games, "mulligans": mulligans_from(line, starts),
             "commanders": commanders_from(events, starts), "ranks": ranks_from(events), "orphans": orphans}

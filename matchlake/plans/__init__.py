@@ -1,7 +1,7 @@
 """Named queries over the test tables: one module per topic, all registered in ``catalog``."""
 from importlib import import_module
 
-MODULES = ("overview", "decks", "sequences", "compare", "identity", "facts", "merge", "logs")
+MODULES = ("overview", "decks", "sequences", "compare", "identity", "facts", "merge", "logs", "imports", "streaming")
 
 
 def load_all():

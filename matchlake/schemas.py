@@ -63,14 +63,12 @@ RANKS = T.StructType([
 ])
 
 HISTORY_LINE = T.StructType([
-    T.StructField("player", T.StringType()),
+    T.StructField("player_id", T.StringType()),
     T.StructField("ts", T.LongType()),
+    T.StructField("dur", T.LongType()),
     T.StructField("deck", T.StringType()),
-    T.StructField("deck_name", T.StringType()),
+    T.StructField("deck_id", T.StringType()),
     T.StructField("event", T.StringType()),
-    T.StructField("opponent", T.StringType()),
     T.StructField("on_play", T.IntegerType()),
-    T.StructField("won", T.IntegerType()),
-    T.StructField("turns", T.IntegerType()),
-    T.StructField("duration", T.DoubleType()),
+    T.StructField("win", T.IntegerType()),
 ])
