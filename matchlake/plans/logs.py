@@ -6,7 +6,7 @@ from ..operators import sessions as SE
 from ..sources import logs as LG
 from ..session import cut_lineage, scratch_dir
 from .catalog import CNT, cnt, query
-from .views import DUCK, SPARK, match_columns
+from .views import DUCK, EVENTS_DUCK, SPARK, match_columns
 
 _BO3 = "(event_key='Traditional_Ladder' and my_result is not null and play_draw is not null)"
 _LATE = "(match_id%9=0 and match_id%17<>0)"
@@ -75,7 +75,7 @@ def _lines_expr():
 
 def _rows(t):
     cols = match_columns(SPARK, null_times=False)
-    return t.raw("events").selectExpr(*cols, f"{SPARK['K']} as K")
+    return t.events.selectExpr(*cols, "K")
 
 
 def log_lines(t):
@@ -84,8 +84,10 @@ def log_lines(t):
                       for c, o, x in _lines_expr())
     rows = _rows(t).select("match_id", "player_id", F.explode(F.expr(f"array_compact(array({parts}))")).alias("l"))
     pos = F.col("match_id") * 100 + F.col("l.off")
-    return rows.select(F.concat(F.lit("UTC_Log_"), "player_id").alias("file"),
-                       F.floor(pos / 100000).alias("chunk"), pos.alias("pos"), F.col("l.text").alias("text"))
+    lines = rows.select(F.concat(F.lit("UTC_Log_"), "player_id").alias("file"),
+                        F.floor(pos / 100000).alias("chunk"), pos.alias("pos"), F.col("l.text").alias("text"))
+    # stands in for log files on disk: written once, one piece per file split
+    return cut_lineage(lines.repartition("file", "chunk"))
 
 
 def payloads(t, lines=None):
@@ -97,7 +99,7 @@ def _facts(t):
     return SE.rebuild_facts(payloads(t))
 
 
-_ML = "ml as (select " + ", ".join(match_columns(DUCK, null_times=False)) + f", {DUCK['K']} as K from events)"
+_ML = "ml as (select " + ", ".join(match_columns(DUCK, null_times=False)) + f", K from {EVENTS_DUCK})"
 _STAMPS = """stamps as (select player_id, match_id*100+10 as pos, start_time as ts from ml where match_id%7<>0
     union all select player_id, match_id*100+90, start_time+60000 from ml where match_id%13<>0)"""
 _DECK = """dk as (select player_id, event_key, match_id as did from ml where match_id%4=0),

@@ -7,22 +7,25 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SPARK = {
-    "K": "cast(get_json_object(props,'$.k') as int)",
+    "K": "K",
     "STR": "string",
     "MS": "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {})",
     "FLOORDIV": "({} div {})",
 }
 DUCK = {
-    "K": "cast(json_extract_string(props,'$.k') as int)",
+    "K": "K",
     "STR": "varchar",
     "MS": "(epoch_us({}) // 1000)",
     "FLOORDIV": "({} // {})",
 }
 
 TODAY = "2024-01-20"
+# the number inside ``props``, read once per row
+SPARK_K = "cast(get_json_object(props,'$.k') as int)"
+EVENTS_DUCK = "(select *, cast(json_extract_string(props,'$.k') as int) as K from events)"
 
 _MODE = """case when {E} like 'Traditional%' or {E} like 'TradDraft\\_%' escape '\\' then 'BO3'
   when {E} in ('Ladder','Play','Play_Brawl_Historic') or {E} like 'QuickDraft%' or {E} like 'PickTwoDraft%'
@@ -112,12 +115,12 @@ def _select(template: str, d: dict) -> str:
 
 
 def duck_views() -> dict[str, str]:
-    m = "select " + ", ".join(match_columns(DUCK)) + " from events"
-    dense = "select " + ", ".join(match_columns(DUCK, "user_id%25", null_times=False)) + " from events"
+    m = "select " + ", ".join(match_columns(DUCK)) + f" from {EVENTS_DUCK}"
+    dense = "select " + ", ".join(match_columns(DUCK, "user_id%25", null_times=False)) + f" from {EVENTS_DUCK}"
     return {
         "m": m, "md": dense,
         "g": _select(GAMES, DUCK), "c": _select(COMMANDERS, DUCK), "mu": _select(MULLIGANS, DUCK),
-        "r": _select(RANKS, DUCK), "cards": _select(CARDS, DUCK), "tied": _select(TIED, DUCK),
+        "r": _select(RANKS, DUCK).replace("from events", f"from {EVENTS_DUCK}"), "cards": _select(CARDS, DUCK), "tied": _select(TIED, DUCK),
     }
 
 
@@ -144,17 +147,21 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return self.raw("events").withColumn("K", F.expr(SPARK_K))
+
     def _run(self, template: str, table: str) -> DataFrame:
         text = _select(template, SPARK).replace(f"from {table}", "from {src}")
-        return self.spark.sql(text, src=self.raw(table))
+        return self.spark.sql(text, src=self.events if table == "events" else self.raw(table))
 
     @cached_property
     def m(self) -> DataFrame:
-        return self.raw("events").selectExpr(*match_columns(SPARK))
+        return self.events.selectExpr(*match_columns(SPARK))
 
     @cached_property
     def md(self) -> DataFrame:
-        return self.raw("events").selectExpr(*match_columns(SPARK, "user_id%25", null_times=False))
+        return self.events.selectExpr(*match_columns(SPARK, "user_id%25", null_times=False))
 
     @cached_property
     def g(self) -> DataFrame:

@@ -1,5 +1,7 @@
 from datetime import date
 
+import pytest
+
 from helpers import BASE, DAY_MS, as_set, matches, results, row, sides
 from matchlake.operators import compare as P, facts as X, report as RP
 from matchlake.operators.matchups import match_set_summary
@@ -23,64 +25,83 @@ def test_comparison_needs_history(spark):
     assert (item.status, item.headline) == ("lower", True)
 
 
-def test_single_match_day(spark):
-    got = kinds(X.fact_candidates(sides(spark, "P")))
+def scenario(player, rows):
+    return [dict(r, player_id=player, match_id=player * 1000 + r["match_id"]) for r in rows]
+
+
+SIDE = {"P": "play", "D": "draw"}
+RESULT = {"w": "win", "l": "loss"}
+PAST = [row(i, start_time=BASE + i * DAY_MS, my_result="loss", opponent_name="Ann", commanders=["7"]) for i in range(3)]
+TODAY = [row(50 + i, start_time=BASE + 300 * DAY_MS + i * 1000, my_result=r, opponent_name="Ann", commanders=["7"])
+         for i, r in enumerate(["win", "loss"])]
+SCENARIOS = {
+    1: [row(0)],
+    2: [row(i, play_draw=SIDE[c]) for i, c in enumerate("DDDD")],
+    3: [row(i, play_draw=SIDE[c]) for i, c in enumerate("DDPDD")],
+    4: [row(i, my_result="win" if i % 4 else "loss", play_draw="play" if i % 3 else "draw") for i in range(20)],
+    5: [row(i, my_result=RESULT[c], duration_sec=30.0) for i, c in enumerate("lllwww")],
+    6: PAST + TODAY,
+    7: TODAY,
+    8: [row(i, start_time=BASE + (i // 99) * DAY_MS + i) for i in range(102)],
+    9: [row(i, opponent_name="Bob", commanders=["9"]) for i in range(3)],
+}
+
+
+@pytest.fixture(scope="module")
+def told(spark):
+    """All scenarios in one job: player -> day -> kind -> row."""
+    rows = [r for p, rs in SCENARIOS.items() for r in scenario(p, rs)]
+    out = {}
+    for r in X.fact_candidates(matches(spark, rows)).collect():
+        out.setdefault(r.player_id, {}).setdefault(str(r.play_day), {})[r.kind] = r
+    return out
+
+
+def test_single_match_day(told):
+    got = told[1]["2024-01-01"]
     assert set(got) == {"single"} and got["single"].detail == "win"
 
 
-def test_hot_day_and_side_streak(spark):
-    got = kinds(X.fact_candidates(sides(spark, "DDDD")))
+def test_hot_day_and_side_streak(told):
+    got = told[2]["2024-01-01"]
     assert got["hot_wr"].level == "legendary" and got["play_draw_streak"].n == 4
     assert "pd_skew" not in got  # the streak already covers it
-    got = kinds(X.fact_candidates(sides(spark, "DDPDD")))
-    assert got["pd_skew"].n == 4
+    assert told[3]["2024-01-01"]["pd_skew"].n == 4
 
 
-def test_marathon_drops_weak_signals(spark):
-    rows = matches(spark, [row(i, my_result="win" if i % 4 else "loss", play_draw="play" if i % 3 else "draw")
-                           for i in range(20)])
-    got = kinds(X.fact_candidates(rows))
+def test_marathon_drops_weak_signals(told):
+    got = told[4]["2024-01-01"]
     assert got["volume"].level == "legendary" and "hot_wr" not in got and "pd_skew" not in got
 
 
-def test_arc_and_blitz(spark):
-    got = kinds(X.fact_candidates(results(spark, "lllwww", duration_sec=30.0)))
+def test_arc_and_blitz(told):
+    got = told[5]["2024-01-01"]
     assert got["arc"].detail == "comeback:3:3" and got["blitz"].n == 6
 
 
-def test_history_facts_use_only_earlier_days(spark):
-    past = [row(i, start_time=BASE + i * DAY_MS, my_result="loss", opponent_name="Ann", commanders=["7"]) for i in range(3)]
-    today = [row(50 + i, start_time=BASE + 300 * DAY_MS + i * 1000, my_result=r, opponent_name="Ann", commanders=["7"])
-             for i, r in enumerate(["win", "loss"])]
-    rows = matches(spark, past + today)
-    got = {r.kind: r for r in X.fact_candidates(rows).filter("play_day > '2024-06-01'").collect()}
-    assert "revenge" in got and "nemesis" in got and got["rare_commander"].detail == "297"
-    first = {r.kind for r in X.fact_candidates(matches(spark, today)).collect()}
-    assert not first & {"revenge", "nemesis", "rare_commander"}
+def test_history_facts_use_only_earlier_days(told):
+    got = told[6]["2024-10-27"]
+    assert "revenge" in got and "nemesis" in got and got["rare_commander"].detail == "298"
+    assert not set(told[7]["2024-10-27"]) & {"revenge", "nemesis", "rare_commander"}
 
 
-def test_milestone(spark):
-    rows = matches(spark, [row(i, start_time=BASE + (i // 99) * DAY_MS + i) for i in range(102)])
-    got = X.fact_candidates(rows).filter("kind = 'milestone'").collect()
-    assert [(str(r.play_day), r.detail) for r in got] == [("2024-01-02", "100")]
+def test_milestone(told):
+    assert {d: k["milestone"].detail for d, k in told[8].items() if "milestone" in k} == {"2024-01-02": "100"}
 
 
-def test_repeat_opponent_and_card_run(spark):
-    rows = matches(spark, [row(i, opponent_name="Bob", commanders=["9"]) for i in range(3)])
-    got = kinds(X.fact_candidates(rows))
+def test_repeat_opponent_and_card_run(told):
+    got = told[9]["2024-01-01"]
     assert got["repeat_opponent"].detail == "Bob"
     assert (got["repeat_commander"].level, got["repeat_commander"].n) == ("legendary", 3)
 
 
-def test_two_slots_have_different_themes(spark):
-    rows = matches(spark, [row(i, play_draw="draw", opponent_name="Bob", commanders=["9"]) for i in range(6)])
-    picked = X.daily_facts(rows).collect()
-    assert len(picked) == 2 and len({r.theme for r in picked}) == 2
-
-
-def test_freshness_counts_the_week_before(spark):
-    rows = matches(spark, [row(d * 10 + i, start_time=BASE + d * DAY_MS + i * 1000) for d in range(9) for i in range(4)])
-    seen = {str(r.play_day): r.seen for r in X.daily_facts(rows).filter("kind = 'hot_wr'").collect()}
+def test_slots_and_freshness(spark):
+    busy = scenario(1, [row(i, play_draw="draw", opponent_name="Bob", commanders=["9"]) for i in range(6)])
+    week = scenario(2, [row(d * 10 + i, start_time=BASE + d * DAY_MS + i * 1000) for d in range(9) for i in range(4)])
+    picked = X.daily_facts(matches(spark, busy + week)).collect()
+    mine = [r for r in picked if r.player_id == 1]
+    assert len(mine) == 2 and len({r.theme for r in mine}) == 2
+    seen = {str(r.play_day): r.seen for r in picked if r.player_id == 2 and r.kind == "hot_wr"}
     assert seen["2024-01-01"] == 0 and seen["2024-01-02"] == 1 and seen["2024-01-09"] == 7
 
 
