@@ -111,7 +111,9 @@ def name_coverage(commanders: DataFrame, cards: DataFrame, sample: int = 5) -> D
     totals = joined.agg(F.count(F.lit(1)).alias("used"), F.count("has").alias("named"))
     first = joined.filter("has is null").select("grp_id").orderBy("grp_id").limit(sample)
     missing = first.agg(F.array_join(F.array_sort(F.collect_list("grp_id")), ",").alias("sample_missing"))
-    return totals.crossJoin(missing).select(
+    both = totals.unionByName(missing, allowMissingColumns=True)
+    return both.agg(F.max("used").alias("used"), F.max("named").alias("named"),
+                    F.max("sample_missing").alias("sample_missing")).select(
         "used", "named", (F.col("used") - F.col("named")).alias("missing"), "sample_missing")
 
 

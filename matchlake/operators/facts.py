@@ -37,6 +37,8 @@ RARE_DAYS, RARE_LEGENDARY_DAYS = 180, 365
 FRESH_DAYS = 7
 SECOND_SHARE = 0.3
 # ---------------------------------------------------------------------------------------------
+NEEDED = [*DAY, "match_id", "start_time", "event_key", "my_result", "play_draw", "my_deck_id", "duration_sec",
+          "opponent_name", "is_bot", "commanders"]
 # candidate order decides ties, as listed here
 ORDER = ("single", "volume", "hot_wr", "play_draw_streak", "pd_skew", "repeat_commander", "repeat_opponent", "arc",
          "blitz", "limited_run", "milestone", "revenge", "nemesis", "rare_commander")
@@ -215,11 +217,15 @@ def filter_for_volume(candidates: DataFrame, base: DataFrame) -> DataFrame:
 
 def fact_candidates(rows: DataFrame, rare_days: int = RARE_DAYS,
                     legendary_days: int = RARE_LEGENDARY_DAYS) -> DataFrame:
-    """Every candidate fact of every (player, day). ``rows`` are enriched, dated match rows."""
-    base = day_totals(rows)
-    streaks = streak_facts(rows, base)
+    """Every candidate fact of every (player, day). ``rows`` are enriched, dated match rows.
+
+    The needed columns and the day-level tables are written once, since several kinds of fact read them.
+    """
+    rows = cut_lineage(rows.select(*NEEDED))
+    base = cut_lineage(day_totals(rows))
+    streaks = cut_lineage(streak_facts(rows, base))
     parts = [drop_covered_skew(simple_facts(base), streaks), streaks,
-             card_facts(rows, cards_per_day(rows), base, rare_days, legendary_days),
+             card_facts(rows, cut_lineage(cards_per_day(rows)), base, rare_days, legendary_days),
              opponent_facts(opponents_per_day(rows), base), arc_facts(rows, base), run_facts(rows, base)]
     out = parts[0].select(*OUT)
     for p in parts[1:]:

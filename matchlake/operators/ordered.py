@@ -49,18 +49,19 @@ def mark_ties(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
 
 
 def islands(df: DataFrame, keys: list[str], time: str, tie: str, state: str,
-            attrs: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
+            attrs: tuple[str, ...] = (), flags: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Maximal runs of equal ``state`` in (time, tie) order, over a chunked frame.
 
     One row per run: keys, state, ``len``, ``head`` and ``tail`` structs (time, tie, *attrs of the first
-    and last row) and the maximum of each boolean flag. NULL is a state of its own.
+    and last row) and the maximum of each boolean flag. NULL is a state of its own. With ``weight`` the
+    length is the sum of that column (runs of runs).
     """
     w = Window.partitionBy(*keys, CHUNK).orderBy(time, tie)
     changed = ~F.lag(state).over(w).eqNullSafe(F.col(state)) | (F.row_number().over(w) == 1)
     row = F.struct(F.col(time).alias("time"), F.col(tie).alias("tie"), *attrs)
     marked = df.withColumn("_change", changed.cast("int")).withColumn("_island", F.sum("_change").over(w))
     local = marked.groupBy(*keys, CHUNK, "_island", state).agg(
-        F.count(F.lit(1)).alias("len"), F.min(row).alias("head"), F.max(row).alias("tail"),
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("len"), F.min(row).alias("head"), F.max(row).alias("tail"),
         *[F.max(f).alias(f) for f in flags])
     chunk_only = Window.partitionBy(*keys, CHUNK)
     edge = (F.col("_island") == 1) | (F.col("_island") == F.max("_island").over(chunk_only))

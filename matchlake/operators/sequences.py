@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C
 from ..functions.winrate import is_decided
+from ..session import cut_lineage
 from .ordered import chunked, islands, mark_ties
 
 EXACT_STEPS = 2000
@@ -76,16 +77,18 @@ def streak_observations(rows: DataFrame, keys: list[str], min_length: int = 3,
                         target_rows: int | None = None) -> DataFrame:
     """Best run per side (longest, then latest) with the scan probability over all confirmable blocks."""
     undated = rows.filter("start_time is null").select(*keys).distinct()
-    prepared = _side_rows(rows.join(undated, keys, "left_anti"), keys, target_rows)
-    prepared = prepared.withColumn("sided", F.col("side").isNotNull())
-    runs = islands(prepared, keys, "start_time", "match_id", "side", attrs=("sided",)).filter("side is not null")
-    best = runs.groupBy(*keys, "side").agg(F.max_by(
+    prepared = _side_rows(rows, keys, target_rows)
+    # the rows are read once; everything below works on their runs
+    runs = cut_lineage(islands(prepared, keys, "start_time", "match_id", "side").join(undated, keys, "left_anti"))
+    best = runs.filter("side is not null").groupBy(*keys, "side").agg(F.max_by(
         F.struct("len", "head", "tail"), F.struct("len", F.col("tail.time"))).alias("b")).select(
         *keys, "side", F.col("b.len").alias("length"), F.col("b.head.time").alias("first_time"),
         F.col("b.head.tie").alias("first_id"), F.col("b.tail.time").alias("last_time"),
         F.col("b.tail.tie").alias("last_id")).filter(F.col("length") >= min_length)
-    blocks = (islands(prepared, keys, "start_time", "match_id", "sided").filter("sided")
-              .groupBy(*keys, F.col("len").alias("block")).agg(F.count(F.lit(1)).alias("times")))
+    joined = runs.select(*keys, F.col("head.time").alias("time"), F.col("head.tie").alias("tie"),
+                         F.col("side").isNotNull().alias("sided"), F.col("len").alias("size"))
+    blocks = (islands(chunked(joined, keys, "time", target_rows), keys, "time", "tie", "sided", weight="size")
+              .filter("sided").groupBy(*keys, F.col("len").alias("block")).agg(F.count(F.lit(1)).alias("times")))
     pairs = best.select(*keys, "side", "length").join(blocks, keys)
     table = pairs.select("block", "length").distinct().withColumn(
         "q", no_run_probability(F.col("block"), F.col("length")))

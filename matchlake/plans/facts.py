@@ -13,7 +13,7 @@ D = "player_id, play_day"
 
 
 def _rows(t):
-    return M.enriched_matches(ALL.apply(t.md).filter("start_time is not null"), t.mu, t.c)
+    return cut_lineage(M.enriched_matches(ALL.apply(t.md).filter("start_time is not null"), t.mu, t.c))
 
 
 def _show(df):
@@ -154,7 +154,7 @@ _ALL = f"""{_ROWS}, {_BASE}, {_STREAK}, {_CARDS}, {_OPPO}, {_ARC}, {_RUN},
 
 @query("daily_fact_candidates", f"with recursive {_ALL} select {_DAY_TEXT} from cand", _VIEWS)
 def _(t):
-    return _show(X.fact_candidates(cut_lineage(_rows(t)), RARE, RARE_LEGENDARY))
+    return _show(X.fact_candidates(_rows(t), RARE, RARE_LEGENDARY))
 
 
 def _case(table):
@@ -186,6 +186,6 @@ def _assembled(name, src, seen):
   select player_id, cast(play_day as varchar) as play_day, slot, kind, level, n, theme, cast(seen as bigint) as seen,
   round(score,6) as score from final""", _VIEWS)
 def _(t):
-    return X.daily_facts(cut_lineage(_rows(t)), RARE, RARE_LEGENDARY).select(
+    return X.daily_facts(_rows(t), RARE, RARE_LEGENDARY).select(
         "player_id", F.col("play_day").cast("string").alias("play_day"), "slot", "kind", "level", "n", "theme", "seen",
         F.round("score", 6).alias("score"))
