@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import classify as C
 from ..scope import Scope
 from ..session import cut_lineage
-from .ordered import MAX_HOT
-
-HOT_ROWS = 1_000_000
+from .ordered import HOT_ROWS, lookup_join
 
 
 def _clean(col: str):
@@ -27,23 +25,6 @@ def name_node():
     return F.concat(F.lit("n:"), _clean("my_deck_tag"))
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int | None = None,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join to a side that is unique by ``keys``, also when few keys own most of the left rows.
-
-    The heaviest keys (at most MAX_HOT, so a bounded list) are resolved by broadcast, the rest by an
-    ordinary join; a key outside the list holds less than 1/MAX_HOT of the rows. ``rows`` is the known
-    left size: small inputs cannot hold a hot key and skip the split.
-    """
-    if rows is not None and rows <= hot_rows:
-        return left.join(right, keys)
-    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-           .orderBy(F.desc("_n"), *keys).limit(MAX_HOT).select(*keys))
-    heavy = left.join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys)
-    light = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys)
-    return heavy.unionByName(light.select(heavy.columns))
-
-
 def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(player_id, a, b) links -> (player_id, node, label), label = smallest node of the component.
 

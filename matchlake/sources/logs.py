@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators.ordered import running
+from ..operators.ordered import lookup_join, running
 from ..session import cut_lineage
 
 # fixed values: log line prefix, timestamp pattern, user id pattern
@@ -85,14 +85,22 @@ def assemble_records(lines: DataFrame) -> DataFrame:
     flagged = cut_lineage(floor.withColumn("ends", depth == 0))
     numbered = running(flagged, ["file"], "chunk", ["pos"], sums={"done": F.col("ends").cast("int")})
     whole = F.col("ends") & (F.col("delta") == 0)  # complete on its own line, no grouping needed
-    numbered = numbered.select(*ident, "ends", whole.alias("whole"),
-                               (F.col("block") + F.col("done") - F.col("ends").cast("int")).alias("record"))
-    numbered = lines.join(numbered, ident)
-    single = numbered.filter("whole").select(*ident, "text", F.lit(1).cast("bigint").alias("lines"),
-                                             F.lit(True).alias("closed"))
+    numbered = cut_lineage(numbered.select(
+        *ident, "ends", whole.alias("whole"),
+        (F.col("block") + F.col("done") - F.col("ends").cast("int")).alias("record")))
     at = F.struct("chunk", "pos")
-    multi = (numbered.filter("not whole").groupBy("file", "record")
-             .agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("lines"), F.max("ends").alias("closed"),
+    # lines of records over several lines; of an unclosed one, however long, only the first line is kept
+    parts = numbered.filter("not whole").select(*ident, "record", "ends")
+    sizes = parts.groupBy("file", "record").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("lines"),
+                                                F.max("ends").alias("closed"))
+    kept = lookup_join(parts.drop("ends"), sizes, ["file", "record"], parts.count())
+    kept = kept.filter(F.col("closed") | (F.col("at") == at)).select(*ident, "record", "lines", "closed")
+    alone = numbered.filter("whole").select(*ident, F.lit(None).cast("bigint").alias("record"),
+                                            F.lit(1).cast("bigint").alias("lines"), F.lit(True).alias("closed"))
+    texts = lines.join(alone.unionByName(kept), ident)
+    single = texts.filter("record is null").select(*ident, "text", "lines", "closed")
+    multi = (texts.filter("record is not null").groupBy("file", "record")
+             .agg(F.min(at).alias("at"), F.max("lines").alias("lines"), F.max("closed").alias("closed"),
                   F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "pos", "text"))),
                                            lambda r: r["text"]), "\n").alias("text"))
              .select("file", "at.chunk", "at.pos", "text", "lines", "closed"))

@@ -101,3 +101,12 @@ def test_opponent_cards_need_both_seats(spark):
     c = spark.createDataFrame([(1, 2, "7"), (1, 2, "7"), (1, 1, "8"), (1, None, "9"), (2, 2, "7")],
                               "match_id long, seat int, grp_id string")
     assert as_set(M.opponent_cards(m, c).select("match_id", "grp_id")) == [("1", "7")]
+
+
+def test_csv_sink_has_a_mark_and_keeps_order(spark, tmp_path):
+    from matchlake.sources.export import write_csv
+    df = spark.createDataFrame([(i, f"n{i}") for i in (3, 1, 2)], "t long, name string")
+    write_csv(df, str(tmp_path / "out"), ["t"])
+    lines = [f.read_text(encoding="utf-8") for f in sorted((tmp_path / "out").glob("part-*.csv"))]
+    assert all(text.startswith("﻿t,name") for text in lines)
+    assert [x for text in lines for x in text.split()[1:]] == ["1,n1", "2,n2", "3,n3"]
