@@ -120,7 +120,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5):
     short = np.flatnonzero((count > 0) & (count < width))
     if len(short):
         whole = np.array([mix(np.add.reduce(words[begin[d]:begin[d + 1]] * factors[:count[d]], keepdims=True)
-                              + np.uint64(count[d]) * M1)[0] for d in short], np.uint64)
+                              + count[d:d + 1].astype(np.uint64) * M1)[0] for d in short], np.uint64)
         hashes, of = np.concatenate((hashes, whole)), np.concatenate((of, short))
         order = np.argsort(of, kind="stable")
         hashes, of = hashes[order], of[order]

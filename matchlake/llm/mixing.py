@@ -94,7 +94,7 @@ def mix(docs: DataFrame, seed: int = 17, shards: int = SHARDS, blocks: int = BLO
     ends = quota.cumsum(axis=0)
     cuts = spark.createDataFrame([(r.skey, [int(x) for x in ends[:, i]]) for i, r in enumerate(counts)],
                                  "skey string, ends array<bigint>")
-    joined = rows.join(plan, ["skey", "block"]).join(cuts, "skey")
+    joined = rows.join(plan, ["skey", "block"]).join(F.broadcast(cuts), "skey")
     inside = Window.partitionBy("skey", "block").orderBy(F.xxhash64("h", F.lit(seed + 1)), "h", "doc_id", "size")
     crossing = (joined.filter("drawn and edge")
                 .withColumn("so_far", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))

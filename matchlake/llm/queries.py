@@ -1,7 +1,7 @@
 """Named queries of the ten operators over the test tables."""
 from __future__ import annotations
 
-from . import language, mixing, sharding, toxicity
+from . import decontamination, fingerprints, html_text, jaccard, language, mixing, quality, sharding, suffixes, toxicity
 from .common import table
 
 QUERIES = {}
@@ -31,3 +31,33 @@ def op9_sharding(spark, sf_dir):
 @query
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("h", "copies")
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    return decontamination.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_html_extraction(spark, sf_dir):
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.grouped(table(spark, sf_dir, "documents"))
