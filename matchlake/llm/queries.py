@@ -61,3 +61,23 @@ def op2_suffix_dedup(spark, sf_dir):
 @query
 def op8_jaccard_join(spark, sf_dir):
     return jaccard.grouped(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
+members as (select doc_id, unnest(s) as x from sets),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k from members a join members b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (
+  select h.a, h.b from shared h join sets p on p.doc_id = h.a join sets q on q.doc_id = h.b
+  where 100 * k >= 75 * (len(p.s) + len(q.s) - k)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(node, other) as (
+  select a, b from both_ways union select r.node, l.b from reach r join both_ways l on l.a = r.other)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) as component_id
+from sets s left join reach r on r.node = s.doc_id group by s.doc_id, s.s"""
