@@ -101,7 +101,7 @@ def with_discounts(counts: DataFrame) -> DataFrame:
         return F.sum((F.col("n") == i).cast("double"))
 
     n = counts.groupBy("lang", "o").agg(*[seen(i).alias(f"n{i}") for i in range(1, 5)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     d = [F.coalesce(F.greatest(F.lit(0.05), F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))),
                     F.lit(0.5)).alias(f"d{i}") for i in (1, 2, 3)]
     n = n.select("lang", "o", *[F.least(x, F.lit(float(i))).alias(f"d{i}") for i, x in enumerate(d, 1)])

@@ -179,11 +179,11 @@ def sharded_documents(docs: DataFrame, old_shards: int = 32, new_shards: int = 4
 def rewrite_affected(docs: DataFrame, plan: DataFrame, out_dir: str) -> DataFrame:
     """Write the shards that gain or lose rows below ``out_dir``/shard=k (documents with unique ids); returns the shard list.
 
-    Untouched shards keep their files. ``plan`` is the result of :func:`sharded_documents`.
+    Untouched shards keep their files; a column of ``docs`` called shard or slot gives way to the new one. ``plan`` is the result of :func:`sharded_documents`.
     """
     moved = plan.filter(F.col("shard") != F.col("old_shard"))
     affected = moved.select(F.col("shard")).union(moved.select(F.col("old_shard"))).distinct()
-    rows = docs.join(plan.join(F.broadcast(affected), "shard").select("doc_id", "shard", "slot"), "doc_id")
+    rows = docs.drop("shard", "slot").join(plan.join(F.broadcast(affected), "shard").select("doc_id", "shard", "slot"), "doc_id")
     (rows.repartition("shard", F.floor(F.col("slot") / SLOT_ROWS)).sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").mode("overwrite").parquet(out_dir))
     return affected
