@@ -1,102 +1,84 @@
-"""Deck codes: compact base64 texts of card lists, decoded per distinct code in Arrow batches."""
-from __future__ import annotations
+"""Deck codes: compact base64 texts of card lists, decoded by column expressions.
 
-import base64
-import binascii
+A code is base64 of little-endian base-128 numbers. The numbers are read by one fold whose state says what the next number
+means; anything unexpected makes the code invalid (NULL), never a guess.
+"""
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: wire format
 VERSIONS = (2, 3, 4)
-COPIES = (1, 2, 3, 4, None)
-TAGGED_SECTIONS = {1: "main", 2: "side", 3: "wish"}
-MECHANICS = {1: "commanders", 2: "companions"}
 MAX_CARDS, MAX_COPIES, MAX_TEXT, MAX_VARINT_BYTES = 10_000, 1000, 100_000, 5
 
-CARDS = "array<struct<section:string,pos:int,title_id:bigint,qty:int>>"
-
-
-def _numbers(code: str) -> list[int]:
-    raw = base64.b64decode(code + "=" * (-len(code) % 4), altchars=b"-_", validate=True)
-    out, value, used = [], 0, 0
-    for byte in raw:
-        value += (byte % 128) << (7 * used)
-        used += 1
-        if byte < 128:
-            out.append(value)
-            value = used = 0
-        elif used == MAX_VARINT_BYTES:
-            raise ValueError("number too long")
-    if used:
-        raise ValueError("cut off inside a number")
-    return out
-
-
-def decode_code(code) -> list[dict] | None:
-    """Cards of a code as (section, pos, title_id, qty) or None when anything about it is off."""
-    if not isinstance(code, str) or len(code) > MAX_TEXT:
-        return None
-    cards: list[dict] = []
-
-    def put(section, title, qty):
-        if qty > MAX_COPIES:
-            raise ValueError("too many copies")
-        cards.append({"section": section, "pos": len(cards), "title_id": title, "qty": qty})
-
-    try:
-        stream = iter(_numbers(code))
-        pull = lambda: next(stream)
-
-        def size():
-            n = pull()
-            if n > MAX_CARDS:
-                raise ValueError("too many cards")
-            return n
-
-        def run(section, copies):
-            title = 0
-            for _ in range(size()):
-                qty = pull() if copies is None else copies
-                title += pull()
-                put(section, title, qty)
-
-        def whole(section):
-            for copies in COPIES:
-                run(section, copies)
-
-        marker, version = pull(), pull()
-        if marker or version not in VERSIONS:
-            return None
-        if version == 2:
-            run("commanders", 1)
-        else:
-            title = 0
-            for _ in range(size()):
-                title += pull()
-                put(MECHANICS[pull()], title, 1)
-        if version < 4:
-            whole("main")
-            if pull() == 1:
-                whole("side")
-        else:
-            open_tags = dict(TAGGED_SECTIONS)
-            while tag := pull():
-                whole(open_tags.pop(tag))
-        return cards if next(stream, None) is None else None
-    except (ValueError, KeyError, StopIteration, binascii.Error):
-        return None
-
-
-def _decode_batches(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"code": pdf["code"], "cards": [decode_code(c) for c in pdf["code"]]})
+CARD = "struct<section:string,pos:int,title_id:bigint,qty:int>"
+CARDS = f"array<{CARD}>"
+
+# what the next number means
+MARKER, VERSION, FIRST_COUNT, LEADER, SPECIAL, SPECIAL_KIND, COUNT, QUANTITY, TITLE, SIDE_FLAG, TAG, END = range(12)
+
+
+def _numbers(df: DataFrame, code: str) -> DataFrame:
+    """``df`` with ``numbers``; each step is a column, so that nothing is computed once per element."""
+    fits = F.length(code) <= MAX_TEXT
+    std = F.translate(F.col(code), "-_", "+/")
+    padded = F.concat(std, F.repeat(F.lit("="), F.pmod(-F.length(code), F.lit(4)).cast("int")))
+    df = df.withColumn("_hex", F.when(fits & (F.length(code) > 0), F.hex(F.try_to_binary(padded, F.lit("base64")))))
+    df = df.withColumn("_octets", F.when(F.length("_hex") > 0, F.expr(
+        "transform(sequence(1, length(_hex) div 2), i -> cast(conv(substr(_hex, 2 * i - 1, 2), 16, 10) as bigint))")))
+    df = df.withColumn("_ends", F.expr("filter(transform(_octets, (b, i) -> if(b < 128, i, null)), i -> i is not null)"))
+    value = ("aggregate(slice(_octets, if(k = 0, 1, _ends[k - 1] + 2), e - if(k = 0, -1, _ends[k - 1])), "
+             "named_struct('v', 0L, 'w', 1L), (a, b) -> named_struct('v', a.v + (b % 128) * a.w, 'w', a.w * 128), a -> a.v)")
+    short = f"forall(transform(_ends, (e, k) -> e - if(k = 0, -1, _ends[k - 1])), n -> n <= {MAX_VARINT_BYTES})"
+    whole = "size(_ends) > 0 and _ends[size(_ends) - 1] = size(_octets) - 1"
+    df = df.withColumn("_whole", F.expr(f"if({whole}, {short}, false)"))
+    return df.withColumn("numbers", F.when(F.col("_whole"), F.expr(f"transform(_ends, (e, k) -> {value})"))
+                         ).drop("_hex", "_octets", "_ends", "_whole")
+
+
+def cards_of(numbers: str = "numbers") -> Column:
+    """The fold over the numbers: cards as (section, pos, title_id, qty), NULL for an invalid code.
+
+    ``m`` is the meaning of the next number, ``left`` the cards still to come in the current list, ``g`` the copies group
+    (0-3: that many copies plus one; 4: each card brings its own number), ``seen`` the sections already opened.
+    """
+    opening = f"s.m in ({FIRST_COUNT}, {LEADER}, {SPECIAL}, {SPECIAL_KIND})"
+    left = f"case when s.m in ({FIRST_COUNT}, {COUNT}) then x when s.m in ({LEADER}, {SPECIAL_KIND}, {TITLE}) then s.left - 1 else s.left end"
+    over = f"(s.m in ({FIRST_COUNT}, {LEADER}, {SPECIAL_KIND}, {COUNT}, {TITLE}) and ({left}) = 0)"
+    per_card = f"if(s.g = 4, {QUANTITY}, {TITLE})"
+    meaning = f"""case when s.m = {MARKER} then {VERSION} when s.m = {VERSION} then {FIRST_COUNT}
+      when {over} and {opening} then if(s.v < 4, {COUNT}, {TAG})
+      when {over} then case when s.g < 4 then {COUNT} when s.v = 4 then {TAG} when s.sec = 'main' then {SIDE_FLAG} else {END} end
+      when s.m = {FIRST_COUNT} then if(s.v = 2, {LEADER}, {SPECIAL}) when s.m = {LEADER} then {LEADER}
+      when s.m = {SPECIAL} then {SPECIAL_KIND} when s.m = {SPECIAL_KIND} then {SPECIAL}
+      when s.m in ({COUNT}, {TITLE}) then {per_card} when s.m = {QUANTITY} then {TITLE}
+      when s.m = {SIDE_FLAG} then if(x = 1, {COUNT}, {END}) when s.m = {TAG} then if(x = 0, {END}, {COUNT}) else {END} end"""
+    group = f"case when {over} and not {opening} and s.g < 4 then s.g + 1 when {over} or s.m in ({SIDE_FLAG}, {TAG}) then 0 else s.g end"
+    section = f"""case when {over} and {opening} then 'main' when s.m = {SIDE_FLAG} then 'side'
+      when s.m = {TAG} then case x when 1 then 'main' when 2 then 'side' else 'wish' end else s.sec end"""
+    title = f"case when s.m in ({FIRST_COUNT}, {COUNT}) then 0L when s.m in ({LEADER}, {SPECIAL}, {TITLE}) then s.title + x else s.title end"
+    qty = f"""case when s.m = {COUNT} then s.g + 1 when s.m = {QUANTITY} then cast(least(x, {MAX_COPIES}) as int) else s.qty end"""
+    seen = f"case when s.m = {TAG} and x in (1, 2, 3) then s.seen | shiftleft(1, cast(least(x, 3) as int)) else s.seen end"
+    fine = f"""s.ok and case when s.m = {MARKER} then x = 0 when s.m = {VERSION} then x in {VERSIONS}
+      when s.m in ({FIRST_COUNT}, {COUNT}) then x <= {MAX_CARDS} when s.m = {SPECIAL_KIND} then x in (1, 2)
+      when s.m = {QUANTITY} then x <= {MAX_COPIES}
+      when s.m = {TAG} then x = 0 or (x in (1, 2, 3) and (s.seen & shiftleft(1, cast(least(x, 3) as int))) = 0)
+      else s.m <> {END} end"""
+    card = lambda sec, t, q: f"concat(s.cards, array(named_struct('section', {sec}, 'pos', size(s.cards), 'title_id', {t}, 'qty', {q})))"
+    cards = f"""case when not s.ok then s.cards when s.m = {LEADER} then {card("'commanders'", "s.title + x", "1")}
+      when s.m = {SPECIAL_KIND} then {card("if(x = 1, 'commanders', 'companions')", "s.title", "1")}
+      when s.m = {TITLE} then {card("s.sec", "s.title + x", "s.qty")} else s.cards end"""
+    start = (f"named_struct('m', {MARKER}, 'v', 0L, 'left', 0L, 'g', 0, 'sec', '', 'title', 0L, 'qty', 0, 'seen', 0, 'ok', true, "
+             f"'cards', cast(array() as {CARDS}))")
+    step = (f"named_struct('m', {meaning}, 'v', if(s.m = {VERSION}, x, s.v), 'left', {left}, 'g', {group}, 'sec', {section}, "
+            f"'title', {title}, 'qty', {qty}, 'seen', {seen}, 'ok', {fine}, 'cards', {cards})")
+    return F.expr(f"aggregate({numbers}, {start}, (s, x) -> {step}, s -> if(s.ok and s.m = {END}, s.cards, null))")
 
 
 def decode_codes(codes: DataFrame, column: str) -> DataFrame:
     """code -> cards (NULL when invalid), each distinct code decoded once."""
     distinct = codes.select(F.col(column).alias("code")).filter("code is not null").distinct()
-    return distinct.mapInPandas(_decode_batches, f"code string, cards {CARDS}")
+    return _numbers(distinct, "code").select("code", cards_of().alias("cards"))
 
 
 def expand_codes(rows: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
