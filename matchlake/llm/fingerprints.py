@@ -58,12 +58,13 @@ def as_text(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
-def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
-    """Each row with ``next_<c>`` of the row that follows by falling doc_id (ties: falling text; NULL ids last); the last
-    row is followed by the first.
+def with_next(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, text) with ``next_text`` of the row that follows by falling doc_id (ties: falling text; NULL ids last);
+    the last row is followed by the first.
 
-    Ids are cut into cells of about sqrt(rows) rows; a cell that holds far more is cut again. Rows meet only inside a cell,
-    and the first row of each cell is handed to the cell before it.
+    Ids are cut into cells of about sqrt(rows) rows; a cell that holds far more is cut again (fewer than sqrt(rows) / 4 such
+    cells can exist, so their list may be broadcast). Texts are shuffled once, by cell; the first text of each cell is handed
+    to the cell before it.
     """
     lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     target = max(500, math.isqrt(n or 0))
@@ -77,35 +78,32 @@ def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
     inside = F.when(F.col("pieces").isNull(), F.lit(0)).when(
         F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.col("pieces"))).otherwise(
         F.floor((F.col("doc_id") - F.col("cell_lo")) / F.col("step"))).cast("long")
-    placed = rows.withColumn("cell", cell).join(fine, "cell", "left").withColumn("sub", inside).drop("cell_lo", "pieces", "step")
-    falling = [F.desc_nulls_last("doc_id"), F.desc_nulls_last("text")]
-    here = Window.partitionBy("cell", "sub").orderBy(*falling)
-    led = placed.withColumns({f"next_{c}": F.lead(c).over(here) for c in carry} | {
-        "at_end": F.lead(F.lit(1)).over(here).isNull()})
-    heads = placed.groupBy("cell", "sub").agg(F.max_by(F.struct(*carry), F.struct("doc_id", "text")).alias("head"))
+    placed = rows.withColumn("cell", cell).join(F.broadcast(fine), "cell", "left").withColumn("sub", inside).select(
+        "doc_id", "text", "cell", "sub")
+    here = Window.partitionBy("cell", "sub").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
+    led = placed.withColumns({"follower": F.lead("text").over(here), "place": F.row_number().over(here)})
+    heads = led.filter("place = 1").select(F.col("cell").alias("to_cell"), F.col("sub").alias("to_sub"), F.col("text").alias("head"))
     cells = Window.orderBy(F.desc("cell"), F.desc("sub"))
     whole = cells.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keys = heads.select("cell", "sub")
-    links = keys.select("cell", "sub", F.coalesce(F.lead(F.struct("cell", "sub")).over(cells),
-                                                  F.first(F.struct("cell", "sub")).over(whole)).alias("to"))
+    at = F.struct("cell", "sub")
+    links = placed.select("cell", "sub").distinct().select("cell", "sub", F.coalesce(
+        F.lead(at).over(cells), F.first(at).over(whole)).alias("to"))
     ahead = links.select("cell", "sub", F.col("to.cell").alias("to_cell"), F.col("to.sub").alias("to_sub")).join(
-        heads.select(F.col("cell").alias("to_cell"), F.col("sub").alias("to_sub"), "head"), ["to_cell", "to_sub"]
-    ).select("cell", "sub", "head", F.lit(True).alias("at_end"))
-    return led.join(ahead, ["cell", "sub", "at_end"], "left").withColumns(
-        {f"next_{c}": F.when(F.col("at_end"), F.col(f"head.{c}")).otherwise(F.col(f"next_{c}")) for c in carry}
-    ).drop("cell", "sub", "at_end", "head")
+        heads, ["to_cell", "to_sub"]).select("cell", "sub", "head")
+    return led.join(ahead, ["cell", "sub"]).select("doc_id", "text", F.coalesce("follower", "head").alias("next_text"))
 
 
 def fingerprinted(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text (NULL: empty) and of its edited text: the last third of its code points gives way to the
     start of the next document's. Repeated rows follow one another; an empty table gives an empty result."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch", k), ["text", "sketch"])
-    n = F.char_length("text").cast("long")
+    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next_text", F.lit(1), third))
-    rows = rows.withColumn("n_chars", n).withColumn("edited", edited).drop("text", "next_text")
-    rows = with_sketch(rows, "edited", "edited_sketch", k)
+    rows = rows.withColumn("edited", edited)
+    # shuffling a sketch would cost more than making it again from the next text
+    for text, out in (("text", "sketch"), ("edited", "edited_sketch"), ("next_text", "next_sketch")):
+        rows = with_sketch(rows, text, out, k)
     a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(a).alias("fingerprint"),
