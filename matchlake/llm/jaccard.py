@@ -27,6 +27,7 @@ FREQUENT = 64           # ... and is frequent if the reports add up to this much
 MOST_FREQUENT = 1 << 20  # bound of the table of frequent shingles that every task receives
 BLOCK = 128             # sets of a block in a list
 PIECE = 2048            # sets compared with one leader in one task
+FEW_IDS = 1_000_000     # document ids that may be broadcast (8 MB)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -179,7 +180,6 @@ def lists(batches):
 
 def emit_cross(batches):
     a, b, size = [], [], 0
-    seen: set = set()
     for x, y in cross_pairs(batches):
         a.append(x)
         b.append(y)
@@ -245,6 +245,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "piece", "b", "role", "members").mapInArrow(compare, "a long, b long, both long, na long, nb long"))
 
 
+def plausible(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose shared prefix shingles leave the threshold within reach: beyond the shorter of two prefixes at most
+    ceil(3/4 of the larger set) - 1 shingles can be common, and 3/7 of both sizes must be."""
+    pa = postings.select("h", F.col("sid").alias("a"), F.col("n").alias("na"))
+    pb = postings.select("h", F.col("sid").alias("b"), F.col("n").alias("nb"))
+    counted = pairs.join(pa, "a").join(pb, ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    beyond = F.floor((THRESHOLD * F.greatest("na", "nb") + 99) / 100) - 1
+    return counted.filter((100 + THRESHOLD) * (F.col("both") + beyond) >= THRESHOLD * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def members(texts: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, n, members) of the sets in ``pairs``, from one document of each. The ids of these documents are broadcast while
+    they are few (checked), so that only their texts leave the scan; beyond that, texts and ids meet in a shuffle."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    holders = described.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi")
+    holders = written(holders.select("doc_id").distinct(), "holders")
+    if holders.count() <= FEW_IDS:
+        holders = F.broadcast(holders)
+    return texts.join(holders, texts["doc_id"].eqNullSafe(holders["doc_id"]), "left_semi").mapInArrow(
+        pack_sets, "sid long, n long, members binary")
+
+
 def linked(v: DataFrame) -> DataFrame:
     return v.filter(100 * F.col("both") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -267,11 +289,8 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .groupBy("sid", F.col("lead.sid").alias("leader")).agg(F.count(F.lit(1)).alias("times")))
     first = written(star.groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
                     .select(F.col("leader").alias("a"), F.col("sid").alias("b")), "first-pairs")
-    wanted = postings.select("sid").distinct()
-    holders = described.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi")
-    sets = written(texts.join(holders.select("doc_id"), "doc_id", "left_semi").mapInArrow(pack_sets, "sid long, n long, members binary")
-                   .dropDuplicates(["sid"]), "members")
-    near = written(verified(first, sets), "first-verified")
+    first = written(plausible(first, postings), "first-plausible")
+    near = written(verified(first, members(texts, described, first)), "first-verified")
     comp = components(linked(near))
     far = near.select(F.col("b").alias("sid"), F.col("a").alias("leader"),
                       (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
@@ -280,8 +299,9 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
     rest = (known.join(open_, "h", "left_semi").join(far, "sid", "left")
             .select("h", "sid", "n", "pos", "comp", F.coalesce("leader", "sid").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    crossing = written(rest.repartition(n, "h").sortWithinPartitions("h").mapInArrow(emit_cross, "a long, b long").distinct(), "cross-pairs")
-    more = linked(verified(crossing, sets))
+    crossing = rest.repartition(n, "h").sortWithinPartitions("h").mapInArrow(emit_cross, "a long, b long").distinct()
+    crossing = written(plausible(crossing, postings), "cross-pairs")
+    more = linked(verified(crossing, members(texts, described, crossing)))
     links = linked(near).unionByName(more)
     return described, components(links).toDF("sid", "comp")
 
