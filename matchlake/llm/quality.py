@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import chunks, mix, utf8, written
 
-ORDER = 5
+ORDER = 4
 SHARD_GRAMS = 2_000_000      # resolved n-grams in one pass over the documents (24 bytes each)
 LOW, HIGH = 0.002, 0.998     # quantiles of trusted perplexity
+FEW_IDS = 1_000_000          # trusted ids that may be broadcast (8 MB)
 PAD = "\x02"                 # before the first character
 SLOTS = 20                   # bits of the direct-mapped table of n-grams seen in a task
 
@@ -184,7 +185,10 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     lang = F.coalesce("lang", F.lit("")).alias("lang")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang)
-    counts = count_tables(rows.join(good, "doc_id", "left_semi").select("text", "lang"))
+    good = written(good, "kn-trusted")
+    # while the trusted ids are few (checked), only they travel; beyond that, texts and ids meet in a shuffle
+    few = F.broadcast(good) if good.count() <= FEW_IDS else good
+    counts = count_tables(rows.join(few, "doc_id", "left_semi").select("text", "lang"))
     seen = rows.select("text", "lang").mapInArrow(new_grams, GRAM).groupBy("lang", "gram", "key").agg(F.max("n").alias("n"))
     scored = written(perplexities(rows, resolved(seen.drop("n"), counts)), "kn-scored")
     limits = scored.join(good, "doc_id", "left_semi").filter(F.col("ppl").isNotNull()).groupBy("lang").agg(
