@@ -183,6 +183,6 @@ def csv_safe(value) -> Column:
     """Blank for NULL; drop control and zero-width characters, trim, quote a leading formula sign."""
     s = as_col(value).cast("string")
     s = F.regexp_replace(s, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFEFF\\u200B]", "")
-    s = F.regexp_replace(s, r"^\s+|\s+$", "")
+    s = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
     return F.coalesce(F.when(F.substring(s, 1, 1).isin("=", "+", "-", "@", "\t", "\r"),
                              F.concat(F.lit("'"), s)).otherwise(s), F.lit(""))

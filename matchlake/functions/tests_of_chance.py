@@ -1,8 +1,9 @@
-"""Grouped significance tests as columns; only the chi-square tail needs a (tiny, vectorised) Python call."""
+"""Grouped significance tests as columns; the chi-square tail and run probabilities are small Python calls on grouped rows."""
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
@@ -68,6 +69,34 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_tail(a, b) for a, b in zip(x.astype(float), df.astype(float))]).astype("float64")
 
 
+def _no_run(n: int, k: int) -> float:
+    """q(n) with q(i) = 1 for i < k, q(k) = 1 - 2^-k and q(i) = q(i-1) - q(i-k-1) / 2^(k+1).
+
+    x^n is reduced modulo x^(k+1) - x^k + 2^-(k+1) by repeated squaring, so any length takes O(k^2 log n).
+    """
+    if n < k:
+        return 1.0
+    h = 0.5 ** (k + 1)
+    power = np.zeros(k + 1)
+    power[0] = 1.0
+    for bit in bin(n)[2:]:
+        wide = np.convolve(power, power)
+        if bit == "1":
+            wide = np.append(0.0, wide)
+        for d in range(len(wide) - 1, k, -1):
+            wide[d - 1] += wide[d]
+            wide[d - k - 1] -= h * wide[d]
+        power = wide[:k + 1]
+        power = np.pad(power, (0, k + 1 - len(power)))
+    return min(1.0, max(0.0, float(power[:k].sum() + power[k] * (1 - 0.5 ** k))))
+
+
+@F.pandas_udf(DoubleType())
+def no_run_probability(length: pd.Series, streak: pd.Series) -> pd.Series:
+    """P(no run of ``streak`` on a given side in ``length`` fair independent rows)."""
+    return pd.Series([_no_run(int(n), int(k)) for n, k in zip(length, streak)]).astype("float64")
+
+
 def p_to_score(p) -> Column:
     """50 from p = 0.10 up, 100 from p = 1e-4 down, linear in log10 p between."""
     p = as_col(p)

@@ -44,7 +44,7 @@ def deck_labels(matches: DataFrame) -> DataFrame:
         .alias("identity_label"))
 
 
-def recent_decks(matches: DataFrame, scope: Scope, limit: int = 12, focus: DataFrame | None = None) -> DataFrame:
+def recent_decks(matches: DataFrame, scope: Scope, limit: int | None = 12, focus: DataFrame | None = None) -> DataFrame:
     """Decks by recency (key = id, else name) with labels made unique within the player.
 
     ``focus`` (player_id, primary family) narrows each player to the dominant recent family.
@@ -82,7 +82,9 @@ def recent_decks(matches: DataFrame, scope: Scope, limit: int = 12, focus: DataF
         F.concat(F.lit("row "), F.col("position").cast("string")))
     decks = decks.withColumn("label", F.when(F.count(F.lit(1)).over(same) > 1, F.concat_ws(
         " · ", "label", tail)).otherwise(F.col("label")))
-    return (decks.filter(F.col("position") <= limit).join(head, "player_id")
+    if limit is not None:
+        decks = decks.filter(F.col("position") <= limit)
+    return (decks.join(head, "player_id")
             .select("player_id", "position", "deck", "deck_id", "label", "first_time", "last_time", "play",
                     "draw", *rate_columns("won", "cnt"), "total", "unlabelled"))
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import classify as C
 from ..scope import Scope
 from ..session import cut_lineage
-from .ordered import HOT_ROWS, lookup_join
 
 
 def _clean(col: str):
@@ -25,32 +24,30 @@ def name_node():
     return F.concat(F.lit("n:"), _clean("my_deck_tag"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(player_id, a, b) links -> (player_id, node, label), label = smallest node of the component.
 
     Each round takes the smallest neighbouring label and then jumps to the label's own label, so long
     chains shrink geometrically. Rounds end when nothing changed; every round is checkpointed, which
-    also keeps the plan flat and survives lost executors.
+    also keeps the plan flat and survives lost executors. Each join has a side with one row per node, so
+    a node with very many links can be split by adaptive execution.
     """
     pairs = edges.select("player_id", "a", "b").distinct()
     both = pairs.union(pairs.select("player_id", "b", "a")).toDF("player_id", "node", "other")
     both = cut_lineage(both)
-    n_edges = both.count()
     labels = cut_lineage(both.select("player_id", "node").distinct().withColumn("label", F.col("node")))
-    n_nodes = labels.count()
-    for _ in range(max_rounds):
+    while True:
         seen = labels.select("player_id", F.col("node").alias("other"), F.col("label").alias("near"))
-        offered = (lookup_join(both, seen, ["player_id", "other"], n_edges, hot_rows)
+        offered = (both.join(seen, ["player_id", "other"])
                    .groupBy("player_id", "node").agg(F.min("near").alias("near")))
         hooked = labels.join(offered, ["player_id", "node"]).select(
             "player_id", "node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         target = hooked.select("player_id", F.col("node").alias("mid"), F.col("mid").alias("label"))
-        jumped = lookup_join(hooked, target, ["player_id", "mid"], n_nodes, hot_rows)
+        jumped = hooked.join(target, ["player_id", "mid"])
         step = cut_lineage(jumped.select("player_id", "node", "label", (F.col("label") != F.col("old")).alias("moved")))
         labels = step.select("player_id", "node", "label")
         if step.filter("moved").isEmpty():
             return labels
-    raise RuntimeError("component labels did not settle; raise max_rounds")
 
 
 def deck_edges(matches: DataFrame) -> DataFrame:
@@ -71,7 +68,7 @@ def with_identity(matches: DataFrame, labels: DataFrame | None = None) -> DataFr
     # a node that never met a partner is its own component
     nodes = firm.select("player_id", "node").distinct().join(labels, ["player_id", "node"], "left").select(
         "player_id", "node", F.coalesce("label", "node").alias("identity"))
-    known = lookup_join(firm, nodes, ["player_id", "node"])
+    known = firm.join(nodes, ["player_id", "node"])
     out = known.unionByName(named.select(known.columns))
     return out.withColumn("reliable", ~F.col("identity").startswith("n:")).drop("node")
 

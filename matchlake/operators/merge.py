@@ -1,7 +1,8 @@
 """Merging new facts into a snapshot, maintenance jobs, tagging, fingerprints, snapshot comparison, text scan.
 
 A merge is a union followed by one aggregate per table; snapshots are immutable, so re-running the
-same merge changes nothing.
+same merge changes nothing. A match is known by (player_id, match_id), as two players may share one; tables
+without player_id belong to a single player and are keyed by match_id.
 """
 from __future__ import annotations
 
@@ -11,11 +12,16 @@ from ..functions import classify as C
 from ..functions.winrate import count_where
 from .matchups import opponent_cards
 
-LAST_KNOWN = ("player_id", "event_key", "start_time", "end_time", "duration_sec", "my_seat", "opponent_name",
+LAST_KNOWN = ("event_key", "start_time", "end_time", "duration_sec", "my_seat", "opponent_name",
               "opponent_platform", "play_draw", "my_result", "end_reason", "my_deck_id", "my_deck_version",
               "opp_archetype_tag", "match_mode", "play_day", "is_bot")
 
 
+def match_key(*frames: DataFrame) -> list[str]:
+    """The match columns all frames know."""
+    return [c for c in ("player_id", "match_id") if all(c in f.columns for f in frames)]
+
+
 def _with_arrival(df: DataFrame, value) -> DataFrame:
     return df if "arrival" in df.columns else df.withColumn("arrival", F.lit(value).cast("bigint"))
 
@@ -36,7 +42,7 @@ def merge_matches(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     at = F.col("arrival")
     have = [c for c in LAST_KNOWN if c in both.columns]
     named = F.coalesce(F.col("my_deck_tag"), F.lit("")) != ""
-    merged = both.groupBy("match_id").agg(
+    merged = both.groupBy(*match_key(both)).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in have],
         F.max_by("source", at).alias("source"),
         F.min_by("my_deck_tag", F.when(named, at)).alias("my_deck_tag"),
@@ -47,28 +53,29 @@ def merge_matches(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
 
 def merge_games(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     both = _together(existing, incoming)
-    rest = [c for c in both.columns if c not in ("match_id", "game_no", "arrival")]
-    return both.groupBy("match_id", "game_no").agg(
+    rest = [c for c in both.columns if c not in ("player_id", "match_id", "game_no", "arrival")]
+    return both.groupBy(*match_key(both), "game_no").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(c) for c in rest])
 
 
 def merge_mulligans(existing: DataFrame | None, incoming: DataFrame, matches: DataFrame) -> DataFrame:
     """Highest kept_on per (match, game, seat); a missing seat is the player's own."""
     both = incoming if existing is None else existing.unionByName(incoming)
-    seats = matches.select("match_id", "my_seat")
-    own = both.join(seats, "match_id", "left").withColumn("seat", F.coalesce("seat", "my_seat"))
-    return own.groupBy("match_id", "game_no", "seat").agg(F.max("kept_on").alias("kept_on"))
+    key = match_key(both, matches)
+    own = both.join(matches.select(*key, "my_seat"), key, "left").withColumn("seat", F.coalesce("seat", "my_seat"))
+    return own.groupBy(*key, "game_no", "seat").agg(F.max("kept_on").alias("kept_on"))
 
 
 def merge_commanders(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     both = _together(existing, incoming)
-    return both.groupBy("match_id", "seat", "grp_id").agg(F.min_by("partner_idx", "arrival").alias("partner_idx"))
+    return both.groupBy(*match_key(both), "seat", "grp_id").agg(F.min_by("partner_idx", "arrival").alias("partner_idx"))
 
 
 def refresh_modes(matches: DataFrame, games: DataFrame) -> DataFrame:
     """Recompute the match mode from the event key and the number of distinct games."""
-    counts = games.groupBy("match_id").agg(F.countDistinct("game_no").alias("_games"))
-    return (matches.join(counts, "match_id", "left")
+    key = match_key(matches, games)
+    counts = games.groupBy(*key).agg(F.countDistinct("game_no").alias("_games"))
+    return (matches.join(counts, key, "left")
             .withColumn("match_mode", C.match_mode("event_key", F.col("_games"))).drop("_games"))
 
 
@@ -83,8 +90,8 @@ def tag_bot_decks(matches: DataFrame, patterns: list[str]) -> DataFrame:
 
 def clean_mulligans(mulligans: DataFrame, matches: DataFrame) -> DataFrame:
     """Drop rows that say nothing, give seatless rows the player's seat."""
-    seats = matches.select("match_id", "my_seat")
-    return (mulligans.filter("kept_on is not null").join(seats, "match_id", "left")
+    key = match_key(mulligans, matches)
+    return (mulligans.filter("kept_on is not null").join(matches.select(*key, "my_seat"), key, "left")
             .withColumn("seat", F.coalesce("seat", "my_seat")).drop("my_seat"))
 
 
@@ -106,30 +113,31 @@ def dedupe_ranks(ranks: DataFrame) -> DataFrame:
 def apply_orphan_results(matches: DataFrame, games: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results whose match was already stored without one: fill, never overwrite, only with a known seat.
 
-    ``results(match_id, entry_no, scope, winning_team, reason)``; returns (matches, games).
+    ``results([player_id,] match_id, entry_no, scope, winning_team, reason)``; returns (matches, games).
     """
-    open_rows = matches.filter("my_result is null and my_seat is not null").select("match_id", "my_seat")
-    usable = results.filter("winning_team is not null").join(open_rows, "match_id")
+    key = match_key(matches, games, results)
+    open_rows = matches.filter("my_result is null and my_seat is not null").select(*key, "my_seat")
+    usable = results.filter("winning_team is not null").join(open_rows, key)
     outcome = F.when(F.col("winning_team") == F.col("my_seat"), "win").otherwise("loss")
-    usable = usable.select("match_id", "entry_no", "scope", outcome.alias("o"),
+    usable = usable.select(*key, "entry_no", "scope", outcome.alias("o"),
                            F.regexp_replace("reason", "ResultReason_", "").alias("r"))
-    whole = usable.filter("scope = 'MatchScope_Match'").groupBy("match_id").agg(
+    whole = usable.filter("scope = 'MatchScope_Match'").groupBy(*key).agg(
         F.max_by("o", "entry_no").alias("o"), F.min_by("r", F.when(F.col("r").isNotNull(), F.col("entry_no"))).alias("r"))
-    fixed = (matches.join(whole, "match_id", "left").withColumn("my_result", F.coalesce("my_result", "o"))
+    fixed = (matches.join(whole, key, "left").withColumn("my_result", F.coalesce("my_result", "o"))
              .withColumn("end_reason", F.when(F.col("o").isNotNull(), F.coalesce("end_reason", "r"))
                          .otherwise(F.col("end_reason"))).drop("o", "r"))
     # the k-th game result goes to the k-th game without a result, further ones append
-    order = Window.partitionBy("match_id").orderBy("entry_no")
+    order = Window.partitionBy(*key).orderBy("entry_no")
     per_game = usable.filter("scope = 'MatchScope_Game'").withColumn("k", F.row_number().over(order))
-    touched = games.join(per_game.select("match_id").distinct(), "match_id", "left_semi")
+    touched = games.join(per_game.select(*key).distinct(), key, "left_semi")
     slots = touched.filter("result is null").withColumn(
-        "k", F.row_number().over(Window.partitionBy("match_id").orderBy("game_no"))).select("match_id", "game_no", "k")
-    size = touched.groupBy("match_id").agg(F.max("game_no").alias("top"), count_where(F.col("result").isNull()).alias("free"))
-    placed = (per_game.join(slots, ["match_id", "k"], "left").join(size, "match_id", "left")
+        "k", F.row_number().over(Window.partitionBy(*key).orderBy("game_no"))).select(*key, "game_no", "k")
+    size = touched.groupBy(*key).agg(F.max("game_no").alias("top"), count_where(F.col("result").isNull()).alias("free"))
+    placed = (per_game.join(slots, [*key, "k"], "left").join(size, key, "left")
               .withColumn("game_no", F.coalesce("game_no", F.coalesce("top", F.lit(0)) + F.col("k")
                                                 - F.coalesce("free", F.lit(0))).cast("int"))
-              .select("match_id", "game_no", F.col("o").alias("n_result"), F.col("r").alias("n_reason")))
-    merged = games.join(placed, ["match_id", "game_no"], "full_outer")
+              .select(*key, "game_no", F.col("o").alias("n_result"), F.col("r").alias("n_reason")))
+    merged = games.join(placed, [*key, "game_no"], "full_outer")
     merged = merged.withColumn("result", F.coalesce("n_result", "result"))
     if "reason" in games.columns:
         merged = merged.withColumn("reason", F.coalesce("n_reason", "reason"))
@@ -254,15 +262,17 @@ def snapshot_diff(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataF
 
     Each snapshot is a dict of matches, games and commanders.
     """
+    key = match_key(*old.values(), *new.values())
+
     def side(snap, p):
         game = F.struct("game_no", "play_draw", "result", "reason")
-        games = snap["games"].groupBy("match_id").agg(F.array_sort(F.collect_list(game)).alias(f"{p}_games"))
-        cards = snap["commanders"].groupBy("match_id").agg(F.count(F.lit(1)).alias(f"{p}_cards"))
-        base = snap["matches"].select("match_id", F.lit(True).alias(f"{p}_here"),
+        games = snap["games"].groupBy(*key).agg(F.array_sort(F.collect_list(game)).alias(f"{p}_games"))
+        cards = snap["commanders"].groupBy(*key).agg(F.count(F.lit(1)).alias(f"{p}_cards"))
+        base = snap["matches"].select(*key, F.lit(True).alias(f"{p}_here"),
                                       *[F.col(c).alias(f"{p}_{c}") for c in COMPARED])
-        return base.join(games, "match_id", "left").join(cards, "match_id", "left")
+        return base.join(games, key, "left").join(cards, key, "left")
 
-    both = side(old, "o").join(side(new, "n"), "match_id", "full_outer")
+    both = side(old, "o").join(side(new, "n"), key, "full_outer")
     differs = lambda c: ~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
     parts = F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in (*COMPARED, "games", "cards")]))
     flip = lambda c: F.when(differs(c), F.concat(F.coalesce(f"o_{c}", F.lit("NULL")), F.lit("->"),
@@ -271,7 +281,7 @@ def snapshot_diff(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataF
     status = F.when(F.col("n_here").isNull(), "only_old").when(F.col("o_here").isNull(), "only_new").when(
         F.size(parts) > 0, "changed")
     return both.withColumn("status", status).filter("status is not null").select(
-        "match_id", "status", F.when(matched, F.array_join(parts, ",")).alias("parts"),
+        *key, "status", F.when(matched, F.array_join(parts, ",")).alias("parts"),
         F.when(matched, flip("my_result")).alias("result_flip"), F.when(matched, flip("play_draw")).alias("side_flip"))
 
 
@@ -299,8 +309,9 @@ def sensitive_lines(texts: DataFrame, id_col: str, text_col: str, words: list[st
         hit = F.regexp_extract("line", pattern, 0)
         found.append(F.when((hit != "") & ~hit.contains("<"), F.struct(
             F.lit(label).alias("label"), F.substring(hit, 1, HIT_CHARS).alias("hit"))))
-    for w in words:
-        found.append(F.when(F.col("line").contains(w), F.struct(
-            F.lit("blocked word").alias("label"), F.lit("***").alias("hit"))))
-    return lines.select(id_col, (F.col("i") + 1).alias("line_no"), F.explode(F.array_compact(F.array(*found)))
-                        .alias("f")).select(id_col, "line_no", "f.*")
+    out = F.array_compact(F.array(*found))
+    if words:  # the word list is one literal, however long
+        hits = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("line"), w))
+        mark = F.struct(F.lit("blocked word").alias("label"), F.lit("***").alias("hit"))
+        out = F.concat(out, F.transform(hits, lambda _: mark))
+    return lines.select(id_col, (F.col("i") + 1).alias("line_no"), F.explode(out).alias("f")).select(id_col, "line_no", "f.*")

@@ -1,12 +1,12 @@
 """Order-dependent building blocks that survive one key owning a large share of the rows.
 
-A window partitioned by player alone would put a heavy player's whole history into one task. Here a
-group with many rows is cut into consecutive time chunks, the window runs per (key, chunk), and only
-a few edge rows per chunk are stitched together afterwards.
+A window partitioned by player alone would put a heavy player's whole history into one task. Here every
+group with more than ``target_rows`` rows is cut into consecutive chunks of about that many rows, the
+window runs per (key, chunk), and only a few edge rows per chunk are stitched together afterwards.
 
-Which groups are cut: the largest ones, at most ``MAX_HOT`` of them. Any group left uncut is smaller
-than every cut one, hence holds less than 1/MAX_HOT of the rows. The list of cut groups therefore has
-a fixed size bound and is broadcast. Counts are exact, so the cut is the same on every evaluation.
+Cuts are made in exact row counts per minute, cumulated within the group, so bursts and outlier times
+make no chunk larger than the target plus one minute. Undated rows form a chunk of their own in front. Counts
+are exact, so the cut is the same on every evaluation. All sizes travel by ordinary joins.
 """
 from __future__ import annotations
 
@@ -14,31 +14,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-MAX_HOT = 10_000
 TARGET_ROWS = 1_000_000
-HOT_ROWS = 1_000_000
+MINUTE = 60_000
 CHUNK = "_chunk"
 CHUNKS = "_chunks"
 
 
+def _same(left_keys: list[str], right_keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for a, b in zip(left_keys, right_keys):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
+
+
 def chunked(df: DataFrame, keys: list[str], time: str, target_rows: int | None = None) -> DataFrame:
     """Add ``_chunk`` (monotone in ``time`` within the key, 0 for ordinary groups) and ``_chunks``."""
     target = target_rows or TARGET_ROWS
-    t = F.col(time)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(t >= 0, t)).alias("_lo"),
-                                  F.max(t).alias("_hi"))
-    pieces = F.ceil(F.col("_n") / target)
-    hot = (sizes.filter(F.col("_n") > target).orderBy(F.desc("_n"), *keys).limit(MAX_HOT)
-           .select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_lo", pieces.alias(CHUNKS),
-                   F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces)).alias("_width")))
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return (df.join(F.broadcast(hot), cond, "left")
-            .withColumn(CHUNK, F.coalesce(F.floor((t - F.col("_lo")) / F.col("_width")), F.lit(0)))
-            .withColumn(CHUNKS, F.coalesce(CHUNKS, F.lit(1)))
-            .drop("_lo", "_width", *[f"_h_{k}" for k in keys]))
+    undated = F.col(time).isNull() | (F.col(time) <= 0)  # stand-ins for a missing time are not positive
+    cell = F.when(undated, F.lit(-1)).otherwise(F.floor(F.col(time) / MINUTE)).cast("bigint")
+    names = [f"_h_{k}" for k in keys]
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target)
+           .select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
+    counts = df.join(hot, _same(keys, names), "left_semi").groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = F.sum("_n").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    late = F.coalesce(F.sum(F.when(F.col("_cell") < 0, F.col("_n"))).over(whole), F.lit(0))
+    first = F.when(late > 0, F.lit(1)).otherwise(F.lit(0))
+    chunk = F.when(F.col("_cell") < 0, F.lit(0)).otherwise(first + F.floor((before - late) / target)).cast("bigint")
+    cuts = counts.withColumn(CHUNK, chunk).withColumn(CHUNKS, F.max(CHUNK).over(whole) + 1).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_cell").alias("_h_cell"), CHUNK, CHUNKS)
+    return (df.withColumn("_cell", cell).join(cuts, _same([*keys, "_cell"], [*names, "_h_cell"]), "left")
+            .withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint"))).withColumn(CHUNKS, F.coalesce(CHUNKS, F.lit(1).cast("bigint")))
+            .drop("_cell", "_h_cell", *names))
 
 
 def mark_ties(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -115,20 +122,3 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], sums:
     if set(df.columns) <= set(ident):
         return out
     return df.join(out, ident)
-
-
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int | None = None,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join to a side that is unique by ``keys``, also when few keys own most of the left rows.
-
-    The heaviest keys (at most MAX_HOT, so a bounded list) are resolved by broadcast, the rest by an
-    ordinary join; a key outside the list holds less than 1/MAX_HOT of the rows. ``rows`` is the known
-    left size: small inputs cannot hold a hot key and skip the split.
-    """
-    if rows is not None and rows <= hot_rows:
-        return left.join(right, keys)
-    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-           .orderBy(F.desc("_n"), *keys).limit(MAX_HOT).select(*keys))
-    heavy = left.join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys)
-    light = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys)
-    return heavy.unionByName(light.select(heavy.columns))

@@ -5,11 +5,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C
 from ..functions.winrate import is_decided
+from ..functions.tests_of_chance import no_run_probability
 from ..session import cut_lineage
 from .ordered import chunked, islands, mark_ties
 
-EXACT_STEPS = 2000
-
 
 def _side_rows(rows: DataFrame, keys: list[str], target_rows: int | None) -> DataFrame:
     """Dated rows with ``side`` NULL wherever the order or the side cannot be confirmed."""
@@ -43,26 +42,6 @@ def side_streaks(rows: DataFrame, keys: list[str], target_rows: int | None = Non
         F.when(sure, F.col("ambiguous")).alias("ambiguous_order"))
 
 
-def no_run_probability(length: Column, streak: Column) -> Column:
-    """P(no run of ``streak`` on a given side in ``length`` fair independent rows).
-
-    q(n) = q(n-1) - q(n-k-1) / 2^(k+1). Beyond EXACT_STEPS the sequence is geometric to double
-    precision, so the last ratio extends it.
-    """
-    half = F.pow(F.lit(0.5), streak + 1)
-    start = F.concat(F.array_repeat(F.lit(1.0), streak.cast("int")), F.array(1 - F.pow(F.lit(0.5), streak)))
-    stop = F.least(length, streak + EXACT_STEPS)
-    steps = F.when(stop > streak, F.sequence((streak + 1).cast("int"), stop.cast("int"))).otherwise(
-        F.array().cast("array<int>"))
-    filled = F.aggregate(steps, start, lambda q, _: F.concat(
-        F.slice(q, F.lit(2), F.size(q) - 1),
-        F.array(F.element_at(q, -1) - half * F.element_at(q, 1))))
-    last, prev = F.element_at(filled, -1), F.element_at(filled, -2)
-    return (F.when(length < streak, F.lit(1.0))
-            .when(length > stop, last * F.pow(last / prev, (length - stop).cast("double")))
-            .otherwise(last))
-
-
 def severity(p: Column) -> Column:
     return (F.when(p < 0.01, "legendary").when(p < 0.05, "rare").when(p < 0.15, "unusual")
             .otherwise("notable"))

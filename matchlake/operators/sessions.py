@@ -13,6 +13,7 @@ from ..sources.logs import detect_identity, own_timestamp
 from .ordered import running
 
 SEG = ["file", "seg"]
+MATCH = ["owner", "match_id"]  # two players may log the same match
 
 
 def _int(col) -> Column:
@@ -49,7 +50,9 @@ def open_matches(events: DataFrame, identities: DataFrame) -> DataFrame:
     begun = begun.withColumn("me", mine).withColumn("opp", F.when(F.col("me").isNotNull(), other))
     team = _int("me.teamId")
     return begun.select(
-        "owner", "file", "chunk", "pos", "seg", F.coalesce(config["matchId"], F.lit("?")).alias("match_id"),
+        "owner", "file", "chunk", "pos", "seg",
+        # a match without id is told apart by where it was read
+        F.coalesce(config["matchId"], F.concat(F.lit("?"), "file", F.lit("#"), "seg")).alias("match_id"),
         F.coalesce(config["eventId"], F.expr("get(filter(players, p -> p.eventId is not null), 0).eventId")).alias("event_key"),
         F.col("ts").alias("start_ts"), team.alias("my_team"), F.coalesce(_int("me.systemSeatId"), team).alias("my_seat"),
         F.col("opp.playerName").alias("opponent_name"), F.col("opp.platformId").alias("opponent_platform"),
@@ -111,34 +114,45 @@ def result_entries(events: DataFrame, starts: DataFrame) -> DataFrame:
     at = F.struct("file", "chunk", "pos")
     once = (routed.withColumn("match_id", target).filter("match_id is not null")
             .withColumn("late_legacy", legacy_closed).withColumn("payload", payload)
-            .groupBy("match_id", "payload").agg(
+            .groupBy(*MATCH, "payload").agg(
                 F.min(at).alias("at"), F.min_by("r", at).alias("r"), F.min_by("late_legacy", at).alias("late_legacy"),
                 F.min_by(F.col("seg"), at).alias("seen_seg"), F.min_by("open", at).alias("seen_open"),
                 F.min_by("seg_match", at).alias("seen_match")))
-    return once.select("match_id", "at", "late_legacy", "seen_seg", "seen_open", "seen_match",
-                       F.posexplode("r.resultList").alias("i", "e")).select(
-        "match_id", "at", "i", "late_legacy", "seen_seg", "seen_open", "seen_match", F.col("e.scope").alias("scope"),
+    entries = once.select(*MATCH, "at", "late_legacy", "seen_seg", "seen_open", "seen_match",
+                          F.posexplode("r.resultList").alias("i", "e")).select(
+        *MATCH, "at", "i", "late_legacy", "seen_seg", "seen_open", "seen_match", F.col("e.scope").alias("scope"),
         _int("e.winningTeamId").alias("winner"), F.regexp_replace("e.reason", "ResultReason_", "").alias("reason"))
+    # an id-less block that comes after its closed match was decided says nothing new
+    decided = (entries.filter("scope = 'MatchScope_Match' and winner is not null and not late_legacy")
+               .join(own_teams(starts).filter("my_team is not null"), MATCH).groupBy(*MATCH).agg(F.min("at").alias("decided_at")))
+    stale = F.col("late_legacy") & F.coalesce(F.col("decided_at") < F.col("at"), F.lit(False))
+    return entries.join(decided, MATCH, "left").filter(~stale).drop("decided_at")
+
+
+def own_teams(starts: DataFrame) -> DataFrame:
+    """(owner, match_id) -> the player's own team, the first known one."""
+    at = F.struct("file", "chunk", "pos")
+    return starts.groupBy(*MATCH).agg(F.min_by("my_team", F.when(F.col("my_team").isNotNull(), at)).alias("my_team"))
 
 
 def decided_matches(entries: DataFrame, teams: DataFrame) -> DataFrame:
-    """match_id -> my_result, end_reason: the first that can be told. Late id-less blocks never override."""
+    """(owner, match_id) -> my_result, end_reason: the first that can be told. Late id-less blocks never override."""
     order = F.struct("late_legacy", "at", "i")
-    known = entries.filter("scope = 'MatchScope_Match'").join(teams, "match_id")
+    known = entries.filter("scope = 'MatchScope_Match'").join(teams, MATCH)
     outcome = F.when(F.col("winner") == F.col("my_team"), "win").otherwise("loss")
     usable = F.col("winner").isNotNull() & F.col("my_team").isNotNull()
-    return known.groupBy("match_id").agg(
+    return known.groupBy(*MATCH).agg(
         F.min_by(outcome, F.when(usable, order)).alias("my_result"),
         F.min_by("reason", F.when(F.col("reason").isNotNull(), order)).alias("end_reason"))
 
 
 def decided_games(entries: DataFrame, teams: DataFrame) -> DataFrame:
-    """(match, game_no) -> result, reason: the k-th game result of a match belongs to its k-th game."""
-    per_match = Window.partitionBy("match_id").orderBy("at", "i")  # games of one match
+    """(owner, match, game_no) -> result, reason: the k-th game result of a match belongs to its k-th game."""
+    per_match = Window.partitionBy(*MATCH).orderBy("at", "i")  # games of one match
     outcome = F.when(F.col("winner").isNotNull() & F.col("my_team").isNotNull(),
                      F.when(F.col("winner") == F.col("my_team"), "win").otherwise("loss"))
-    return (entries.filter("scope = 'MatchScope_Game'").join(teams, "match_id")
-            .select("match_id", F.row_number().over(per_match).alias("game_no"), outcome.alias("result"), "reason"))
+    return (entries.filter("scope = 'MatchScope_Game'").join(teams, MATCH)
+            .select(*MATCH, F.row_number().over(per_match).alias("game_no"), outcome.alias("result"), "reason"))
 
 
 # ---- inside a match -------------------------------------------------------------------------
@@ -181,14 +195,14 @@ def timeline(events: DataFrame, starts: DataFrame, entries: DataFrame) -> DataFr
 
 def games_from_turns(line: DataFrame, starts: DataFrame) -> DataFrame:
     """(file, seg, game_no) -> side: the first turn-1 message with a known active player decides."""
-    first = line.filter("turn = 1").join(starts.select(*SEG, "match_id", "my_seat"), SEG)
+    first = line.filter("turn = 1").join(starts.select(*SEG, *MATCH, "my_seat"), SEG)
     side = F.when(F.col("active") == F.col("my_seat"), "play").otherwise("draw")
     known = F.col("active").isNotNull() & F.col("my_seat").isNotNull()
     at = F.struct("chunk", "pos", "msg")
-    seen = first.groupBy(*SEG, "match_id", "game_no").agg(F.min_by(side, F.when(known, at)).alias("play_draw"))
-    top = seen.groupBy(*SEG, "match_id").agg(F.max("game_no").alias("top"))
-    every = top.select(*SEG, "match_id", F.explode(F.sequence(F.lit(1), "top")).alias("game_no"))
-    return every.join(seen, [*SEG, "match_id", "game_no"], "left")
+    seen = first.groupBy(*SEG, *MATCH, "game_no").agg(F.min_by(side, F.when(known, at)).alias("play_draw"))
+    top = seen.groupBy(*SEG, *MATCH).agg(F.max("game_no").alias("top"))
+    every = top.select(*SEG, *MATCH, F.explode(F.sequence(F.lit(1), "top")).alias("game_no"))
+    return every.join(seen, [*SEG, *MATCH, "game_no"], "left")
 
 
 def mulligans_from(line: DataFrame, starts: DataFrame) -> DataFrame:
@@ -202,41 +216,41 @@ def mulligans_from(line: DataFrame, starts: DataFrame) -> DataFrame:
         F.count(F.when(F.col("decision").endswith("_Mulligan"), 1)).cast("int").alias("kept_on"),
         F.max("keep").alias("kept")).filter("kept").select(*SEG, "game_no", F.lit(None).cast("int").alias("seat"), "kept_on")
     given = rows.filter("kept is not null").select(*SEG, "game_no", "seat", F.col("kept").alias("kept_on"))
-    return hands.unionByName(given).join(starts.select(*SEG, "match_id", "my_seat"), SEG).select(
-        "match_id", "game_no", F.coalesce("seat", "my_seat").alias("seat"), "kept_on")
+    return hands.unionByName(given).join(starts.select(*SEG, *MATCH, "my_seat"), SEG).select(
+        F.col("owner").alias("player_id"), "match_id", "game_no", F.coalesce("seat", "my_seat").alias("seat"), "kept_on")
 
 
 def commanders_from(events: DataFrame, starts: DataFrame) -> DataFrame:
     """Cards shown in the command zone of commander events, resolved to objects seen so far, plus the
     command zone of the player's own deck where the deck was known at the start."""
     brawl = starts.filter(C.is_brawl())
-    msgs = _messages(events).join(brawl.select(*SEG, "match_id"), SEG)
+    msgs = _messages(events).join(brawl.select(*SEG, *MATCH), SEG)
     at = ["chunk", "pos", "msg"]
-    objects = msgs.select(*SEG, "match_id", *at, F.posexplode("s.gameObjects").alias("j", "o")).select(
-        *SEG, "match_id", *at, F.lit(0).alias("is_ref"), F.col("j").alias("k"), F.col("o.instanceId").alias("instance"),
+    objects = msgs.select(*SEG, *MATCH, *at, F.posexplode("s.gameObjects").alias("j", "o")).select(
+        *SEG, *MATCH, *at, F.lit(0).alias("is_ref"), F.col("j").alias("k"), F.col("o.instanceId").alias("instance"),
         F.col("o").alias("object"), F.lit(None).cast("string").alias("zone_seat"))
-    refs = msgs.select(*SEG, "match_id", *at, F.posexplode("s.zones").alias("zi", "z")).filter(
+    refs = msgs.select(*SEG, *MATCH, *at, F.posexplode("s.zones").alias("zi", "z")).filter(
         "z.type = 'ZoneType_Command'").select(
-        *SEG, "match_id", *at, "zi", F.col("z.ownerSeatId").alias("zone_seat"),
+        *SEG, *MATCH, *at, "zi", F.col("z.ownerSeatId").alias("zone_seat"),
         F.posexplode("z.objectInstanceIds").alias("k", "instance")).select(
-        *SEG, "match_id", *at, F.lit(1).alias("is_ref"), (F.col("zi") * 1000 + F.col("k")).alias("k"), "instance",
+        *SEG, *MATCH, *at, F.lit(1).alias("is_ref"), (F.col("zi") * 1000 + F.col("k")).alias("k"), "instance",
         F.lit(None).cast(objects.schema["object"].dataType).alias("object"), "zone_seat")
     w = Window.partitionBy(*SEG, "instance").orderBy(*at, "is_ref", "k")  # one card object of one match
     seen = objects.unionByName(refs).withColumn("object", F.last("object", ignorenulls=True).over(w))
     kind = F.coalesce(F.nullif("object.type", F.lit("")), F.lit("GameObjectType_Card"))
     hits = seen.filter("is_ref = 1").filter(kind == "GameObjectType_Card").select(
-        *SEG, "match_id", *at, "k", F.coalesce("object.grpId", "object.cardId").alias("grp_id"),
+        *SEG, *MATCH, *at, "k", F.coalesce("object.grpId", "object.cardId").alias("grp_id"),
         F.coalesce(_int("object.ownerSeatId"), _int("zone_seat")).alias("seat")).filter(
         "grp_id is not null and seat is not null")
-    first = hits.groupBy(*SEG, "match_id", "seat", "grp_id").agg(F.min(F.struct(*at, "k")).alias("at"))
+    first = hits.groupBy(*SEG, *MATCH, "seat", "grp_id").agg(F.min(F.struct(*at, "k")).alias("at"))
     per_message = Window.partitionBy(*SEG, "seat", "at.chunk", "at.pos", "at.msg").orderBy("at.k")
     idx = F.row_number().over(per_message) - 1
-    shown = first.select("match_id", "seat", "grp_id", F.when(idx < 2, idx).otherwise(0).alias("partner_idx"))
+    shown = first.select(*MATCH, "seat", "grp_id", F.when(idx < 2, idx).otherwise(0).alias("partner_idx"))
     own = brawl.filter("deck_in_time and my_seat is not null").select(
-        "match_id", F.col("my_seat").alias("seat"), F.posexplode("deck.zone").alias("partner_idx", "grp_id")).select(
-        "match_id", "seat", "grp_id", "partner_idx")
+        *MATCH, F.col("my_seat").alias("seat"), F.posexplode("deck.zone").alias("partner_idx", "grp_id")).select(
+        *MATCH, "seat", "grp_id", "partner_idx")
     both = own.withColumn("o", F.lit(0)).unionByName(shown.withColumn("o", F.lit(1)))
-    return both.groupBy("match_id", "seat", "grp_id").agg(
+    return both.groupBy(F.col("owner").alias("player_id"), "match_id", "seat", "grp_id").agg(
         F.min_by("partner_idx", F.struct("o", "partner_idx")).alias("partner_idx"))
 
 
@@ -264,23 +278,23 @@ def rebuild_facts(payloads: DataFrame, identities: DataFrame | None = None,
         decks = decks.unionByName(extra_decks)
     starts = cut_lineage(attach_decks(open_matches(events, identities), decks))
     entries = cut_lineage(result_entries(events, starts))
-    at = F.struct("file", "chunk", "pos")
-    teams = starts.groupBy("match_id").agg(F.min_by("my_team", F.when(F.col("my_team").isNotNull(), at)).alias("my_team"))
+    teams = own_teams(starts)
     line = cut_lineage(timeline(events, starts, entries))
     turn_games = games_from_turns(line, starts)
     game_results = decided_games(entries, teams)
-    games = (turn_games.groupBy("match_id", "game_no").agg(F.max("play_draw").alias("play_draw"))
-             .join(game_results, ["match_id", "game_no"], "full_outer"))
-    lacking = starts.select("match_id").distinct().join(games.select("match_id").distinct(), "match_id", "left_anti")
-    games = games.select("match_id", "game_no", "result", "reason", "play_draw").unionByName(lacking.selectExpr(
-        "match_id", "1 as game_no", "cast(null as string) result", "cast(null as string) reason",
+    player = F.col("owner").alias("player_id")
+    games = (turn_games.groupBy(*MATCH, "game_no").agg(F.max("play_draw").alias("play_draw"))
+             .join(game_results, [*MATCH, "game_no"], "full_outer"))
+    lacking = starts.select(*MATCH).distinct().join(games.select(*MATCH).distinct(), MATCH, "left_anti")
+    games = games.select(player, "match_id", "game_no", "result", "reason", "play_draw").unionByName(lacking.selectExpr(
+        "owner as player_id", "match_id", "1 as game_no", "cast(null as string) result", "cast(null as string) reason",
         "cast(null as string) play_draw"))
     ends = events.filter("completes and seg > 0").groupBy(*SEG).agg(
         F.min_by("ts", F.struct("chunk", "pos")).alias("end_ts"))
     top_turn = line.filter("turn > 0").groupBy(*SEG).agg(F.max("turn").alias("total_turns"))
     sides = turn_games.filter("game_no = 1").select(*SEG, "play_draw")
     rows = (starts.join(ends, SEG, "left").join(top_turn, SEG, "left").join(sides, SEG, "left")
-            .join(decided_matches(entries, teams), "match_id", "left"))
+            .join(decided_matches(entries, teams), MATCH, "left"))
     start = F.coalesce("start_ts", "end_ts")
     matches = rows.select(
         "match_id", F.col("owner").alias("player_id"), "file", "chunk", "pos", F.lit("log").alias("source"), "event_key",
@@ -290,10 +304,10 @@ def rebuild_facts(payloads: DataFrame, identities: DataFrame | None = None,
         "my_seat", "opponent_name", "opponent_platform", "play_draw", "my_result", "end_reason", "total_turns",
         F.col("deck.tag").alias("my_deck_tag"), F.col("deck.id").alias("my_deck_id"),
         F.col("deck.version").alias("my_deck_version"))
-    orphans = entries.join(starts.select("match_id").distinct(), "match_id", "left_anti").select(
-        "match_id", F.struct("at", "i").alias("entry_no"), "scope", F.col("winner").alias("winning_team"), "reason")
+    orphans = entries.join(starts.select(*MATCH).distinct(), MATCH, "left_anti").select(
+        player, "match_id", F.struct("at", "i").alias("entry_no"), "scope", F.col("winner").alias("winning_team"), "reason")
     rosters = starts.select("match_id", F.col("owner").alias("player_id"), "players")
-    results = entries.select("match_id", F.struct("at", "i").alias("entry_no"), "scope",
+    results = entries.select(player, "match_id", F.struct("at", "i").alias("entry_no"), "scope",
                              F.col("winner").alias("winning_team"), "reason")
     return {"rosters": rosters, "results": results, "decks": decks, "matches": matches, "games": games, "mulligans": mulligans_from(line, starts),
             "commanders": commanders_from(events, starts), "ranks": ranks_from(events), "orphans": orphans}

@@ -61,7 +61,7 @@ def _(t):
   group by player_id, 2, case when coalesce(my_deck_id,'')='' then coalesce(my_deck_tag,'') else '' end""")
 def _(t):
     focus = O.format_focus(t.m, DAY)
-    return D.recent_decks(t.m, ALL, limit=1000, focus=focus).select("player_id", "deck_id", "n")
+    return D.recent_decks(t.m, ALL, limit=None, focus=focus).select("player_id", "deck_id", "n")
 
 
 @query("deck_identities_by_name", f"""with {LABELS}, a as (select player_id, coalesce(my_deck_tag,'') as deck,
@@ -300,6 +300,14 @@ def _(t):
         "mode_sole")
 
 
+@query("match_page_far", f"""select player_id, position, match_id from (select player_id, match_id, cast(row_number() over (
+  partition by player_id order by start_time desc nulls last, match_id desc) as int) as position from m where {VISIBLE})
+  where position between 31 and 5030""")
+def _(t):
+    """A page whose end lies far behind the first thousand rows."""
+    return M.match_page(t.m, t.g, t.mu, t.c, ALL, limit=5000, offset=30).select("player_id", "position", "match_id")
+
+
 @query("match_page_totals", f"""select player_id, {cnt(VISIBLE)} as total, {cnt('is_abnormal=1 or is_bot=1')} as hidden
   from m where match_mode='BO1' group by 1""")
 def _(t):

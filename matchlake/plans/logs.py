@@ -126,6 +126,28 @@ def _(t):
     return _facts(t)["matches"].select(*_FACT_COLS)
 
 
+_FLIP = "case my_result when 'win' then 'loss' when 'loss' then 'win' end"
+
+
+@query("log_shared_matches", f"""with {_REC} select match_id, player_id, my_result from fact
+  union all select match_id, 'B' || player_id, {_FLIP} from fact""", ())
+def _(t):
+    """Both sides of every match leave a log: the same match ids, the seats and so the results exchanged."""
+    lines = log_lines(t)
+    seat = lambda n: f'"systemSeatId":{n},"teamId":{n}'
+    swapped = F.replace(F.replace(F.replace("text", F.lit(seat(1)), F.lit("<one>")), F.lit(seat(2)), F.lit(seat(1))), F.lit("<one>"), F.lit(seat(2)))
+    other = lines.withColumn("text", swapped).withColumn("file", F.replace("file", F.lit("UTC_Log_"), F.lit("UTC_Log_B")))
+    return SE.rebuild_facts(payloads(t, lines.unionByName(other)))["matches"].select("match_id", "player_id", "my_result")
+
+
+@query("log_unclosed_records", f"""with {_ML} select 'UTC_Log_' || player_id as file, cast(match_id*100+95 as bigint) as pos,
+  '{_P}{{"broken": [{{"unclosed": 1' || case when match_id%3=1 then chr(10) || 'plain line without braces' || chr(10) || '   ' else '' end as text
+  from ml where match_id%50=3""".replace("{{", "{"), ())
+def _(t):
+    """Unclosed records keep all their lines."""
+    return LG.assemble_records(log_lines(t)).filter("not closed").select("file", "pos", "text")
+
+
 @query("log_files_roundtrip", f"with {_REC} select * from fact", ())
 def _(t):
     """The same through real text files: written, listed, scanned in splits, rebuilt."""
@@ -149,13 +171,13 @@ def _(t):
   union all select match_id, 2, case when my_seat is not null then my_result end, 'Game',
     case when my_seat is not null then 'draw' end from x where bo3""", ())
 def _(t):
-    return _facts(t)["games"]
+    return _facts(t)["games"].drop("player_id")
 
 
 @query("log_mulligans", f"""with {_ML} select cast(match_id as varchar) as match_id, 1 as game_no, my_seat as seat,
   cast(match_id%3 as int) as kept_on from ml where match_id%5<>0""", ())
 def _(t):
-    return _facts(t)["mulligans"]
+    return _facts(t)["mulligans"].drop("player_id")
 
 
 @query("log_commanders", f"""with {_ML}, {_DECK} select cast(match_id as varchar) as match_id, 2 as seat, cast(K%40 as varchar) as grp_id,
@@ -165,7 +187,7 @@ def _(t):
   union all select cast(match_id as varchar), 1, '555', 0 from mdk where contains(event_key,'Brawl') and my_seat is not null
     and deck_then is not null""", ())
 def _(t):
-    return _facts(t)["commanders"]
+    return _facts(t)["commanders"].drop("player_id")
 
 
 @query("log_ranks", f"""with {_ML}, {_STAMPS} select cast(player_id as varchar) as player_id, (select arg_max(ts, pos) from stamps s
@@ -175,10 +197,10 @@ def _(t):
     return _facts(t)["ranks"].select(F.col("owner").alias("player_id"), "ts", "constructed_class", "constructed_level")
 
 
-@query("log_orphan_results", f"""with {_ML} select 'gone' as match_id, 'MatchScope_Match' as scope, 1 as winning_team
-  where exists (select 1 from ml where match_id%100=5)""", ())
+@query("log_orphan_results", f"""with {_ML} select distinct cast(player_id as varchar) as player_id, 'gone' as match_id,
+  'MatchScope_Match' as scope, 1 as winning_team from ml where match_id%100=5""", ())
 def _(t):
-    return _facts(t)["orphans"].select("match_id", "scope", "winning_team")
+    return _facts(t)["orphans"].select("player_id", "match_id", "scope", "winning_team")
 
 
 @query("log_identity", f"""with {_ML}, u as (select player_id, case when my_seat is null then 'X' else 'U' || player_id end as u from ml

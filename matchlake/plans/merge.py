@@ -65,6 +65,17 @@ _MERGE = f"""o as (select {_OLD} from m where match_id%3<>2), a as (select {_NEW
     from step1 s left join b on b.match_id=s.match_id)"""
 
 
+@query("merge_shared_matches", """select match_id, player_id, my_result, start_time from m union all select match_id, player_id+1000000,
+  case my_result when 'win' then 'loss' when 'loss' then 'win' end, start_time from m""")
+def _(t):
+    """Two players with the same match ids and opposite results, merged twice."""
+    mine = t.m.selectExpr(*_split(_OLD)).drop("my_result").join(t.m.select("match_id", "my_result"), "match_id")
+    flip = F.when(F.col("my_result") == "win", "loss").when(F.col("my_result") == "loss", "win")
+    both = mine.unionByName(mine.withColumn("player_id", F.col("player_id") + 1_000_000).withColumn("my_result", flip))
+    once = U.merge_matches(None, both)
+    return U.merge_matches(once.drop("is_abnormal"), both).select("match_id", "player_id", "my_result", "start_time")
+
+
 @query("merge_matches", f"with {_MERGE} select * replace (nullif(my_deck_tag,'') as my_deck_tag), 0 as is_abnormal from step2")
 def _(t):
     return U.merge_matches(_old(t), _new(t))

@@ -39,15 +39,20 @@ def import_history(rows: DataFrame, matches: DataFrame) -> DataFrame:
         named("deck").alias("my_deck_tag"))
 
 
-def find_match_objects(texts: DataFrame, depth: int = 8) -> DataFrame:
-    """JSON texts (file, value) to the match objects in them, at any depth up to ``depth``.
+def find_match_objects(texts: DataFrame) -> DataFrame:
+    """JSON texts (file, value) to the match objects in them, at any depth.
 
-    An object with a ``short_id`` is a match and is not searched further.
+    An object with a ``short_id`` and ``games`` is a match and is not searched further. Each level is
+    checkpointed, so a text is parsed once; the search ends when a level has nothing left to open.
     """
     level = texts.select("file", F.try_parse_json("value").alias("v"), F.lit("").alias("path")).filter("v is not null")
     found = None
-    for _ in range(depth):
-        typed = level.withColumn("short_id", F.try_variant_get("v", "$.short_id", "string"))
+    while True:
+        level = cut_lineage(level)
+        if level.isEmpty():
+            break
+        complete = F.try_variant_get("v", "$.games", "variant").isNotNull()
+        typed = level.withColumn("short_id", F.when(complete, F.try_variant_get("v", "$.short_id", "string")))
         hit = typed.filter("short_id is not null").select(
             "file", "path", "short_id", F.try_variant_get("v", "$", MATCH).alias("m"))
         found = hit if found is None else found.unionByName(hit)
@@ -57,6 +62,8 @@ def find_match_objects(texts: DataFrame, depth: int = 8) -> DataFrame:
             "from {rest}, lateral variant_explode(v) e where schema_of_variant(e.value) like 'OBJECT%' "
             "or schema_of_variant(e.value) like 'ARRAY%'", rest=rest)
         level = kids
+    if found is None:
+        found = level.select("file", "path", F.lit("").alias("short_id"), F.try_variant_get("v", "$", MATCH).alias("m")).limit(0)
     return found
 
 

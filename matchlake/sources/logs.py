@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators.ordered import lookup_join, running
+from ..operators.ordered import running
 from ..session import cut_lineage
 
 # fixed values: log line prefix, timestamp pattern, user id pattern
@@ -16,6 +16,7 @@ PREFIX = "[UnityCrossThreadLogger]"
 TIMESTAMP = r'"timestamp"\s*:\s*"(\d{13})"'
 USER_ID = r'"userId"\s*:\s*"([^"]+)"'
 QUOTED = r'"(?:\\.|[^"\\])*"'
+UNCLOSED_LINES = 10_000  # lines of an unclosed record in one row
 
 
 # ---- files ----------------------------------------------------------------------------------
@@ -70,7 +71,8 @@ def assemble_records(lines: DataFrame) -> DataFrame:
     """Lines to logical records: file, chunk, pos (of the first line), text, lines, closed.
 
     A record ends where the brace depth (outside strings) is back at zero; a line with the logger prefix
-    always starts a new record, so an unclosed brace loses only its own record (``closed`` false).
+    always starts a new record, so an unclosed brace spoils only its own record (``closed`` false). All its
+    lines are kept: one row, or for a very long one a row for every UNCLOSED_LINES lines.
     A close without an open is ignored. Blank records are dropped.
     """
     ident = ["file", "chunk", "pos"]
@@ -89,17 +91,20 @@ def assemble_records(lines: DataFrame) -> DataFrame:
         *ident, "ends", whole.alias("whole"),
         (F.col("block") + F.col("done") - F.col("ends").cast("int")).alias("record")))
     at = F.struct("chunk", "pos")
-    # lines of records over several lines; of an unclosed one, however long, only the first line is kept
     parts = numbered.filter("not whole").select(*ident, "record", "ends")
-    sizes = parts.groupBy("file", "record").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("lines"),
-                                                F.max("ends").alias("closed"))
-    kept = lookup_join(parts.drop("ends"), sizes, ["file", "record"], parts.count())
-    kept = kept.filter(F.col("closed") | (F.col("at") == at)).select(*ident, "record", "lines", "closed")
+    sizes = parts.groupBy("file", "record").agg(F.count(F.lit(1)).alias("lines"), F.max("ends").alias("closed"))
+    open_ = parts.join(sizes.filter(~F.col("closed")).select("file", "record"), ["file", "record"], "left_semi")
+    # rank of each line inside its unclosed record, carried between chunks, deals long ones to several rows
+    ranked = running(open_.select("file", "record", "chunk", "pos"), ["file", "record"], "chunk", ["pos"], sums={"rank": F.lit(1)})
+    piece = ranked.select(*ident, "record", F.floor((F.col("rank") - 1) / UNCLOSED_LINES).alias("piece"))
+    kept = (parts.drop("ends").join(sizes, ["file", "record"]).join(piece, [*ident, "record"], "left")
+            .select(*ident, "record", "lines", "closed", F.coalesce("piece", F.lit(0)).alias("piece")))
     alone = numbered.filter("whole").select(*ident, F.lit(None).cast("bigint").alias("record"),
-                                            F.lit(1).cast("bigint").alias("lines"), F.lit(True).alias("closed"))
+                                            F.lit(1).cast("bigint").alias("lines"), F.lit(True).alias("closed"),
+                                            F.lit(0).alias("piece"))
     texts = lines.join(alone.unionByName(kept), ident)
     single = texts.filter("record is null").select(*ident, "text", "lines", "closed")
-    multi = (texts.filter("record is not null").groupBy("file", "record")
+    multi = (texts.filter("record is not null").groupBy("file", "record", "piece")
              .agg(F.min(at).alias("at"), F.max("lines").alias("lines"), F.max("closed").alias("closed"),
                   F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "pos", "text"))),
                                            lambda r: r["text"]), "\n").alias("text"))

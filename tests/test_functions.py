@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from matchlake.functions import classify as C, event_labels as L
 from matchlake.functions.tests_of_chance import _tail, fair_binomial_two_sided, p_to_score
 from matchlake.functions.winrate import rate_columns
-from matchlake.operators.sequences import no_run_probability
+from matchlake.functions.tests_of_chance import no_run_probability
 from matchlake.scope import Scope, range_bounds
 
 
@@ -86,6 +86,12 @@ def no_run_reference(length, streak):
     return 1 - hit / 2 ** length
 
 
+def test_csv_safe_strips_unicode_blanks(spark):
+    from matchlake.functions.classify import csv_safe
+    for blank in (" ", "\u3000", "\u00a0", "\t"):
+        assert one(spark, csv_safe(F.lit(blank + "=1+1" + blank)).alias("v")).v == "'=1+1"
+
+
 def test_scan_probability(spark):
     cases = [(n, k) for n in range(1, 13) for k in range(1, 8)]
     df = spark.createDataFrame(cases, "n int, k int")

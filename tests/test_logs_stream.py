@@ -79,6 +79,34 @@ def test_legacy_result_goes_to_last_closed_if_undecided(spark):
     assert f["matches"][0].my_result == "loss"
 
 
+def test_late_legacy_block_is_ignored_once_decided(spark):
+    f = facts(spark, [start("a", T), turn(1, 1), result([("Match", 1), ("Game", 1)]), done(T + 1), result([("Match", 2), ("Game", 2)])])
+    assert f["matches"][0].my_result == "win"
+    assert [(g.game_no, g.result) for g in f["games"]] == [(1, "win")]
+
+
+def test_two_players_in_one_match(spark):
+    lines = {"A": [start("m", T), turn(1, 1), result([("Match", 1)], "m"), done(T + 1)],
+             "B": [start("m", T, me=2), turn(1, 1), result([("Match", 1)], "m"), done(T + 1)]}
+    rows = [(o, 0, i, x, o) for o, ls in lines.items() for i, x in enumerate(ls)]
+    df = spark.createDataFrame(rows, "file string, chunk long, pos long, text string, owner string")
+    p = LG.parse_payloads(LG.assemble_records(df)).withColumn("owner", F.col("file"))
+    out = SE.rebuild_facts(p, spark.createDataFrame([("A", ME), ("B", ME)], "owner string, my_user string"))
+    assert {(m.player_id, m.my_result) for m in out["matches"].collect()} == {("A", "win"), ("B", "loss")}
+    assert {(g.player_id, g.play_draw) for g in out["games"].collect()} == {("A", "play"), ("B", "draw")}
+
+
+def test_unclosed_records_keep_every_line(spark, monkeypatch):
+    text = [P + '{"broken": [1,', '"timestamp": "1788599000123",', '"userId": "ME",', "tail", P + '{"ok":1}']
+    df = spark.createDataFrame([("f", i // 2, i, x) for i, x in enumerate(text)], "file string, chunk long, pos long, text string")
+    rec = {r.pos: r for r in LG.assemble_records(df).collect()}
+    assert rec[0].text == "\n".join(text[:4]) and not rec[0].closed and rec[0].lines == 4
+    assert {r.pos: r.ts for r in LG.carry_timestamps(LG.assemble_records(df)).collect()}[4] == 1788599000123
+    monkeypatch.setattr(LG, "UNCLOSED_LINES", 3)
+    cut = sorted((r.pos, r.text) for r in LG.assemble_records(df).filter("not closed").collect())
+    assert cut == [(0, "\n".join(text[:3])), (3, "tail")]
+
+
 def test_mulligans_and_commanders(spark):
     zone = {"zones": [{"type": "ZoneType_Command", "ownerSeatId": 2, "objectInstanceIds": [1, 2, 3]}],
             "gameObjects": [{"instanceId": 1, "grpId": 10, "type": "GameObjectType_Card"}, {"instanceId": 2, "grpId": 11},
@@ -106,10 +134,10 @@ def test_several_objects_in_one_record(spark):
 
 def test_deck_code_rejects(spark):
     ok = "AAIBBQEDAAAAAAA"
-    assert DC.decode_code(ok) == [{"section": "commanders", "pos": 0, "title_id": 5, "qty": 1},
-                                  {"section": "main", "pos": 1, "title_id": 3, "qty": 1}]
-    for bad in (None, "", "!!!", ok[:-3], ok + "AA", "AQIA"):
-        assert DC.decode_code(bad) is None
+    codes = [None, "", "!!!", ok[:-3], ok + "AA", "AQIA", ok, "x" * 100_001]
+    got = {r.code: r.cards for r in DC.decode_codes(spark.createDataFrame([(c,) for c in codes], "code string"), "code").collect()}
+    assert [tuple(c) for c in got.pop(ok)] == [("commanders", 0, 5, 1), ("main", 1, 3, 1)]
+    assert len(got) == 6 and set(got.values()) == {None}
 
 
 def test_stream_late_result_and_restart(spark, tmp_path):

@@ -118,3 +118,18 @@ def test_running_scan_matches_plain_window(spark):
     for r in out:
         total, low, last = total + r.v, min(low, r.v), r.v if r.v > 2 else last
         assert (r.s, r.m, r.l) == (total, low, last)
+
+
+def test_chunks_are_cut_by_rows(spark):
+    """One undated row, a far outlier and a burst: no chunk holds more than twice the target, order is kept."""
+    from matchlake.operators.ordered import CHUNK, chunked
+    day = 86_400_000
+    times = [0, 5 * day, *[19_000 * day + i * 1000 for i in range(6000)], *[19_001 * day + i * 3_600_000 for i in range(500)]]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)] + [(2, i, i) for i in range(20)], "k long, id long, t long")
+    got = chunked(df, ["k"], "t", 200).filter("k = 1").orderBy("t").select("t", CHUNK).collect()
+    sizes = {}
+    for r in got:
+        sizes[r[1]] = sizes.get(r[1], 0) + 1
+    assert sizes[0] == 1 and max(sizes.values()) <= 400 and len(sizes) >= len(times) // 400
+    assert [r[1] for r in got] == sorted(r[1] for r in got)
+    assert chunked(df, ["k"], "t", 200).filter(f"k = 2 and {CHUNK} <> 0").count() == 0
