@@ -17,7 +17,7 @@ SHARD_GRAMS = 2_000_000      # resolved n-grams in one pass over the documents (
 LOW, HIGH = 0.002, 0.998     # quantiles of trusted perplexity
 FEW_IDS = 1_000_000          # trusted ids that may be broadcast (8 MB)
 PAD = "\x02"                 # before the first character
-SLOTS = 20                   # bits of the direct-mapped table of n-grams seen in a task
+SLOTS = 20                   # bits of the direct-mapped tables of n-grams in a task
 
 
 def code_points(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -146,9 +146,9 @@ def perplexities(docs: DataFrame, grams: DataFrame, block: int = SHARD_GRAMS) ->
 
         def add(batches, shared=shared, first=k == 0):
             keys, logp = shared.value
-            bits = np.uint64(64 - 22)
-            slot = np.zeros(1 << 22, np.uint64)
-            value = np.zeros(1 << 22)
+            bits = np.uint64(64 - SLOTS)
+            slot = np.zeros(1 << SLOTS, np.uint64)
+            value = np.zeros(1 << SLOTS)
             if len(keys):
                 slot[keys >> bits], value[keys >> bits] = keys, logp
             for b in batches:
@@ -195,5 +195,5 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
         F.percentile_approx("ppl", F.array(F.lit(low), F.lit(high)), 10_000).alias("q"))
     limits = limits.select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     inside = F.coalesce((F.col("ppl") >= F.col("low")) & (F.col("ppl") <= F.col("high")), F.lit(True))
-    return scored.join(limits, "lang", "left").select(
+    return scored.join(F.broadcast(limits), "lang", "left").select(  # one row per language
         "doc_id", F.nullif("lang", F.lit("")).alias("lang"), F.col("ppl").alias("perplexity"), "low", "high", inside.alias("keep"))
