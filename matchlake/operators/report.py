@@ -43,9 +43,9 @@ def range_numbers(enriched: DataFrame, lo: date, hi: date) -> DataFrame:
     return side_summary(rows, PLAYER).join(days, PLAYER)
 
 
-def day_report(enriched: DataFrame, lo: date, hi: date) -> dict[str, DataFrame]:
+def day_report(enriched: DataFrame, lo: date, hi: date, *rarity) -> dict[str, DataFrame]:
     """``enriched`` holds all rows in scope (undated ones too). Facts exist for single days only;
-    the streak history stops at the last selected day."""
+    the streak history stops at the last selected day. ``rarity``: thresholds of rare cards, as in ``daily_facts``."""
     enriched = cut_lineage(enriched)  # every block reads it
     strata = range_strata(enriched, lo, hi)
     blocks = {
@@ -61,5 +61,5 @@ def day_report(enriched: DataFrame, lo: date, hi: date) -> dict[str, DataFrame]:
     }
     if lo == hi:
         dated = enriched.filter("play_day is not null")
-        blocks["facts"] = daily_facts(dated).filter(F.col("play_day") == F.lit(hi))
+        blocks["facts"] = daily_facts(dated, *rarity).filter(F.col("play_day") == F.lit(hi))
     return blocks

@@ -126,7 +126,21 @@ def _(t):
         "chi2", F.round("chi2", 6))
 
 
-@query("opponent_mix_p_values", None)
+# chi-square tail: finite sum, with erfc(sqrt(h)) from the all-positive series of erf for odd degrees of freedom
+_TAIL = """least(1.0, case when df % 2 = 1 then greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-h) * list_sum(list_transform(range(0, 400),
+    lambda i: exp(least(700, i * ln(2.0) + (2 * i + 1) * ln(sqrt(h)) - (lgamma(2 * i + 2.0) - i * ln(2.0) - lgamma(i + 1.0)))))))
+    else 0.0 end + coalesce(list_sum(list_transform(range(0, cast(df // 2 as bigint)), lambda i: exp(
+    (i + (df % 2) / 2.0) * ln(h) - h - lgamma(i + (df % 2) / 2.0 + 1)))), 0.0))"""
+
+
+@query("opponent_mix_p_values", f"""with {_W30}, {_ENR},
+  {_MIX.format(cards="cast(cast(commanders[1] as int)%2 as varchar)", a=cnt('now_'), b=cnt('then_'), known='len(commanders)>0')},
+  x as (select player_id, now_n, before_n, kinds, case when le>=5 and kinds>1 then stat end as chi2,
+    case when le>=5 and kinds>1 then kinds-1 end as df from mix),
+  y as (select *, case when chi2 is null then null when chi2<=0 then 1.0 else {_TAIL} end as p_ from (select *, chi2/2 as h from x)),
+  z as (select *, round(p_, 6) as p from y)
+  select player_id, now_n, before_n, kinds, chi2, df, p, case when p is null then null when p>=0.10 then 50.0 when p<=1e-4 then 100.0
+    else round(50+50*(log10(p)+1)/-3.0, 1) end as score from z""", ("md", "mu", "c"))
 def _(t):
     mix = P.opponent_mix_shift(_parity_cards(_enriched(t)), ["player_id"], DAY, 10)
     p = chi2_tail("chi2", F.col("df").cast("double"))

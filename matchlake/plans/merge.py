@@ -4,7 +4,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..operators import matchups as M, merge as U, report as RP
-from .catalog import CNT, VISIBLE, cnt, pct_sql, query, rate_sql
+from .catalog import CNT, ORACLES, VISIBLE, cnt, pct_sql, query, rate_sql
+from .facts import RARE, RARE_LEGENDARY
 from .compare import ADJUSTED, BY_EVENT, BY_EVENT_OUT, _ENR, strata_sql
 from .overview import ALL, DAY, summary_sql
 from .sequences import _SIDED, islands_sql
@@ -424,7 +425,8 @@ def _(t):
         "player_id", "longest_play", "longest_draw", "last_time")
 
 
-@query("report_day_facts", None)
+@query("report_day_facts", f"""select player_id, cast(play_day as varchar) as play_day, slot, kind, level, n
+  from ({ORACLES['daily_facts']}) where play_day = date '{DAY}'""", ())
 def _(t):
-    return RP.day_report(_enriched(t), DAY, DAY)["facts"].select(
+    return RP.day_report(_enriched(t), DAY, DAY, RARE, RARE_LEGENDARY)["facts"].select(
         "player_id", F.col("play_day").cast("string").alias("play_day"), "slot", "kind", "level", "n")
