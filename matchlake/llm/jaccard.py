@@ -6,9 +6,9 @@ Jaccard of 3/4 share one of their first n - ceil(3n/4) + 1 shingles. Two relatio
 
 * within a list, sets are sorted by size and cut into blocks; a block whose size and position bound cannot reach the
   threshold with the probing set is skipped whole;
-* each set is first compared with one leader (the set most of its lists have in common). Sets linked to a leader are one
-  component, so their pairs need no look; for the others the leader's computed distance d decides by the triangle
-  inequality: |d(x, leader) - d(y, leader)| > 1/4 rules a pair out.
+* for a few turns each set is compared with one leader (the set that leads most of its lists). Sets linked to a leader are
+  one component, so their pairs need no look; for the others the first leader's computed distance d decides by the
+  triangle inequality: |d(x, leader) - d(y, leader)| > 1/4 rules a pair out.
 
 Only pairs of different components that survive both are compared, which finds every component exactly.
 """
@@ -26,6 +26,7 @@ LOCAL = 4               # a shingle in so many different sets of one chunk of a
 FREQUENT = 64           # ... and is frequent if the reports add up to this much
 MOST_FREQUENT = 1 << 20  # bound of the table of frequent shingles that every task receives
 BLOCK = 128             # sets of a block in a list
+TURNS = 4               # rounds of comparisons with leaders before the remaining pairs are listed
 PIECE = 2048            # sets compared with one leader in one task
 FEW_IDS = 1_000_000     # document ids that may be broadcast (8 MB)
 
@@ -271,6 +272,25 @@ def linked(v: DataFrame) -> DataFrame:
     return v.filter(100 * F.col("both") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def with_components(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Postings of lists that still hold sets of different components, with the component of each set."""
+    if comp is None:
+        return postings.withColumn("comp", F.col("sid"))
+    known = postings.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    open_ = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
+    return known.join(open_, "h", "left_semi")
+
+
+def star_pairs(known: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set with one leader of another component, the one that leads most of its lists. A list's leader is its
+    least set under a hash that changes from turn to turn, so the pairs are at most as many as the sets."""
+    leaders = known.groupBy("h").agg(F.min_by(F.struct("sid", "n", "comp"), F.xxhash64("sid", F.lit(turn))).alias("lead"))
+    star = (known.join(leaders, "h").filter((F.col("comp") != F.col("lead.comp")) & within("n", "lead.n"))
+            .groupBy("sid", F.col("lead.sid").alias("leader")).agg(F.count(F.lit(1)).alias("times")))
+    return star.groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader")).select(
+        F.col("leader").alias("a"), F.col("sid").alias("b"))
+
+
 def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n, sid), (sid, comp)): every document's set and the component of every set that has a link."""
     spark = docs.sparkSession
@@ -284,26 +304,24 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     frequent = spark.sparkContext.broadcast(np.sort(rows.column("h").to_numpy().view(np.uint64)))
     postings = written(texts.mapInArrow(lambda b: postings_of(frequent.value)(b), POSTING).repartition(n, "h")
                        .mapInArrow(drop_singles, POSTING), "postings")
-    leaders = postings.groupBy("h").agg(F.min_by(F.struct("sid", "n"), F.xxhash64("sid")).alias("lead"))
-    star = (postings.join(leaders, "h").filter((F.col("sid") != F.col("lead.sid")) & within("n", "lead.n"))
-            .groupBy("sid", F.col("lead.sid").alias("leader")).agg(F.count(F.lit(1)).alias("times")))
-    first = written(star.groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-                    .select(F.col("leader").alias("a"), F.col("sid").alias("b")), "first-pairs")
-    first = written(plausible(first, postings), "first-plausible")
-    near = written(verified(first, members(texts, described, first)), "first-verified")
-    comp = components(linked(near))
-    far = near.select(F.col("b").alias("sid"), F.col("a").alias("leader"),
-                      (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
-    labels = comp.toDF("sid", "comp")
-    known = postings.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    open_ = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
-    rest = (known.join(open_, "h", "left_semi").join(far, "sid", "left")
+    comp, links, far = None, None, None
+    for turn in range(TURNS):
+        known = with_components(postings, comp)
+        pairs = written(plausible(star_pairs(known, turn), postings), "star-pairs")
+        if turn and pairs.isEmpty():
+            break
+        near = written(verified(pairs, members(texts, described, pairs)), "star-verified")
+        links = linked(near) if links is None else links.unionByName(linked(near))
+        if far is None:
+            far = near.select(F.col("b").alias("sid"), F.col("a").alias("leader"),
+                              (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
+        comp = components(links).toDF("sid", "comp")
+    rest = (with_components(postings, comp).join(far, "sid", "left")
             .select("h", "sid", "n", "pos", "comp", F.coalesce("leader", "sid").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far")))
     crossing = rest.repartition(n, "h").sortWithinPartitions("h").mapInArrow(emit_cross, "a long, b long").distinct()
     crossing = written(plausible(crossing, postings), "cross-pairs")
     more = linked(verified(crossing, members(texts, described, crossing)))
-    links = linked(near).unionByName(more)
-    return described, components(links).toDF("sid", "comp")
+    return described, components(links.unionByName(more)).toDF("sid", "comp")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
