@@ -153,7 +153,7 @@ def _(t):
     """The same through real text files: written, listed, scanned in splits, rebuilt."""
     folder = scratch_dir(t.spark, "logs")
     lines = log_lines(t).withColumn("owner", F.regexp_replace("file", "UTC_Log_", "UTC_Log_"))
-    (lines.repartition(8, "owner").sortWithinPartitions("owner", "pos").select("owner", "text")
+    (lines.repartition("owner").sortWithinPartitions("owner", "pos").select("owner", "text")
      .write.partitionBy("owner").text(folder))
     files = LG.drop_copies(LG.list_logs(t.spark, [f"{folder}/*"], "*.txt"))
     # the chosen paths are the list Spark's own file index keeps on the driver
