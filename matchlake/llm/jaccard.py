@@ -144,7 +144,9 @@ def cross_pairs(batches):
         starts = np.arange(0, len(sid), BLOCK)
         smallest, largest = n[starts], n[np.minimum(starts + BLOCK, len(sid)) - 1]
         room = np.maximum.reduceat(n - pos, starts)      # what a block's sets can still share from this shingle on
-        for i in range(len(sid)):
+        # of a pair, the set of fewer shingles must share one of its first n - ceil(2t/(1+t) n) + 1
+        early = pos <= n - (2 * THRESHOLD * n.astype(np.int64) + 99 + THRESHOLD) // (100 + THRESHOLD)
+        for i in np.flatnonzero(early):
             for k in range(i // BLOCK, len(starts)):
                 if smallest[k] * t > n[i]:
                     break                                 # sizes only grow
