@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import chunks, mix, utf8, written
 
-ORDER = 4
+ORDER = 5
 SHARD_GRAMS = 2_000_000      # resolved n-grams in one pass over the documents (24 bytes each)
 LOW, HIGH = 0.002, 0.998     # quantiles of trusted perplexity
 FEW_IDS = 1_000_000          # trusted ids that may be broadcast (8 MB)
@@ -110,22 +110,43 @@ def with_discounts(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(n), ["lang", "o"]).select("lang", "o", "gram", "n", cut.alias("cut"))
 
 
+def with_keys(batches):
+    """(key, logp) of rows of (lang, gram, p)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        points = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.arange(b.num_rows + 1) * ORDER
+        salts = lang_salt(b.column("lang").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(gram_keys(points, at, salts)[0].view(np.int64)),
+                                          pa.array(np.log(b.column("p").to_numpy()))], ["key", "logp"])
+
+
 def resolved(corpus_grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, logp) of every n-gram of the corpus: order by order, join (lang, n-gram) with its count and (lang, context)
-    with the context's total and freed mass; what an order has not seen falls to the order below."""
-    table = with_discounts(counts).withColumn("ctx", F.expr("left(gram, o - 1)"))
+    """(key, logp) of every n-gram of the corpus: each order's n-grams meet their own count, the total and freed mass of
+    their context, and what the order below gives their ending; the lower orders hold each ending only once."""
+    table = with_discounts(counts)
+    level = {ORDER: corpus_grams.select("lang", "gram", F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("cut"))}
+    for o in range(ORDER, 0, -1):  # the join with the own counts is the same shuffle that makes the n-grams distinct
+        own = table.filter(F.col("o") == o).select("lang", "gram", "n", "cut")
+        level[o] = written(level[o].unionByName(own).groupBy("lang", "gram").agg(F.max("n").alias("n"), F.max("cut").alias("cut")), "kn-seen")
+        level[o - 1] = level[o].select("lang", F.expr(f"right(gram, {o - 1})").alias("gram"), F.lit(None).cast("long").alias("n"),
+                                       F.lit(None).cast("double").alias("cut"))
     sizes = counts.filter("o = 1").groupBy("lang").agg(F.count(F.lit(1)).alias("letters"))
-    p = corpus_grams.join(sizes, "lang", "left").withColumn("p", 1.0 / (F.coalesce("letters", F.lit(0)) + 1)).drop("letters")
+    below = None
     for o in range(1, ORDER + 1):
-        own = table.filter(F.col("o") == o)
-        ctx = own.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        p = (p.withColumns({"part": F.substring("gram", ORDER - o + 1, o), "ctx": F.substring("gram", ORDER - o + 1, o - 1)})
-             .join(own.select("lang", F.col("gram").alias("part"), "n", "cut"), ["lang", "part"], "left")
-             .join(ctx, ["lang", "ctx"], "left")
-             .withColumn("p", F.when(F.col("total").isNull(), F.col("p")).otherwise(
-                 F.coalesce((F.col("n") - F.col("cut")) / F.col("total"), F.lit(0.0)) + F.col("freed") / F.col("total") * F.col("p")))
-             .select("lang", "gram", "key", "p"))
-    return p.select("key", F.log("p").alias("logp"))
+        ctx = (table.filter(F.col("o") == o).groupBy("lang", F.expr(f"left(gram, {o - 1})").alias("ctx"))
+               .agg(F.sum("n").alias("total"), F.sum("cut").alias("freed")))
+        p = level[o].withColumns({"ctx": F.expr(f"left(gram, {o - 1})"), "tail": F.expr(f"right(gram, {o - 1})")})
+        if o == 1:  # both tables have one row per language
+            p = (p.join(F.broadcast(sizes), "lang", "left").join(F.broadcast(ctx), ["lang", "ctx"], "left")
+                 .withColumn("p", 1.0 / (F.coalesce("letters", F.lit(0)) + 1)))
+        else:
+            p = p.join(ctx, ["lang", "ctx"], "left").join(below, ["lang", "tail"])
+        p = p.select("lang", "gram", F.when(F.col("total").isNull(), F.col("p")).otherwise(
+            F.coalesce((F.col("n") - F.col("cut")) / F.col("total"), F.lit(0.0)) + F.col("freed") / F.col("total") * F.col("p")).alias("p"))
+        below = written(p, "kn-below").withColumnRenamed("gram", "tail") if o < ORDER else p
+    return below.mapInArrow(with_keys, "key long, logp double")
 
 
 def perplexities(docs: DataFrame, grams: DataFrame, block: int = SHARD_GRAMS) -> DataFrame:
@@ -139,7 +160,7 @@ def perplexities(docs: DataFrame, grams: DataFrame, block: int = SHARD_GRAMS) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text", "lang", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("chars"))
     for k in range(n_blocks):
-        rows = grams.filter(F.pmod("key", F.lit(n_blocks)) == k).orderBy("key").toArrow()
+        rows = grams.filter(F.pmod("key", F.lit(n_blocks)) == k).toArrow()
         key = rows.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key)
         shared = spark.sparkContext.broadcast((key[order], rows.column("logp").to_numpy()[order]))
@@ -189,8 +210,8 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     # while the trusted ids are few (checked), only they travel; beyond that, texts and ids meet in a shuffle
     few = F.broadcast(good) if good.count() <= FEW_IDS else good
     counts = count_tables(rows.join(few, "doc_id", "left_semi").select("text", "lang"))
-    seen = rows.select("text", "lang").mapInArrow(new_grams, GRAM).groupBy("lang", "gram", "key").agg(F.max("n").alias("n"))
-    scored = written(perplexities(rows, resolved(seen.drop("n"), counts)), "kn-scored")
+    seen = rows.select("text", "lang").mapInArrow(new_grams, GRAM)
+    scored = written(perplexities(rows, resolved(seen, counts)), "kn-scored")
     limits = scored.join(good, "doc_id", "left_semi").filter(F.col("ppl").isNotNull()).groupBy("lang").agg(
         F.percentile_approx("ppl", F.array(F.lit(low), F.lit(high)), 10_000).alias("q"))
     limits = limits.select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

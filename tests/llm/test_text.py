@@ -164,6 +164,22 @@ def test_blocks_of_grams_add_up(spark):
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
 
 
+def test_order_sees_more_than_four_characters():
+    """Two texts with the same four-character n-grams, only one of which has the five-character ones of the other."""
+    import numpy as np
+    points, at = quality.code_points(["xabcdy", "zabcdy"])
+    key, _, doc = quality.gram_keys(points, at, np.zeros(2, np.uint64))
+    assert quality.ORDER >= 5 and key[doc == 0][4] != key[doc == 1][4]
+
+
+def test_lower_orders_shuffle_each_ending_once(spark):
+    """An ending shared by many n-grams is resolved once, and every n-gram still gets its probability."""
+    d = docs(spark, [(i, f"{c}bcde") for i, c in enumerate("aaxyzw")]).select("text", "lang")
+    seen = d.mapInArrow(quality.new_grams, quality.GRAM)
+    table = quality.resolved(seen, quality.count_tables(d.limit(2))).collect()
+    assert len(table) == len({r.key for r in table}) == seen.select("key").distinct().count() and all(r.logp < 0 for r in table)
+
+
 # ---- toxicity -------------------------------------------------------------------------------
 def test_votes_equal_exhaustive_neighbours():
     r = random.Random(8)
