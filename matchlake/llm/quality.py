@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, mix, utf8, written
+from .common import chunks, mix, utf8, word_hashes, written
 
 ORDER = 5
 SHARD_GRAMS = 2_000_000      # resolved n-grams in one pass over the documents (24 bytes each)
-LOW, HIGH = 0.002, 0.998     # quantiles of trusted perplexity
+LOW, HIGH = 0.01, 0.99       # quantiles of trusted perplexity; HIGH also of trusted word repetition
+NEAR = 4                     # words before a word that it may repeat
 FEW_IDS = 1_000_000          # trusted ids that may be broadcast (8 MB)
 PAD = "\x02"                 # before the first character
 SLOTS = 20                   # bits of the direct-mapped tables of n-grams in a task
@@ -149,8 +150,18 @@ def resolved(corpus_grams: DataFrame, counts: DataFrame) -> DataFrame:
     return below.mapInArrow(with_keys, "key long, logp double")
 
 
+def echoes(texts: pa.Array) -> np.ndarray:
+    """Share of the words of each text that repeat one of the NEAR words before; zero without words."""
+    word, doc = word_hashes(*utf8(texts))
+    again = np.zeros(len(word), bool)
+    for lag in range(1, NEAR + 1):
+        again[lag:] |= (word[lag:] == word[:-lag]) & (doc[lag:] == doc[:-lag])
+    return np.bincount(doc, again, len(texts)) / np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+
+
 def perplexities(docs: DataFrame, grams: DataFrame, block: int = SHARD_GRAMS) -> DataFrame:
-    """(doc_id, lang, ppl): exp of the mean negative log probability of a character; NULL for texts without characters.
+    """(doc_id, lang, chars, ppl, echo): exp of the mean negative log probability of a character (NULL for texts without
+    characters), and the share of words that repeat one just before.
 
     Each pass adds what one block of the resolved n-grams contributes; passes are chained without a shuffle.
     """
@@ -158,7 +169,8 @@ def perplexities(docs: DataFrame, grams: DataFrame, block: int = SHARD_GRAMS) ->
     grams = written(grams, "kn-resolved")
     n_blocks = max(1, -(-grams.count() // block))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text", "lang", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("chars"))
+    out = docs.select("doc_id", "text", "lang", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("chars"),
+                      F.lit(0.0).alias("echo"))
     for k in range(n_blocks):
         rows = grams.filter(F.pmod("key", F.lit(n_blocks)) == k).toArrow()
         key = rows.column("key").to_numpy().view(np.uint64)
@@ -175,6 +187,7 @@ def perplexities(docs: DataFrame, grams: DataFrame, block: int = SHARD_GRAMS) ->
             for b in batches:
                 total = b.column("total").to_numpy().copy()
                 chars = b.column("chars").to_numpy().copy()
+                echo = b.column("echo").to_numpy().copy()
                 for i, j, texts, langs in text_chunks(b):
                     points, at = code_points(texts)
                     key, _, doc = gram_keys(points, at, lang_salt(langs))
@@ -189,18 +202,20 @@ def perplexities(docs: DataFrame, grams: DataFrame, block: int = SHARD_GRAMS) ->
                     total[i:j] += np.bincount(doc, got, minlength=j - i)
                     if first:
                         chars[i:j] = np.bincount(doc, minlength=j - i)
+                        echo[i:j] = echoes(b.column("text").slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "text", "lang")] + [
-                    pa.array(total), pa.array(chars, pa.int64())], b.schema.names)
+                    pa.array(total), pa.array(chars, pa.int64()), pa.array(echo)], b.schema.names)
 
-        out = out.mapInArrow(add, f"doc_id {kind}, text string, lang string, total double, chars long")
-    return out.select("doc_id", "lang", "chars", F.when(F.col("chars") > 0, F.exp(-F.col("total") / F.col("chars"))).alias("ppl"))
+        out = out.mapInArrow(add, f"doc_id {kind}, text string, lang string, total double, chars long, echo double")
+    return out.select("doc_id", "lang", "chars", F.when(F.col("chars") > 0, F.exp(-F.col("total") / F.col("chars"))).alias("ppl"), "echo")
 
 
 def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(doc_id, lang, perplexity, low, high, keep) of every row.
 
     Trusted: documents that ``labels`` marks quality 1. A text is kept if its perplexity lies between the quantiles of
-    trusted perplexity in its language (NULL is a language of its own). Texts without characters and languages without
+    trusted perplexity in its language (NULL is a language of its own) and its words repeat those just before them no more
+    often than the upper quantile of trusted text. Texts without characters and languages without
     trusted text are kept: nothing speaks against them. Without trusted text at all everything is kept.
     """
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
@@ -213,8 +228,9 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     seen = rows.select("text", "lang").mapInArrow(new_grams, GRAM)
     scored = written(perplexities(rows, resolved(seen, counts)), "kn-scored")
     limits = scored.join(good, "doc_id", "left_semi").filter(F.col("ppl").isNotNull()).groupBy("lang").agg(
-        F.percentile_approx("ppl", F.array(F.lit(low), F.lit(high)), 10_000).alias("q"))
-    limits = limits.select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    inside = F.coalesce((F.col("ppl") >= F.col("low")) & (F.col("ppl") <= F.col("high")), F.lit(True))
+        F.percentile_approx("ppl", F.array(F.lit(low), F.lit(high)), 10_000).alias("q"),
+        F.percentile_approx("echo", F.lit(high), 10_000).alias("most"))
+    limits = limits.select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "most")
+    inside = F.coalesce((F.col("ppl") >= F.col("low")) & (F.col("ppl") <= F.col("high")) & (F.col("echo") <= F.col("most")), F.lit(True))
     return scored.join(F.broadcast(limits), "lang", "left").select(  # one row per language
         "doc_id", F.nullif("lang", F.lit("")).alias("lang"), F.col("ppl").alias("perplexity"), "low", "high", inside.alias("keep"))

@@ -180,6 +180,16 @@ def test_lower_orders_shuffle_each_ending_once(spark):
     assert len(table) == len({r.key for r in table}) == seen.select("key").distinct().count() and all(r.logp < 0 for r in table)
 
 
+def test_low_quality_goes_and_trusted_text_stays(spark):
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    echo = docs(spark, [(900_001, "The " * 800), (900_002, "In. and " * 300)]).select(*d.columns)
+    got = quality.judged(d.unionByName(echo), labels)
+    assert got.filter("doc_id > 900000 and keep").count() == 0
+    share = {r.quality: r.kept for r in got.join(labels.select("doc_id", "quality").distinct(), "doc_id").groupBy("quality").agg(
+        F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+    assert share[0] <= 0.03 and share[1] >= 0.93
+
+
 # ---- toxicity -------------------------------------------------------------------------------
 def test_votes_equal_exhaustive_neighbours():
     r = random.Random(8)
