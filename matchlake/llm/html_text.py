@@ -13,6 +13,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Element names of the HTML standard by the role they play here, and usual class names of page furniture.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "math", "canvas"}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
@@ -99,7 +100,7 @@ def blocks(page: str) -> list[dict]:
     out: list[dict] = []
     parts: list[str] = []
     stack: list[tuple[str, set]] = []
-    now, linked, in_link, at, raw = set(), 0, 0, 0, None
+    now, linked, in_link, at = set(), 0, 0, 0
 
     def flush():
         nonlocal linked
@@ -111,26 +112,22 @@ def blocks(page: str) -> list[dict]:
 
     def text_until(end: int):
         nonlocal linked
-        if raw is None and end > at:
+        if end > at:
             piece = page[at:end]
             parts.append(piece)
             if in_link:
                 linked += len(piece.split())
 
-    for m in TOKEN.finditer(page):
-        if raw is not None and not (m[2] and m[1] and m[2].lower() == raw):
-            continue
+    while m := TOKEN.search(page, at):
         text_until(m.start())
         at = m.end()
         if not m[2]:
             continue
         name, closing = m[2].lower(), bool(m[1])
-        if raw is not None:
-            raw = None
-            continue
         if name in RAW:
-            if not closing and not m[3].endswith("/"):
-                raw = name
+            if not closing and not m[3].endswith("/"):  # what is inside is no markup: go on at its own closing tag
+                end = RAW_END[name].search(page, at)
+                at = end.start() if end else len(page)
             continue
         if name == "a":
             in_link = 0 if closing else 1

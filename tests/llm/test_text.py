@@ -101,6 +101,16 @@ def test_furniture_goes_and_text_stays(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_scripts_end_at_their_own_closing_tag():
+    tree = html_text.grow(html_text.LABELLED)
+    text = "An article of enough words to stand as the main text of this page, told in one paragraph."
+    for script in ("<script>for(i=0;i<n;i++){x()}</script>", "<SCRIPT>if (a<b && c) '</p>'</Script >", "<style><!-- a<b </style>",
+                   '<script>s = "it\'s <b"</script>'):
+        page = f"{script}<article><p>{text}</p></article><script>y()</script>"
+        assert html_text.main_text(page, tree) == text, script
+    assert html_text.main_text(f"<article><p>{text}</p><script>a<b </scripts> never closed", tree) == text
+
+
 # ---- quality --------------------------------------------------------------------------------
 def brute_kneser_ney(trusted, texts):
     """The same model from its definition, by dictionaries."""
