@@ -38,7 +38,7 @@ SHAPES = [
     (4, 1.0, 70, 0.0, 50, 0.0, 0), (2, 0.0, 300, 0.0, 7, 0.3, 0), (3, 0.0, 1, 0.0, 2, 0.0, 0), (30, 0.9, 60, 0.0, 0, 0.0, 0),
 ]
 SURROUNDINGS = [  # article, has_article, furniture, footer, form, reader
-    ((1, 1, 0, 0, 0, 0), 1), ((0, 1, 0, 0, 0, 0), 0), ((0, 0, 0, 0, 0, 0), None), ((0, 1, 1, 0, 0, 0), 0), ((0, 1, 0, 1, 0, 0), 0),
+    ((1, 1, 0, 0, 0, 0), 1), ((0, 1, 0, 0, 0, 0), None), ((0, 0, 0, 0, 0, 0), None), ((0, 1, 1, 0, 0, 0), 0), ((0, 1, 0, 1, 0, 0), 0),
     ((1, 1, 1, 0, 0, 0), 0), ((1, 1, 0, 1, 0, 0), 0), ((1, 1, 0, 0, 1, 0), 0), ((1, 1, 0, 0, 0, 1), 0), ((0, 0, 1, 0, 0, 0), 0),
     ((0, 0, 0, 1, 0, 0), 0), ((0, 0, 0, 0, 1, 0), 0), ((0, 0, 0, 0, 0, 1), 0),
 ]
@@ -83,15 +83,16 @@ def marks(name: str, attributes: str, in_article: bool) -> set[str]:
         out.add("form")
     if attributes and name not in ("html", "body"):
         for m in ATTRIBUTE.finditer(attributes):
-            for word in re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower()):
+            value = (m[1] or m[2] or m[3] or "").lower()
+            if {"article", "main"} & set(value.split()):  # whole names only: main-menu or article-teaser are no main text
+                out.add("article")
+            for word in re.split(r"[\s_\-]+", value):
                 if word in FURNITURE or word == "header" and not in_article and name != "h1":
                     out.add("furniture")
                 elif word == "footer":
                     out.add("footer")
                 elif word in READERS:
                     out.add("reader")
-                elif word in ("article", "main"):
-                    out.add("article")
     return out
 
 
@@ -161,7 +162,7 @@ def main_text(page: str | None, tree) -> str:
     if not page:
         return ""
     found = blocks(page)
-    has = int(any("article" in b["marks"] for b in found))
+    has = int(any("article" in b["marks"] and not b["marks"] & {"furniture", "footer", "form", "reader"} for b in found))
     shape = [(0, 0.0)] + [(b["words"], min(1.0, b["linked"] / b["words"])) for b in found] + [(0, 0.0)]
     kept = []
     for i, b in enumerate(found, 1):

@@ -111,6 +111,19 @@ def test_scripts_end_at_their_own_closing_tag():
     assert html_text.main_text(f"<article><p>{text}</p><script>a<b </scripts> never closed", tree) == text
 
 
+def test_names_with_main_or_article_in_them_hide_nothing():
+    tree = html_text.grow(html_text.LABELLED)
+    first, second = ("The %s paragraph of the page has enough words to be taken for main text without the help of any mark, "
+                     "since neighbours and links speak for it as well." % w for w in ("first", "second"))
+    body = f'<div class="content"><p>{first}</p><p>{second}</p></div>'
+    menu = '<ul class="main-menu"><li><a href="/">Home</a><li><a href="/n">News</a></ul>'
+    for extra in (menu, '<div id="main-nav"><a href="/">Home</a></div>', '<aside class="article-teaser"><p>More to read</p></aside>',
+                  '<aside><article><p>More to read</p></article></aside>', '<article><p>Short</p></article>'):
+        got = html_text.main_text(extra + body, tree)
+        assert first in got and second in got and "Home" not in got and "More" not in got, extra
+    assert html_text.main_text('<div class="page main"><p>Few words</p></div>', tree) == "Few words"
+
+
 # ---- quality --------------------------------------------------------------------------------
 def brute_kneser_ney(trusted, texts):
     """The same model from its definition, by dictionaries."""
