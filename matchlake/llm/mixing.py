@@ -109,10 +109,10 @@ def mix(docs: DataFrame, seed: int = 17, shards: int = SHARDS, blocks: int = BLO
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """Document rows repeated as the mix takes them (columns of ``docs``)."""
+    """Document rows repeated as the mix takes them (columns of ``docs``), by output shard and in shuffled order within each."""
     key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-    plan = mix(docs, seed).groupBy("h").agg(F.max("times").alias("times")).filter("times > 0")
-    plan = plan.toDF("mix_h", "mix_times")
-    repeated = docs.withColumn("mix_h", key).join(plan, "mix_h").withColumn(
-        "mix_copy", F.explode(F.expr("sequence(1, mix_times)")))
-    return repeated.select(*docs.columns)
+    plan = mix(docs, seed).filter("times > 0").groupBy("h").agg(F.max_by("copies", "times").alias("copies"))
+    plan = plan.toDF("mix_h", "mix_copies")
+    repeated = docs.withColumn("mix_h", key).join(plan, "mix_h").withColumn("mix_copy", F.explode("mix_copies"))
+    place = [F.col("mix_copy.shard"), F.col("mix_copy.place")]
+    return repeated.repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)

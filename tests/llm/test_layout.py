@@ -117,6 +117,13 @@ def test_mixed_rows_repeat_as_taken(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: v for k, v in times.items() if v})
 
 
+def test_mixed_rows_come_by_shard_in_their_shuffled_order(spark):
+    d = docs(spark, [(i, f"{t} w{i}", s) for i, t, s in rows_of(400, 3)])
+    want = sorted((c.shard, c.place, r.doc_id) for r in mixing.mix(d).collect() for c in r.copies)
+    assert len({shard for shard, _, _ in want}) == mixing.SHARDS
+    assert [r.doc_id for r in mixing.mixed_documents(d).collect()] == [i for _, _, i in want]
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert sharding.sharded_documents(none).collect() == []
