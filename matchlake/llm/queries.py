@@ -1,7 +1,8 @@
-"""Named queries of the ten operators over the test tables."""
+"""Named queries of the operators over the test tables."""
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_text, jaccard, language, mixing, quality, sharding, suffixes, toxicity
+from . import (decontamination, fingerprints, html_text, jaccard, language, mixing, quality, sharding, suffixes, toxicity,
+               whitening)
 from .common import table
 
 QUERIES = {}
@@ -63,6 +64,11 @@ def op8_jaccard_join(spark, sf_dir):
     return jaccard.grouped(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op8_jaccard_join"] = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
