@@ -1,8 +1,8 @@
 """Named queries of the operators over the test tables."""
 from __future__ import annotations
 
-from . import (decontamination, fingerprints, html_text, jaccard, language, mixing, quality, sharding, suffixes, toxicity,
-               whitening)
+from . import (decontamination, fingerprints, html_text, jaccard, language, mixing, packing, quality, sharding, suffixes,
+               toxicity, variants, whitening)
 from .common import table
 
 QUERIES = {}
@@ -64,6 +64,16 @@ def op8_jaccard_join(spark, sf_dir):
     return jaccard.grouped(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_packing(spark, sf_dir):
+    return packing.digests(packing.packed(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_whitening(spark, sf_dir):
     return whitening.whitened(table(spark, sf_dir, "embeddings"))

@@ -10,11 +10,14 @@ SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in entry.queries()
+OTHER_ROWS = ("op11_", "op12_", "op13_")   # words, pieces and components: tested in modules of their own
 
 
-@pytest.mark.parametrize("name", sorted(NAMES))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("name", sorted(n for n in NAMES if not n.startswith(OTHER_ROWS)))
 def test_one_row_per_document(spark, name):
     got = entry.queries()[name](spark, SF)
     source = "pages" if name.startswith("op3_") else "documents"
@@ -45,3 +48,14 @@ def test_pipeline_stages_take_effect(spark):
     assert sorted(ids[3]) == sorted(set(ids[2]) - leaks)
     assert set(ids[4]) <= set(ids[3]) and sorted(ids[4]) == sorted(ids[5])
     assert [r[0] for r in entry.queries()["pipeline"](spark, SF).select("doc_id").orderBy("doc_id").collect()] == sorted(ids[5])
+
+
+def test_rows_of_the_other_operators(spark):
+    q = {n.split("_")[0]: entry.queries()[n] for n in NAMES}
+    words = q["op11"](spark, SF)
+    assert words.columns == ["word", "form", "root", "n", "n_near", "form_n"] and words.count() == words.select("word").distinct().count() > 0
+    pieces = q["op12"](spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert set(pieces.doc_id) == {r[0] for r in docs.select("doc_id").collect()} and (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
+    z = q["op13"](spark, SF).toPandas()
+    assert len(z) == z.n.iloc[0] * 32 and z.identity_error.max() < 1e-9
