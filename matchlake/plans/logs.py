@@ -155,11 +155,9 @@ def _(t):
     lines = log_lines(t).withColumn("owner", F.regexp_replace("file", "UTC_Log_", "UTC_Log_"))
     (lines.repartition("owner").sortWithinPartitions("owner", "pos").select("owner", "text")
      .write.partitionBy("owner").text(folder))
-    files = LG.drop_copies(LG.list_logs(t.spark, [f"{folder}/*"], "*.txt"))
-    # the chosen paths are the list Spark's own file index keeps on the driver
-    paths = [r["path"] for r in files.select("path").collect()]
-    read = LG.read_lines(t.spark, paths)
-    got = payloads(t, read).withColumn("owner", F.regexp_extract("file", "owner=UTC_Log_([^/]+)/", 1))
+    owner = lambda column: F.regexp_extract(column, "owner=UTC_Log_([^/]+)/", 1)
+    read = LG.distinct_logs(t.spark, [f"{folder}/*"], owner("path"), "*.txt")
+    got = payloads(t, read).withColumn("owner", owner("file"))
     return SE.rebuild_facts(got)["matches"].select(*_FACT_COLS)
 
 

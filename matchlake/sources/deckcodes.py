@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+
 # fixed values: wire format
 VERSIONS = (2, 3, 4)
 MAX_CARDS, MAX_COPIES, MAX_TEXT, MAX_VARINT_BYTES = 10_000, 1000, 100_000, 5
 
+SPAN = 128  # elements of a piece of a growing list
+
 CARD = "struct<section:string,pos:int,title_id:bigint,qty:int>"
 CARDS = f"array<{CARD}>"
 
@@ -18,22 +22,32 @@ CARDS = f"array<{CARD}>"
 MARKER, VERSION, FIRST_COUNT, LEADER, SPECIAL, SPECIAL_KIND, COUNT, QUANTITY, TITLE, SIDE_FLAG, TAG, END = range(12)
 
 
-def _numbers(df: DataFrame, code: str) -> DataFrame:
-    """``df`` with ``numbers``; each step is a column, so that nothing is computed once per element."""
-    fits = F.length(code) <= MAX_TEXT
-    std = F.translate(F.col(code), "-_", "+/")
-    padded = F.concat(std, F.repeat(F.lit("="), F.pmod(-F.length(code), F.lit(4)).cast("int")))
-    df = df.withColumn("_hex", F.when(fits & (F.length(code) > 0), F.hex(F.try_to_binary(padded, F.lit("base64")))))
-    df = df.withColumn("_octets", F.when(F.length("_hex") > 0, F.expr(
-        "transform(sequence(1, length(_hex) div 2), i -> cast(conv(substr(_hex, 2 * i - 1, 2), 16, 10) as bigint))")))
-    df = df.withColumn("_ends", F.expr("filter(transform(_octets, (b, i) -> if(b < 128, i, null)), i -> i is not null)"))
-    value = ("aggregate(slice(_octets, if(k = 0, 1, _ends[k - 1] + 2), e - if(k = 0, -1, _ends[k - 1])), "
-             "named_struct('v', 0L, 'w', 1L), (a, b) -> named_struct('v', a.v + (b % 128) * a.w, 'w', a.w * 128), a -> a.v)")
-    short = f"forall(transform(_ends, (e, k) -> e - if(k = 0, -1, _ends[k - 1])), n -> n <= {MAX_VARINT_BYTES})"
-    whole = "size(_ends) > 0 and _ends[size(_ends) - 1] = size(_octets) - 1"
-    df = df.withColumn("_whole", F.expr(f"if({whole}, {short}, false)"))
-    return df.withColumn("numbers", F.when(F.col("_whole"), F.expr(f"transform(_ends, (e, k) -> {value})"))
-                         ).drop("_hex", "_octets", "_ends", "_whole")
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``: a lambda variable is computed once, a column named in a lambda once per element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _appended(values: str, full: str, value: str) -> tuple[str, str]:
+    """Two fields that grow a list by pieces of SPAN, so that long lists are not copied at every step."""
+    done = f"if(size({values}) = {SPAN}, concat({full}, array({values})), {full})"
+    return f"if(size({values}) = {SPAN}, array({value}), concat({values}, array({value})))", done
+
+
+def numbers_of(code: str) -> Column:
+    """The little-endian base-128 numbers of a base64 text, one fold that reads each byte once; NULL if it is no such text."""
+    std = f"translate({code}, '-_', '+/')"
+    padded = f"concat({std}, repeat('=', cast(pmod(-length({code}), 4) as int)))"
+    raw = f"if(length({code}) between 1 and {MAX_TEXT}, try_to_binary({padded}, 'base64'), null)"
+    octets = _let(raw, "h", "if(length(h) > 0, transform(sequence(1, length(h)), i -> cast(conv(hex(substr(h, i, 1)), 16, 10) as bigint)), null)")
+    value = "s.v + (b % 128) * s.w"
+    now, full = _appended("s.now", "s.full", value)
+    last = "b < 128"
+    step = (f"named_struct('v', if({last}, 0L, {value}), 'w', if({last}, 1L, s.w * 128), 'n', if({last}, 0, s.n + 1), "
+            f"'ok', s.ok and s.n < {MAX_VARINT_BYTES}, 'now', if({last}, {now}, s.now), 'full', if({last}, {full}, s.full))")
+    start = ("named_struct('v', 0L, 'w', 1L, 'n', 0, 'ok', true, 'now', cast(array() as array<bigint>), "
+             "'full', cast(array() as array<array<bigint>>))")
+    fold = f"aggregate({octets}, {start}, (s, b) -> if(s.ok, {step}, s), s -> if(s.ok and s.n = 0, flatten(concat(s.full, array(s.now))), null))"
+    return F.expr(fold)
 
 
 def cards_of(numbers: str = "numbers") -> Column:
@@ -64,21 +78,26 @@ def cards_of(numbers: str = "numbers") -> Column:
       when s.m = {QUANTITY} then x <= {MAX_COPIES}
       when s.m = {TAG} then x = 0 or (x in (1, 2, 3) and (s.seen & shiftleft(1, cast(least(x, 3) as int))) = 0)
       else s.m <> {END} end"""
-    card = lambda sec, t, q: f"concat(s.cards, array(named_struct('section', {sec}, 'pos', size(s.cards), 'title_id', {t}, 'qty', {q})))"
-    cards = f"""case when not s.ok then s.cards when s.m = {LEADER} then {card("'commanders'", "s.title + x", "1")}
-      when s.m = {SPECIAL_KIND} then {card("if(x = 1, 'commanders', 'companions')", "s.title", "1")}
-      when s.m = {TITLE} then {card("s.sec", "s.title + x", "s.qty")} else s.cards end"""
+    is_card = f"s.m in ({LEADER}, {SPECIAL_KIND}, {TITLE})"
+    card = f"""named_struct('section', case s.m when {LEADER} then 'commanders' when {SPECIAL_KIND} then if(x = 1, 'commanders', 'companions')
+      else s.sec end, 'pos', {SPAN} * size(s.full) + size(s.now), 'title_id', if(s.m = {SPECIAL_KIND}, s.title, s.title + x),
+      'qty', if(s.m = {TITLE}, s.qty, 1))"""
+    now, full = _appended("s.now", "s.full", card)
     start = (f"named_struct('m', {MARKER}, 'v', 0L, 'left', 0L, 'g', 0, 'sec', '', 'title', 0L, 'qty', 0, 'seen', 0, 'ok', true, "
-             f"'cards', cast(array() as {CARDS}))")
+             f"'now', cast(array() as {CARDS}), 'full', cast(array() as array<{CARDS}>))")
     step = (f"named_struct('m', {meaning}, 'v', if(s.m = {VERSION}, x, s.v), 'left', {left}, 'g', {group}, 'sec', {section}, "
-            f"'title', {title}, 'qty', {qty}, 'seen', {seen}, 'ok', {fine}, 'cards', {cards})")
-    return F.expr(f"aggregate({numbers}, {start}, (s, x) -> {step}, s -> if(s.ok and s.m = {END}, s.cards, null))")
+            f"'title', {title}, 'qty', {qty}, 'seen', {seen}, 'ok', {fine}, 'now', if({is_card}, {now}, s.now), "
+            f"'full', if({is_card}, {full}, s.full))")
+    return F.expr(f"aggregate({numbers}, {start}, (s, x) -> if(s.ok, {step}, s), "
+                  f"s -> if(s.ok and s.m = {END}, flatten(concat(s.full, array(s.now))), null))")
 
 
 def decode_codes(codes: DataFrame, column: str) -> DataFrame:
-    """code -> cards (NULL when invalid), each distinct code decoded once."""
+    """code -> cards (NULL when invalid), each distinct code decoded once: numbers and cards are written tables, so that no
+    later filter or join repeats the folds."""
     distinct = codes.select(F.col(column).alias("code")).filter("code is not null").distinct()
-    return _numbers(distinct, "code").select("code", cards_of().alias("cards"))
+    numbers = cut_lineage(distinct.select("code", numbers_of("code").alias("numbers")))
+    return cut_lineage(numbers.select("code", cards_of().alias("cards")))
 
 
 def expand_codes(rows: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:

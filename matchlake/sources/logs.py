@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.ordered import running
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 # fixed values: log line prefix, timestamp pattern, user id pattern
 PREFIX = "[UnityCrossThreadLogger]"
@@ -25,19 +25,53 @@ def list_logs(spark: SparkSession, dirs: list[str], pattern: str = "*.log") -> D
     out = None
     for rank, folder in enumerate(dirs):
         files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-                 .select(F.col("path"), F.element_at(F.split("path", "/"), -1).alias("name"),
+                 .select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"),
                          F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
                          F.lit(rank).alias("dir_rank")))
         out = files if out is None else out.unionByName(files)
     return out
 
 
-def drop_copies(files: DataFrame) -> DataFrame:
-    """Of files with the same name and size keep the one from the earliest folder."""
-    keep = F.struct("dir_rank", "path")
+def drop_copies(files: DataFrame, owner: Column | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """Of the files of one owner that agree in name and size (and contents, with ``sums(path, checksum)``) keep the one from
+    the earliest folder. ``owner`` is a column over ``path``; without it all files belong to one player."""
     rest = [c for c in files.columns if c not in ("name", "size")]
-    return files.groupBy("name", "size").agg(F.min_by(F.struct(*rest), keep).alias("f")).select(
-        "name", "size", "f.*")
+    owned = files.withColumn("_owner", F.lit(None).cast("string") if owner is None else owner)
+    key = ["_owner", "name", "size"]
+    if sums is not None:
+        owned, key = owned.join(sums, "path", "left"), [*key, "checksum"]
+    return owned.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("dir_rank", "path")).alias("f")).select("name", "size", "f.*")
+
+
+def twins(files: DataFrame, owner: Column) -> DataFrame:
+    """Files whose owner, name and size another file shares: those whose contents must be compared."""
+    owned = files.withColumn("_owner", owner)
+    shared = owned.groupBy("_owner", "name", "size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    return owned.join(shared, ["_owner", "name", "size"], "left_semi").drop("_owner")
+
+
+def checksums(lines: DataFrame) -> DataFrame:
+    """(path, checksum) of files read by ``read_lines``: a sum over lines, by place within the split, so that no file has to
+    fit into one row."""
+    place = F.col("pos") - F.min("pos").over(Window.partitionBy("file", "chunk"))
+    code = F.xxhash64("chunk", place, "text").cast("decimal(38,0)")
+    return lines.select(F.col("file").alias("path"), code.alias("code")).groupBy("path").agg(F.sum("code").alias("checksum"))
+
+
+def distinct_logs(spark: SparkSession, dirs: list[str], owner: Column, pattern: str = "*.log") -> DataFrame:
+    """Lines of all log files below ``dirs`` without those of copies (same owner, name, size and contents).
+
+    The folders are read as they are; the few dropped files leave by an anti-join on the file, so no list of paths passes
+    the driver. Contents are compared only where owner, name and size agree.
+    """
+    files = stored(list_logs(spark, dirs, pattern), "log-files")
+    alike = stored(twins(files, owner), "log-twins")
+    lines = read_lines(spark, dirs, pattern)
+    if alike.isEmpty():
+        return lines
+    sums = stored(checksums(lines.join(alike.select(F.col("path").alias("file")), "file", "left_semi")), "log-checksums")
+    dropped = stored(alike.join(drop_copies(alike, owner, sums), "path", "left_anti").select(F.col("path").alias("file")), "log-copies")
+    return lines.join(dropped, "file", "left_anti")
 
 
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -45,12 +79,13 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti")
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
     """Lines of the given files: file, chunk, pos, text. Undecodable bytes become replacement characters.
 
     Files are split as Spark sees fit; within a split row ids grow, between splits the offset decides.
     """
-    return spark.read.text(paths).select(
+    reader = spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
+    return reader.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("pos"), F.col("value").alias("text"))
 

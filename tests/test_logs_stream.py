@@ -1,3 +1,4 @@
+import base64
 import json
 
 import pytest
@@ -140,6 +141,31 @@ def test_deck_code_rejects(spark):
     assert len(got) == 6 and set(got.values()) == {None}
 
 
+def test_long_deck_codes_are_read_in_one_pass(spark):
+    number = lambda n: bytes([n % 128 + 128]) + number(n // 128) if n > 127 else bytes([n])
+    singles = [0, 2, 0, 700, *[3] * 700, 0, 0, 0, 0]
+    code = base64.urlsafe_b64encode(b"".join(map(number, singles))).decode().rstrip("=")
+    got = {r.code: r.cards for r in DC.decode_codes(spark.createDataFrame([(code,), ("A" * 40_000,), ("_" * 40_000,)], "code string"), "code").collect()}
+    assert [(c.section, c.pos, c.title_id, c.qty) for c in got[code]] == [("main", i, 3 * i + 3, 1) for i in range(700)]
+    assert got["A" * 40_000] is None and got["_" * 40_000] is None
+
+
+def test_copies_are_told_by_owner_and_contents(spark, tmp_path):
+    texts = {"a/live/x.log": "one\ntwo\n", "a/kept/x.log": "one\ntwo\n", "b/live/x.log": "two\none\n", "b/kept/x.log": "six\none\n",
+             "c/live/x.log": "one\ntwo\n", "c/live/y.log": "one\ntwo\n"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    dirs = [f"{tmp_path}/*/live", f"{tmp_path}/*/kept"]
+    owner = F.regexp_extract("path", "/([abc])/(live|kept)/", 1)
+    lines = LG.distinct_logs(spark, dirs, owner)
+    got = lines.select(F.regexp_extract("file", "/([abc]/.*)$", 1).alias("f"), "text").collect()
+    assert sorted({r.f for r in got}) == ["a/live/x.log", "b/kept/x.log", "b/live/x.log", "c/live/x.log", "c/live/y.log"]
+    assert len(got) == 10
+    alone = LG.distinct_logs(spark, [f"{tmp_path}/c/live"], owner)
+    assert alone.count() == 4
+
+
 def test_stream_late_result_and_restart(spark, tmp_path):
     landing, root, cp = tmp_path / "in", tmp_path / "facts", tmp_path / "cp"
     landing.mkdir()

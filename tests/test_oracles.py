@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = ["overview_totals", "overview_sections", "trend_weekly", "filter_options", "repeat_opponents", "recent_decks",
          "matchups", "side_streaks", "capped_runs", "rank_curve", "comparison_by_event", "side_balance_test", "deck_cards",
          "facts_opponents", "facts_from_day_totals", "merge_matches", "snapshot_diff", "deck_codes", "translation_catalogue", "merge_shared_matches",
-         "match_page_far", "log_unclosed_records", "log_shared_matches", "opponent_mix_p_values"]
+         "match_page_far", "log_files_roundtrip", "deck_code_rejects", "log_unclosed_records", "log_shared_matches", "opponent_mix_p_values"]
 
 
 @pytest.fixture(scope="module")
