@@ -143,7 +143,7 @@ def test_deck_code_rejects(spark):
 
 def test_long_deck_codes_are_read_in_one_pass(spark):
     number = lambda n: bytes([n % 128 + 128]) + number(n // 128) if n > 127 else bytes([n])
-    singles = [0, 2, 0, 700, *[3] * 700, 0, 0, 0, 0]
+    singles = [0, 2, 0, 700, *[3] * 700, 0, 0, 0, 0, 0]
     code = base64.urlsafe_b64encode(b"".join(map(number, singles))).decode().rstrip("=")
     got = {r.code: r.cards for r in DC.decode_codes(spark.createDataFrame([(code,), ("A" * 40_000,), ("_" * 40_000,)], "code string"), "code").collect()}
     assert [(c.section, c.pos, c.title_id, c.qty) for c in got[code]] == [("main", i, 3 * i + 3, 1) for i in range(700)]
