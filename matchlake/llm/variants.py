@@ -122,11 +122,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, na, b, nb): every pair of words that differ by one inserted, deleted or replaced code point, once."""
     symbols = symbols_for(words.count())
     keyed = written(words.mapInArrow(neighbourhoods(symbols), "word string, n long, own long, keys array<long>"), "reduced-words")
-    left = keyed.select(F.col("word").alias("a"), F.col("n").alias("na"), F.col("own").alias("own_a"), F.explode("keys").alias("own"))
+    left = keyed.select(F.col("word").alias("a"), F.col("n").alias("na"), F.posexplode("keys").alias("at", "own")).select(
+        "a", "na", "own", (F.col("at") == 0).alias("whole"))
     right = keyed.select(F.col("word").alias("b"), F.col("n").alias("nb"), "own")
     # equal reduced words meet from both sides: one of them is enough
     return left.join(right, "own").filter(
-        ((F.col("own") != F.col("own_a")) | (F.col("a") < F.col("b")))
+        (~F.col("whole") | (F.col("a") < F.col("b")))
         & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)).select("a", "na", "b", "nb")
 
 
