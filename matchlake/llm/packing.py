@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 import sys
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,18 @@ class Encoder:
     and gives the same ids; texts that hold a special token or very long words go through the tokenizer itself."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.exact = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
+        self.path = path
         self.special = [t["content"] for t in described.get("added_tokens") or []]
         self.fast = ranked(described)
 
+    @cached_property
+    def exact(self):
+        """The tokenizer itself, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
@@ -130,7 +136,7 @@ def cut_rows(path: str | None, most: int, kind: str, end: int):
                 if full < len(ids):
                     rows.append(row(i, ids, full, len(ids), len(ids) - full))
                 size += len(ids)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield batch(b, rows)
                     rows, size = [], 0
             if rows:
