@@ -71,8 +71,8 @@ def symbols_for(words: int) -> int:
     return max(4, int(np.ceil(max(words, 1) ** (1 / (LEAST_LENGTH - 1)))))
 
 
-def neighbourhoods(symbols: int):
-    """(word, n) -> (word, n, own, keys): the hash of the reduced word and those of its one-edit neighbours on its side."""
+def neighbourhoods(symbols: int, around: bool = True):
+    """(word, n) -> (word, n, keys): the hash of the reduced word, then (``around``) those of its one-edit neighbours on its side."""
     def run(batches):
         for b in batches:
             lengths = pc.utf8_length(b.column("word")).to_numpy(zero_copy_only=False)
@@ -81,10 +81,10 @@ def neighbourhoods(symbols: int):
                 step = max(1, 2_000_000 // (length * symbols))
                 for lo in range(0, len(same), step):
                     part = same.slice(lo, step)
-                    own, keys, at = edits(reduced(part.column("word").to_pylist(), symbols), symbols)
+                    own, keys, at = edits(reduced(part.column("word").to_pylist(), symbols), symbols if around else 1)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("word"), part.column("n"), pa.array(own),
-                         pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys))], ["word", "n", "own", "keys"])
+                        [part.column("word"), part.column("n"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys))]
+                        if around else [part.column("word"), part.column("n"), pa.array(own)], ["word", "n", "keys" if around else "own"])
     return run
 
 
@@ -121,10 +121,11 @@ def edits(r: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, na, b, nb): every pair of words that differ by one inserted, deleted or replaced code point, once."""
     symbols = symbols_for(words.count())
-    keyed = written(words.mapInArrow(neighbourhoods(symbols), "word string, n long, own long, keys array<long>"), "reduced-words")
-    left = keyed.select(F.col("word").alias("a"), F.col("n").alias("na"), F.posexplode("keys").alias("at", "own")).select(
+    left = words.mapInArrow(neighbourhoods(symbols), "word string, n long, keys array<long>").select(
+        F.col("word").alias("a"), F.col("n").alias("na"), F.posexplode("keys").alias("at", "own")).select(
         "a", "na", "own", (F.col("at") == 0).alias("whole"))
-    right = keyed.select(F.col("word").alias("b"), F.col("n").alias("nb"), "own")
+    right = words.mapInArrow(neighbourhoods(symbols, around=False), "word string, n long, own long").select(
+        F.col("word").alias("b"), F.col("n").alias("nb"), "own")
     # equal reduced words meet from both sides: one of them is enough
     return left.join(right, "own").filter(
         (~F.col("whole") | (F.col("a") < F.col("b")))
