@@ -66,9 +66,9 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def symbols_for(words: int) -> int:
-    """Size of the reduced alphabet: it grows slowly with the vocabulary, so that words of the least length still spread over
-    more reduced words than there are words."""
-    return max(4, int(np.ceil(max(words, 1) ** (1 / (LEAST_LENGTH - 1)))))
+    """Size of the reduced alphabet: it grows slowly with the vocabulary, so that there are at least as many reduced words of the
+    least length as words."""
+    return max(4, int(np.ceil(max(words, 1) ** (1 / LEAST_LENGTH))))
 
 
 def neighbourhoods(symbols: int, around: bool = True):

@@ -104,4 +104,4 @@ def test_odd_inputs(spark):
 
 
 def test_symbols_grow_slowly():
-    assert [variants.symbols_for(n) for n in (0, 10, 10**6, 10**9)] == [4, 4, 10, 32]
+    assert [variants.symbols_for(n) for n in (0, 10, 10**6, 10**9)] == [4, 4, 8, 20]
