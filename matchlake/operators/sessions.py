@@ -2,6 +2,11 @@
 
 File-wide state (which match is open, which deck an event uses) is carried with chunked scans; the
 windows below run inside one match of one file, whose size is that of a single game session.
+
+The work has two halves. ``extract`` reads records and yields what they say, without knowing whose log it is: starts with
+their rosters, results, first active seats, hands, shown cards, decks, ranks, votes on the owner's id. ``resolve`` turns that
+into facts for given identities. What is stored by a stream is the first half, so that an identity or a deck learned
+late reaches every match read before.
 """
 from __future__ import annotations
 
@@ -9,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C
 from ..session import cut_lineage
-from ..sources.logs import detect_identity, own_timestamp
-from .ordered import running
+from ..sources.logs import USER_ID, own_timestamp
+from .ordered import running, running_rows
 
 SEG = ["file", "seg"]
 MATCH = ["owner", "match_id"]  # two players may log the same match
@@ -21,10 +26,10 @@ def _int(col) -> Column:
 
 
 def segment(payloads: DataFrame) -> DataFrame:
-    """Add ``seg`` (number of the match within the file, 0 before the first), ``open`` and ``ts``.
+    """Add ``seg`` (the place of the last match start in the file, 0 before the first), ``open`` and ``ts``.
 
     'Playing' opens a match and closes the one before; 'MatchCompleted' closes. The closing record still
-    carries the number of the match it closes.
+    carries the place of the match it closes.
     """
     room = F.col("p.matchGameRoomStateChangedEvent.gameRoomInfo")
     config = room["gameRoomConfig"]
@@ -32,31 +37,40 @@ def segment(payloads: DataFrame) -> DataFrame:
     proper = starts & config["reservedPlayers"].isNotNull()
     completes = F.col("text").contains("MatchGameRoomStateType_MatchCompleted")
     state = F.when(proper, True).when(starts | completes, False)
+    place = F.col("pos") * 8 + F.least(F.col("part"), F.lit(6)) + 1
     keyed = payloads.withColumn("part", F.coalesce("part", F.lit(0))).withColumn(
         "starts", F.coalesce(proper, F.lit(False))).withColumn("completes", completes).drop("ts")
-    return running(keyed, ["file"], "chunk", ["pos", "part"], sums={"seg": F.col("starts").cast("int")},
-                   lasts={"open": state, "ts": own_timestamp()}).withColumn("open", F.coalesce("open", F.lit(False)))
+    carried = running_rows(keyed, ["file"], "chunk", ["pos", "part"], lasts={
+        "seg": F.when(F.col("starts"), place), "open": state, "ts": own_timestamp()})
+    return carried.withColumn("open", F.coalesce("open", F.lit(False))).withColumn("seg", F.coalesce("seg", F.lit(0)))
 
 
-def open_matches(events: DataFrame, identities: DataFrame) -> DataFrame:
-    """One row per match start: ids, event, own seat and team, first other named player."""
+def match_starts(events: DataFrame) -> DataFrame:
+    """One row per match start: ids, event, time and roster."""
     config = F.col("p.matchGameRoomStateChangedEvent.gameRoomInfo.gameRoomConfig")
-    begun = events.filter("starts").join(identities, "owner", "left")
-    players = config["reservedPlayers"]
-    begun = begun.withColumn("players", players)
-    mine = F.expr("get(filter(players, p -> p.userId = my_user), 0)")
-    other = F.expr(
-        "get(filter(players, p -> p.userId is distinct from my_user and coalesce(p.playerName, '') <> ''), 0)")
-    begun = begun.withColumn("me", mine).withColumn("opp", F.when(F.col("me").isNotNull(), other))
-    team = _int("me.teamId")
+    begun = events.filter("starts").withColumn("players", config["reservedPlayers"])
     return begun.select(
         "owner", "file", "chunk", "pos", "seg",
         # a match without id is told apart by where it was read
         F.coalesce(config["matchId"], F.concat(F.lit("?"), "file", F.lit("#"), "seg")).alias("match_id"),
         F.coalesce(config["eventId"], F.expr("get(filter(players, p -> p.eventId is not null), 0).eventId")).alias("event_key"),
-        F.col("ts").alias("start_ts"), team.alias("my_team"), F.coalesce(_int("me.systemSeatId"), team).alias("my_seat"),
-        F.col("opp.playerName").alias("opponent_name"), F.col("opp.platformId").alias("opponent_platform"),
-        "players")
+        F.col("ts").alias("start_ts"), "players")
+
+
+def seated(starts: DataFrame, identities: DataFrame) -> DataFrame:
+    """Starts with the owner's seat and team and the first other named player, as far as the owner's id is known."""
+    known = starts.join(identities, "owner", "left").withColumn("me", F.expr("get(filter(players, p -> p.userId = my_user), 0)"))
+    other = F.expr(
+        "get(filter(players, p -> p.userId is distinct from my_user and coalesce(p.playerName, '') <> ''), 0)")
+    team = _int("me.teamId")
+    return known.withColumn("opp", F.when(F.col("me").isNotNull(), other)).select(
+        *starts.columns, team.alias("my_team"), F.coalesce(_int("me.systemSeatId"), team).alias("my_seat"),
+        F.col("opp.playerName").alias("opponent_name"), F.col("opp.platformId").alias("opponent_platform"))
+
+
+def open_matches(events: DataFrame, identities: DataFrame) -> DataFrame:
+    """One row per match start: ids, event, own seat and team, first other named player."""
+    return seated(match_starts(events), identities)
 
 
 # ---- decks ----------------------------------------------------------------------------------
@@ -97,8 +111,8 @@ def attach_decks(starts: DataFrame, decks: DataFrame) -> DataFrame:
 
 
 # ---- results --------------------------------------------------------------------------------
-def result_entries(events: DataFrame, starts: DataFrame) -> DataFrame:
-    """Result entries addressed to a match id, each payload applied once per match.
+def routed_results(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """Result payloads with the match they are addressed to.
 
     A result with an id goes to that match wherever it is; one without goes to the open match, or to the
     last closed one.
@@ -108,21 +122,26 @@ def result_entries(events: DataFrame, starts: DataFrame) -> DataFrame:
         "owner", *SEG, "chunk", "pos", "open", fmr.alias("r")).filter("r.resultList is not null")
     ids = starts.select(*SEG, F.col("match_id").alias("seg_match"))
     routed = found.join(ids, SEG, "left").withColumn("rid", F.nullif(F.trim("r.matchId"), F.lit("")))
-    target = F.coalesce("rid", "seg_match")
-    legacy_closed = F.col("rid").isNull() & ~F.col("open")
-    payload = F.sha2(F.to_json("r.resultList"), 256)
+    return routed.withColumn("match_id", F.coalesce("rid", "seg_match")).filter("match_id is not null").withColumn(
+        "late_legacy", F.col("rid").isNull() & ~F.col("open")).drop("rid")
+
+
+def payload_entries(routed: DataFrame) -> DataFrame:
+    """Result entries, each payload applied once per match."""
     at = F.struct("file", "chunk", "pos")
-    once = (routed.withColumn("match_id", target).filter("match_id is not null")
-            .withColumn("late_legacy", legacy_closed).withColumn("payload", payload)
-            .groupBy(*MATCH, "payload").agg(
-                F.min(at).alias("at"), F.min_by("r", at).alias("r"), F.min_by("late_legacy", at).alias("late_legacy"),
-                F.min_by(F.col("seg"), at).alias("seen_seg"), F.min_by("open", at).alias("seen_open"),
-                F.min_by("seg_match", at).alias("seen_match")))
-    entries = once.select(*MATCH, "at", "late_legacy", "seen_seg", "seen_open", "seen_match",
-                          F.posexplode("r.resultList").alias("i", "e")).select(
+    once = (routed.withColumn("payload", F.sha2(F.to_json("r.resultList"), 256)).groupBy(*MATCH, "payload").agg(
+        F.min(at).alias("at"), F.min_by("r", at).alias("r"), F.min_by("late_legacy", at).alias("late_legacy"),
+        F.min_by(F.col("seg"), at).alias("seen_seg"), F.min_by("open", at).alias("seen_open"),
+        F.min_by("seg_match", at).alias("seen_match")))
+    return once.select(*MATCH, "at", "late_legacy", "seen_seg", "seen_open", "seen_match",
+                       F.posexplode("r.resultList").alias("i", "e")).select(
         *MATCH, "at", "i", "late_legacy", "seen_seg", "seen_open", "seen_match", F.col("e.scope").alias("scope"),
         _int("e.winningTeamId").alias("winner"), F.regexp_replace("e.reason", "ResultReason_", "").alias("reason"))
-    # an id-less block that comes after its closed match was decided says nothing new
+
+
+def result_entries(routed: DataFrame, starts: DataFrame) -> DataFrame:
+    """Entries without id-less blocks that come after their closed match was decided: these say nothing new."""
+    entries = payload_entries(routed)
     decided = (entries.filter("scope = 'MatchScope_Match' and winner is not null and not late_legacy")
                .join(own_teams(starts).filter("my_team is not null"), MATCH).groupBy(*MATCH).agg(F.min("at").alias("decided_at")))
     stale = F.col("late_legacy") & F.coalesce(F.col("decided_at") < F.col("at"), F.lit(False))
@@ -162,7 +181,7 @@ def _messages(events: DataFrame) -> DataFrame:
         *SEG, "chunk", "pos", "msg", F.coalesce("g.gameStateMessage", "g.queuedGameStateMessage").alias("s"))
 
 
-def timeline(events: DataFrame, starts: DataFrame, entries: DataFrame) -> DataFrame:
+def timeline(events: DataFrame, entries: DataFrame) -> DataFrame:
     """Turns, game results and mulligan decisions of each match in order, with the running game index.
 
     Turn 1 opens a new game when a later turn or a game result was seen since the last game began.
@@ -193,19 +212,23 @@ def timeline(events: DataFrame, starts: DataFrame, entries: DataFrame) -> DataFr
     return rows.withColumn("fresh", fresh).withColumn("game_no", (F.sum("fresh").over(w) + 1).cast("int"))
 
 
-def games_from_turns(line: DataFrame, starts: DataFrame) -> DataFrame:
-    """(file, seg, game_no) -> side: the first turn-1 message with a known active player decides."""
-    first = line.filter("turn = 1").join(starts.select(*SEG, *MATCH, "my_seat"), SEG)
+def first_seats(line: DataFrame) -> DataFrame:
+    """(file, seg, game_no) -> active: the seat of the first turn-1 message that names one."""
+    at = F.struct("chunk", "pos", "msg")
+    seen = line.filter("turn = 1").groupBy(*SEG, "game_no").agg(F.min_by("active", F.when(F.col("active").isNotNull(), at)).alias("active"))
+    top = seen.groupBy(*SEG).agg(F.max("game_no").alias("top"))
+    every = top.select(*SEG, F.explode(F.sequence(F.lit(1), "top")).alias("game_no"))
+    return every.join(seen, [*SEG, "game_no"], "left")
+
+
+def sided_games(sides: DataFrame, starts: DataFrame) -> DataFrame:
     side = F.when(F.col("active") == F.col("my_seat"), "play").otherwise("draw")
     known = F.col("active").isNotNull() & F.col("my_seat").isNotNull()
-    at = F.struct("chunk", "pos", "msg")
-    seen = first.groupBy(*SEG, *MATCH, "game_no").agg(F.min_by(side, F.when(known, at)).alias("play_draw"))
-    top = seen.groupBy(*SEG, *MATCH).agg(F.max("game_no").alias("top"))
-    every = top.select(*SEG, *MATCH, F.explode(F.sequence(F.lit(1), "top")).alias("game_no"))
-    return every.join(seen, [*SEG, *MATCH, "game_no"], "left")
+    return sides.join(starts.select(*SEG, *MATCH, "my_seat"), SEG).select(
+        *SEG, *MATCH, "game_no", F.when(known, side).alias("play_draw"))
 
 
-def mulligans_from(line: DataFrame, starts: DataFrame) -> DataFrame:
+def kept_hands(line: DataFrame) -> DataFrame:
     """One row per kept hand: mulligans taken since the last keep in the same game; explicit counts as given."""
     keep = F.col("decision").endswith("_Keep") | F.col("decision").endswith("_AcceptHand")
     rows = line.filter("decision is not null")
@@ -216,13 +239,16 @@ def mulligans_from(line: DataFrame, starts: DataFrame) -> DataFrame:
         F.count(F.when(F.col("decision").endswith("_Mulligan"), 1)).cast("int").alias("kept_on"),
         F.max("keep").alias("kept")).filter("kept").select(*SEG, "game_no", F.lit(None).cast("int").alias("seat"), "kept_on")
     given = rows.filter("kept is not null").select(*SEG, "game_no", "seat", F.col("kept").alias("kept_on"))
-    return hands.unionByName(given).join(starts.select(*SEG, *MATCH, "my_seat"), SEG).select(
+    return hands.unionByName(given)
+
+
+def mulligans_from(hands: DataFrame, starts: DataFrame) -> DataFrame:
+    return hands.join(starts.select(*SEG, *MATCH, "my_seat"), SEG).select(
         F.col("owner").alias("player_id"), "match_id", "game_no", F.coalesce("seat", "my_seat").alias("seat"), "kept_on")
 
 
-def commanders_from(events: DataFrame, starts: DataFrame) -> DataFrame:
-    """Cards shown in the command zone of commander events, resolved to objects seen so far, plus the
-    command zone of the player's own deck where the deck was known at the start."""
+def shown_commanders(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """(file, seg, seat, grp_id, partner_idx) of cards in the command zone of commander events, resolved to objects seen so far."""
     brawl = starts.filter(C.is_brawl())
     msgs = _messages(events).join(brawl.select(*SEG, *MATCH), SEG)
     at = ["chunk", "pos", "msg"]
@@ -245,11 +271,17 @@ def commanders_from(events: DataFrame, starts: DataFrame) -> DataFrame:
     first = hits.groupBy(*SEG, *MATCH, "seat", "grp_id").agg(F.min(F.struct(*at, "k")).alias("at"))
     per_message = Window.partitionBy(*SEG, "seat", "at.chunk", "at.pos", "at.msg").orderBy("at.k")
     idx = F.row_number().over(per_message) - 1
-    shown = first.select(*MATCH, "seat", "grp_id", F.when(idx < 2, idx).otherwise(0).alias("partner_idx"))
+    return first.select(*SEG, "seat", "grp_id", F.when(idx < 2, idx).otherwise(0).alias("partner_idx"))
+
+
+def commanders_from(shown: DataFrame, starts: DataFrame) -> DataFrame:
+    """Shown commanders, plus the command zone of the player's own deck where the deck was known at the start."""
+    brawl = starts.filter(C.is_brawl())
+    seen = shown.join(brawl.select(*SEG, *MATCH), SEG).select(*MATCH, "seat", "grp_id", "partner_idx")
     own = brawl.filter("deck_in_time and my_seat is not null").select(
         *MATCH, F.col("my_seat").alias("seat"), F.posexplode("deck.zone").alias("partner_idx", "grp_id")).select(
         *MATCH, "seat", "grp_id", "partner_idx")
-    both = own.withColumn("o", F.lit(0)).unionByName(shown.withColumn("o", F.lit(1)))
+    both = own.withColumn("o", F.lit(0)).unionByName(seen.withColumn("o", F.lit(1)))
     return both.groupBy(F.col("owner").alias("player_id"), "match_id", "seat", "grp_id").agg(
         F.min_by("partner_idx", F.struct("o", "partner_idx")).alias("partner_idx"))
 
@@ -263,24 +295,44 @@ def ranks_from(events: DataFrame) -> DataFrame:
                        pick("limitedClass").alias("limited_class"), _int(pick("limitedLevel")).alias("limited_level"))
 
 
+def votes_from(events: DataFrame) -> DataFrame:
+    """(owner, file, pos, user_id, n): how often each record's player lists name a user id."""
+    ids = events.filter(F.col("text").contains("reservedPlayers") & (F.col("part") == 0)).select(
+        "owner", "file", "pos", F.explode(F.regexp_extract_all("text", F.lit(USER_ID), F.lit(1))).alias("user_id"))
+    return ids.groupBy("owner", "file", "pos", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def elected(votes: DataFrame) -> DataFrame:
+    """(owner, my_user): the user id named most often (first in order on ties)."""
+    counts = votes.groupBy("owner", "user_id").agg(F.sum("n").alias("n"))
+    return counts.groupBy("owner").agg(F.min_by("user_id", F.struct((-F.col("n")).alias("a"), "user_id")).alias("my_user"))
+
+
 # ---- everything -----------------------------------------------------------------------------
-def rebuild_facts(payloads: DataFrame, identities: DataFrame | None = None,
-                  extra_decks: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Parsed payloads (owner, file, chunk, pos, part, ts, text, p) to match, game, mulligan, commander and
-    rank facts. Results without a match in this batch are returned as ``orphans``.
+def extract(payloads: DataFrame) -> dict[str, DataFrame]:
+    """Parsed payloads (owner, file, chunk, pos, part, text, p) to what the records say, whoever the owner is.
 
     The segmented events and the narrow tables derived from them feed many outputs, so each is written once.
     """
-    events = cut_lineage(segment(payloads))
-    identities = detect_identity(events) if identities is None else identities
-    decks = course_decks(events)
-    if extra_decks is not None:
-        decks = decks.unionByName(extra_decks)
-    starts = cut_lineage(attach_decks(open_matches(events, identities), decks))
-    entries = cut_lineage(result_entries(events, starts))
+    events = segment(payloads)
+    begun = match_starts(events)
+    routed = cut_lineage(routed_results(events, begun))
+    line = cut_lineage(timeline(events, payload_entries(routed)))
+    ends = events.filter("completes and seg > 0").groupBy(*SEG).agg(
+        F.min_by("ts", F.struct("chunk", "pos")).alias("end_ts"))
+    top_turn = line.filter("turn > 0").groupBy(*SEG).agg(F.max("turn").alias("total_turns"))
+    return {"starts": begun.join(ends, SEG, "left").join(top_turn, SEG, "left"), "results": routed, "decks": course_decks(events),
+            "sides": first_seats(line), "hands": kept_hands(line), "shown": shown_commanders(events, begun),
+            "ranks": ranks_from(events), "votes": votes_from(events)}
+
+
+def resolve(said: dict[str, DataFrame], identities: DataFrame) -> dict[str, DataFrame]:
+    """What the records say, with the owners' ids, to match, game, mulligan, commander and rank facts. Results without a match
+    are returned as ``orphans``. A column ``arrival`` of the starts is handed on to the matches."""
+    starts = cut_lineage(attach_decks(seated(said["starts"], identities), said["decks"]))
+    entries = cut_lineage(result_entries(said["results"], starts))
     teams = own_teams(starts)
-    line = cut_lineage(timeline(events, starts, entries))
-    turn_games = games_from_turns(line, starts)
+    turn_games = sided_games(said["sides"], starts)
     game_results = decided_games(entries, teams)
     player = F.col("owner").alias("player_id")
     games = (turn_games.groupBy(*MATCH, "game_no").agg(F.max("play_draw").alias("play_draw"))
@@ -289,12 +341,8 @@ def rebuild_facts(payloads: DataFrame, identities: DataFrame | None = None,
     games = games.select(player, "match_id", "game_no", "result", "reason", "play_draw").unionByName(lacking.selectExpr(
         "owner as player_id", "match_id", "1 as game_no", "cast(null as string) result", "cast(null as string) reason",
         "cast(null as string) play_draw"))
-    ends = events.filter("completes and seg > 0").groupBy(*SEG).agg(
-        F.min_by("ts", F.struct("chunk", "pos")).alias("end_ts"))
-    top_turn = line.filter("turn > 0").groupBy(*SEG).agg(F.max("turn").alias("total_turns"))
     sides = turn_games.filter("game_no = 1").select(*SEG, "play_draw")
-    rows = (starts.join(ends, SEG, "left").join(top_turn, SEG, "left").join(sides, SEG, "left")
-            .join(decided_matches(entries, teams), MATCH, "left"))
+    rows = starts.join(sides, SEG, "left").join(decided_matches(entries, teams), MATCH, "left")
     start = F.coalesce("start_ts", "end_ts")
     matches = rows.select(
         "match_id", F.col("owner").alias("player_id"), "file", "chunk", "pos", F.lit("log").alias("source"), "event_key",
@@ -303,11 +351,14 @@ def rebuild_facts(payloads: DataFrame, identities: DataFrame | None = None,
         F.when(F.col("end_ts") >= start, (F.col("end_ts") - start) / 1000.0).alias("duration_sec"),
         "my_seat", "opponent_name", "opponent_platform", "play_draw", "my_result", "end_reason", "total_turns",
         F.col("deck.tag").alias("my_deck_tag"), F.col("deck.id").alias("my_deck_id"),
-        F.col("deck.version").alias("my_deck_version"))
+        F.col("deck.version").alias("my_deck_version"), *[c for c in ("arrival",) if c in starts.columns])
     orphans = entries.join(starts.select(*MATCH).distinct(), MATCH, "left_anti").select(
         player, "match_id", F.struct("at", "i").alias("entry_no"), "scope", F.col("winner").alias("winning_team"), "reason")
-    rosters = starts.select("match_id", F.col("owner").alias("player_id"), "players")
-    results = entries.select(player, "match_id", F.struct("at", "i").alias("entry_no"), "scope",
-                             F.col("winner").alias("winning_team"), "reason")
-    return {"rosters": rosters, "results": results, "decks": decks, "matches": matches, "games": games, "mulligans": mulligans_from(line, starts),
-            "commanders": commanders_from(events, starts), "ranks": ranks_from(events), "orphans": orphans}
+    return {"matches": matches, "games": games, "mulligans": mulligans_from(said["hands"], starts),
+            "commanders": commanders_from(said["shown"], starts), "ranks": said["ranks"], "orphans": orphans}
+
+
+def rebuild_facts(payloads: DataFrame, identities: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Facts of complete logs; without ``identities`` each owner's id is the one named most often in them."""
+    said = extract(payloads)
+    return resolve(said, elected(said["votes"]) if identities is None else identities)

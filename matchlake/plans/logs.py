@@ -255,7 +255,7 @@ def _(t):
   union all select 'old_' || player_id, 0, 0, 0, 0, true from ml group by player_id""", ())
 def _(t):
     got = cut_lineage(payloads(t))
-    facts = SE.open_matches(SE.segment(got), SE.detect_identity(got))
+    facts = SE.open_matches(SE.segment(got), LG.detect_identity(got))
     known = t.m.filter("match_id%3=0").select(F.col("match_id").cast("string").alias("match_id"))
     skipped = t.m.select(F.concat(F.lit("old_"), "player_id").alias("file")).distinct()
     return LG.ingest_audit(got, facts, known, skipped).select(

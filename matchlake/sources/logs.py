@@ -109,42 +109,95 @@ def assemble_records(lines: DataFrame) -> DataFrame:
     always starts a new record, so an unclosed brace spoils only its own record (``closed`` false). All its
     lines are kept: one row, or for a very long one a row for every UNCLOSED_LINES lines.
     A close without an open is ignored. Blank records are dropped.
+
+    Lines are shuffled once, by split, and numbered there. Only what a split cannot know alone is stitched afterwards: the
+    lines before its first prefix, and the record still open at its end.
+    """
+    level = stored(_numbered(lines), "log-levels")
+    record = ["file", "chunk", "block", "rec"]
+    single = level.filter("whole and not loose").select("file", "chunk", "pos", "text", F.lit(1).cast("bigint").alias("lines"),
+                                                        F.lit(True).alias("closed"))
+    multi = _texts(level.filter("not whole and not loose").withColumn("piece", F.lit(0)), [*record, "piece"],
+                   F.count(F.lit(1)), F.max("ends"))
+    return single.unionByName(multi).unionByName(_stitched(level)).filter(F.trim("text") != "")
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their brace depth and record within the split, counted from depth zero at the first line.
+
+    ``block`` counts prefixes, ``rec`` records within a block, ``total`` sums the deltas of the split. Below the first prefix
+    (block 0) the depth on entry matters: ``loose``, like the lines of the record that is open when the split ends.
+    """
+    split = Window.partitionBy("file", "chunk")
+    run = split.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    block = Window.partitionBy("file", "chunk", "block")
+    upto = block.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    level = (lines.select("file", "chunk", "pos", "text", brace_delta(F.col("text")).alias("delta"),
+                          F.col("text").startswith(PREFIX).cast("int").alias("starts"))
+             .withColumn("total", F.sum("delta").over(run)).withColumn("block", F.sum("starts").over(run))
+             .withColumn("low", F.min("total").over(upto)).withColumn("before", F.first(F.col("total") - F.col("delta")).over(upto))
+             .withColumn("depth", F.col("total") - F.least("before", "low")).withColumn("ends", F.col("depth") == 0)
+             .withColumn("rec", F.sum(F.col("ends").cast("int")).over(upto) - F.col("ends").cast("int"))
+             .withColumn("whole", F.col("ends") & (F.col("delta") == 0)))
+    unended = F.col("rec") == F.max(F.col("rec") + F.col("ends").cast("int")).over(block)
+    tail = (F.col("block") == F.max("block").over(split)) & unended
+    return level.withColumn("loose", (F.col("block") == 0) | tail).drop("low", "before", "starts", "delta")
+
+
+def _texts(lines: DataFrame, key: list[str], count: Column, closed: Column) -> DataFrame:
+    """One row per record (and piece) of its lines in order."""
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "pos", "text"))), lambda r: r["text"])
+    rows = lines.groupBy(*key).agg(F.min(F.struct("chunk", "pos")).alias("at"), count.alias("lines"), closed.alias("closed"),
+                                   F.array_join(whole, "\n").alias("text"))
+    return rows.select("file", "at.chunk", "at.pos", "text", "lines", "closed")
+
+
+def _entry_depths(level: DataFrame) -> DataFrame:
+    """(file, chunk, depth0, inner): depth at the start of each split, and whether the split has a prefix.
+
+    A split is a function of the depth on entry: a constant if it has a prefix, else max(depth from zero, entry + total). The
+    functions are composed by windows over one row per split.
     """
-    ident = ["file", "chunk", "pos"]
-    # all scans run on numbers only; the texts join once, at the end
-    base = cut_lineage(lines.select(*ident, brace_delta(F.col("text")).alias("delta"),
-                                    F.col("text").startswith(PREFIX).alias("starts")))
-    level = cut_lineage(running(base, ["file"], "chunk", ["pos"], sums={
-        "total": F.col("delta"), "block": F.col("starts").cast("int")}))
-    floor = running(level, ["file", "block"], "chunk", ["pos"], mins={"low": F.col("total")},
-                    lasts={"entry": F.when(F.col("starts"), F.col("total") - F.col("delta"))})
-    depth = F.col("total") - F.least(F.coalesce("entry", F.lit(0)), F.col("low"))
-    flagged = cut_lineage(floor.withColumn("ends", depth == 0))
-    numbered = running(flagged, ["file"], "chunk", ["pos"], sums={"done": F.col("ends").cast("int")})
-    whole = F.col("ends") & (F.col("delta") == 0)  # complete on its own line, no grouping needed
-    numbered = cut_lineage(numbered.select(
-        *ident, "ends", whole.alias("whole"),
-        (F.col("block") + F.col("done") - F.col("ends").cast("int")).alias("record")))
-    at = F.struct("chunk", "pos")
-    parts = numbered.filter("not whole").select(*ident, "record", "ends")
-    sizes = parts.groupBy("file", "record").agg(F.count(F.lit(1)).alias("lines"), F.max("ends").alias("closed"))
-    open_ = parts.join(sizes.filter(~F.col("closed")).select("file", "record"), ["file", "record"], "left_semi")
-    # rank of each line inside its unclosed record, carried between chunks, deals long ones to several rows
-    ranked = running(open_.select("file", "record", "chunk", "pos"), ["file", "record"], "chunk", ["pos"], sums={"rank": F.lit(1)})
-    piece = ranked.select(*ident, "record", F.floor((F.col("rank") - 1) / UNCLOSED_LINES).alias("piece"))
-    kept = (parts.drop("ends").join(sizes, ["file", "record"]).join(piece, [*ident, "record"], "left")
-            .select(*ident, "record", "lines", "closed", F.coalesce("piece", F.lit(0)).alias("piece")))
-    alone = numbered.filter("whole").select(*ident, F.lit(None).cast("bigint").alias("record"),
-                                            F.lit(1).cast("bigint").alias("lines"), F.lit(True).alias("closed"),
-                                            F.lit(0).alias("piece"))
-    texts = lines.join(alone.unionByName(kept), ident)
-    single = texts.filter("record is null").select(*ident, "text", "lines", "closed")
-    multi = (texts.filter("record is not null").groupBy("file", "record", "piece")
-             .agg(F.min(at).alias("at"), F.max("lines").alias("lines"), F.max("closed").alias("closed"),
-                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "pos", "text"))),
-                                           lambda r: r["text"]), "\n").alias("text"))
-             .select("file", "at.chunk", "at.pos", "text", "lines", "closed"))
-    return single.unionByName(multi).filter(F.trim("text") != "")
+    ends = level.groupBy("file", "chunk").agg(F.max_by(F.struct("block", "depth", "total"), "pos").alias("e")).select(
+        "file", "chunk", (F.col("e.block") > 0).alias("inner"), "e.depth", "e.total")
+    order = Window.partitionBy("file").orderBy("chunk")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("file", "_run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    rise = F.sum(F.when(F.col("inner"), 0).otherwise(F.col("total"))).over(since)
+    known = F.coalesce(F.max(F.when(F.col("inner"), F.col("depth"))).over(since), F.lit(0))
+    own = ends.withColumn("_run", F.sum(F.col("inner").cast("int")).over(upto)).withColumn("_rise", rise)
+    floor = F.max(F.when(~F.col("inner"), F.col("depth") - F.col("_rise"))).over(since)
+    after = own.withColumn("_after", F.greatest(known, floor) + F.col("_rise"))
+    return after.select("file", "chunk", F.coalesce(F.lag("_after").over(order), F.lit(0)).alias("depth0"), "inner")
+
+
+def _stitched(level: DataFrame) -> DataFrame:
+    """Records of the loose lines: pieces of splits, joined where a record runs over the end of a split."""
+    piece = ["file", "chunk", "block", "rec"]
+    loose = level.filter("loose").drop("whole", "loose")
+    head = loose.filter("block = 0").join(_entry_depths(level), ["file", "chunk"])
+    head = head.withColumn("ends", F.greatest(F.col("total") + F.col("depth0"), F.col("depth")) == 0)
+    upto = Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    head = head.withColumn("rec", F.sum(F.col("ends").cast("int")).over(upto) - F.col("ends").cast("int"))
+    fresh = (F.col("depth0") == 0) | (F.col("rec") > 0)
+    columns = [*piece, "pos", "text", "ends", "fresh"]
+    rows = cut_lineage(head.withColumn("fresh", fresh).select(*columns).unionByName(
+        loose.filter("block > 0").withColumn("fresh", F.lit(True)).select(*columns)))
+    sizes = rows.groupBy(*piece).agg(F.count(F.lit(1)).alias("n"), F.max("ends").alias("ended"), F.first("fresh").alias("fresh"))
+    # at most the first and the last piece of a split belong to a longer record
+    order = Window.partitionBy("file").orderBy("chunk", "block", "rec").rowsBetween(Window.unboundedPreceding, 0)
+    edges = sizes.filter("not (fresh and ended)").withColumn("_no", F.sum(F.col("fresh").cast("int")).over(order))
+    one = Window.partitionBy("file", "_no")
+    earlier = one.orderBy("chunk", "block", "rec").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*piece, F.min(F.struct("chunk", "block", "rec")).over(one).alias("record"), F.sum("n").over(one).alias("lines"),
+                         F.max("ended").over(one).alias("closed"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy(*piece).orderBy("pos"))
+    joined = rows.withColumn("_rank", inside).join(sizes.select(*piece, "n"), piece).join(edges, piece, "left").select(
+        "file", "chunk", "pos", "text", F.coalesce("record", F.struct("chunk", "block", "rec")).alias("record"),
+        F.coalesce("lines", "n").alias("lines"), F.coalesce("closed", F.lit(True)).alias("closed"),
+        F.when(F.coalesce("closed", F.lit(True)), 0).otherwise(
+            F.floor((F.col("_rank") + F.coalesce("offset", F.lit(0)) - 1) / UNCLOSED_LINES)).alias("piece"))
+    return _texts(joined, ["file", "record", "piece"], F.max("lines"), F.max("closed"))
 
 
 def own_timestamp() -> Column:
