@@ -119,7 +119,7 @@ def routed_results(events: DataFrame, starts: DataFrame) -> DataFrame:
     """
     fmr = F.coalesce(F.col("p.finalMatchResult"), F.col("p.matchGameRoomStateChangedEvent.gameRoomInfo.finalMatchResult"))
     found = events.filter(F.col("text").contains("finalMatchResult")).select(
-        "owner", *SEG, "chunk", "pos", "open", fmr.alias("r")).filter("r.resultList is not null")
+        "owner", *SEG, "chunk", "pos", "part", "open", fmr.alias("r")).filter("r.resultList is not null")
     ids = starts.select(*SEG, F.col("match_id").alias("seg_match"))
     routed = found.join(ids, SEG, "left").withColumn("rid", F.nullif(F.trim("r.matchId"), F.lit("")))
     return routed.withColumn("match_id", F.coalesce("rid", "seg_match")).filter("match_id is not null").withColumn(

@@ -126,6 +126,21 @@ def _(t):
     return _facts(t)["matches"].select(*_FACT_COLS)
 
 
+@query("log_wrapped_payloads", f"with {_REC} select * from fact", ())
+def _(t):
+    """Rosters, results and decks lie one to four levels below foreign keys and lists."""
+    lines, match = log_lines(t), F.floor(F.col("pos") / 100)
+    deep = F.regexp_replace("text", r"^([^{]*)(\{.*\})$", '$1{"v":1,"outer":{"list":[0,{"deep":$2}]}}')
+    flat = F.regexp_replace("text", r"^([^{]*)(\{.*\})$", '$1{"outer":$2}')
+    whole = F.col("text").contains("finalMatchResult") | F.col("text").contains("_Playing")
+    deck = F.col("text").contains("EventGetCourses"), F.col("text").contains('"CourseDeck": ')
+    wrapped = (F.when(whole & (match % 4 == 1), flat).when(whole & (match % 4 != 3), deep)
+               .when(deck[0] & (match % 8 == 0), F.concat("text", F.lit('"a":{"b":[{'))).when(deck[1] & (match % 8 == 0), F.concat("text", F.lit(']}}')))
+               .otherwise(F.col("text")))
+    read = cut_lineage(payloads(t, lines.withColumn("text", wrapped)))
+    return SE.rebuild_facts(LG.unwrapped(read))["matches"].select(*_FACT_COLS)
+
+
 _FLIP = "case my_result when 'win' then 'loss' when 'loss' then 'win' end"
 
 

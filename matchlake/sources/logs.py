@@ -267,6 +267,67 @@ def parse_payloads(records: DataFrame) -> DataFrame:
     return parsed.withColumn("bad", bad).drop("unread", "body")
 
 
+# ---- keys at any depth --------------------------------------------------------------------------
+# fixed values: the key that tells an object, and where its fixed place in a payload is
+WRAPPED = {"reservedPlayers": '{"matchGameRoomStateChangedEvent":{"gameRoomInfo":{"gameRoomConfig":%s}}}', "finalMatchResult": '%s',
+           "CourseDeckSummary": '{"Courses":[%s]}'}
+
+
+def holders_of(objects: DataFrame, keys: list[str], ident: list[str]) -> DataFrame:
+    """(ident, path, key, holder): every JSON object, however deep in ``body``, that has one of the ``keys`` itself.
+
+    The objects are opened level by level, all records at once, until no level is left; only values that still contain a
+    searched key are followed. ``path`` holds the places on the way, so that its order is the order of a depth-first walk.
+    """
+    name = lambda k: f'"{k}"'
+    inside = lambda c: F.lit(False) if not keys else F.array_max(F.array(*[F.contains(c, F.lit(name(k))) for k in keys]))
+    level = objects.select(*ident, F.array().cast("array<int>").alias("path"), F.trim("body").alias("value")).filter(inside(F.col("value")))
+    found = None
+    while True:
+        level = stored(level.withColumn("fields", F.when(F.col("value").startswith("{"), F.from_json("value", "map<string,string>"))), "json-level")
+        if level.isEmpty():
+            break
+        held = F.array_intersect(F.map_keys("fields"), F.array(*[F.lit(k) for k in keys]))
+        here = level.filter("fields is not null").select(*ident, "path", F.explode(held).alias("key"), F.col("value").alias("holder"))
+        found = here if found is None else found.unionByName(here)
+        children = F.coalesce(F.map_values("fields"), F.from_json("value", "array<string>"))
+        level = level.select(*ident, "path", F.posexplode(children).alias("place", "value")).select(
+            *ident, F.array_append("path", F.col("place")).alias("path"), F.trim("value").alias("value")).filter(
+            inside(F.col("value")) & (F.col("value").startswith("{") | F.col("value").startswith("[")))
+    empty = objects.select(*ident, F.array().cast("array<int>").alias("path"), F.lit("").alias("key"), F.lit("").alias("holder")).filter("false")
+    return empty if found is None else found
+
+
+def unwrapped(payloads: DataFrame) -> DataFrame:
+    """Payloads, and one more for every roster, result or deck record that lies under foreign wrappers.
+
+    An object is searched only if its text names the key and the key's fixed place is empty. The added payloads have the found
+    object at its fixed place and part numbers behind the record's own. ``payloads`` should be a written table.
+    """
+    ident = ["file", "chunk", "pos", "part"]
+    room = F.col("p.matchGameRoomStateChangedEvent.gameRoomInfo")
+    place = {"reservedPlayers": room["gameRoomConfig.reservedPlayers"].isNotNull(),
+             "finalMatchResult": F.col("p.finalMatchResult").isNotNull() | room["finalMatchResult"].isNotNull(),
+             "CourseDeckSummary": F.col("p.CourseDeckSummary").isNotNull() | F.col("p.Course").isNotNull() | F.col("p.Courses").isNotNull()}
+    lost = F.filter(F.array(*[F.when(F.contains("text", F.lit(k)) & ~F.coalesce(place[k], F.lit(False)), F.lit(k)) for k in WRAPPED]),
+                    lambda k: k.isNotNull())
+    keyed = payloads.filter("not bad").withColumn("lost", lost).filter(F.size("lost") > 0)
+    body = F.regexp_extract("text", r"(?s)\{.*\}", 0)
+    several = F.regexp_replace("body", QUOTED, "").rlike(r"\}\s*[^\s,\]}]")
+    objects = keyed.withColumn("body", body).withColumn("body", F.when(
+        several, F.get(top_level_objects(F.col("body")), F.col("part"))).otherwise(F.col("body")))
+    holders = holders_of(objects.select(*ident, "body"), list(WRAPPED), ident)
+    wanted = holders.join(objects.select(*ident, "lost"), ident).filter(F.array_contains("lost", F.col("key")))
+    wanted = wanted.filter("key <> 'CourseDeckSummary' or holder like '%\"InternalEventName\"%'")
+    form = F.replace(F.element_at(F.create_map(*[x for k, v in WRAPPED.items() for x in (F.lit(k), F.lit(v))]), F.col("key")), F.lit("%s"), F.col("holder"))
+    order = Window.partitionBy("file", "chunk", "pos").orderBy("part", "path", "key")  # objects of one record
+    parsed = wanted.withColumn("_no", 1000 + F.row_number().over(order)).select(
+        "file", "chunk", "pos", F.col("_no").alias("_part"), F.from_json(form, PAYLOAD, {"columnNameOfCorruptRecord": "_bad"}).alias("_p"))
+    once = payloads.filter("part = 0 or part is null").drop("p", "part")
+    added = once.join(parsed, ["file", "chunk", "pos"]).withColumnRenamed("_p", "p").withColumnRenamed("_part", "part")
+    return payloads.unionByName(added.select(*payloads.columns))
+
+
 # ---- audit ----------------------------------------------------------------------------------
 def ingest_audit(payloads: DataFrame, facts: DataFrame, known: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """Per file: records, unreadable ones, matches rebuilt, of these new and already stored.
