@@ -306,7 +306,7 @@ def unwrapped(payloads: DataFrame) -> DataFrame:
     """
     ident = ["file", "chunk", "pos", "part"]
     room = F.col("p.matchGameRoomStateChangedEvent.gameRoomInfo")
-    place = {"reservedPlayers": room["gameRoomConfig.reservedPlayers"].isNotNull(),
+    place = {"reservedPlayers": room["gameRoomConfig"]["reservedPlayers"].isNotNull(),
              "finalMatchResult": F.col("p.finalMatchResult").isNotNull() | room["finalMatchResult"].isNotNull(),
              "CourseDeckSummary": F.col("p.CourseDeckSummary").isNotNull() | F.col("p.Course").isNotNull() | F.col("p.Courses").isNotNull()}
     lost = F.filter(F.array(*[F.when(F.contains("text", F.lit(k)) & ~F.coalesce(place[k], F.lit(False)), F.lit(k)) for k in WRAPPED]),
