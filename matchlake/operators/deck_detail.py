@@ -10,6 +10,7 @@ from ..functions.event_labels import with_event_labels
 from ..functions.winrate import count_where, is_loss, is_win, rate_columns
 from ..scope import Scope
 from ..session import cut_lineage
+from .keys import match_key
 from .decks import deck_labels
 from .identity import identity_summary, with_identity
 from .matchups import card_environment, card_table, nested_games, opponent_cards, own_cards
@@ -106,10 +107,11 @@ def deck_observations(rows: DataFrame, commanders: DataFrame, keys: list[str] =
 
 def deck_records(rows: DataFrame, games: DataFrame, commanders: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Detail rows of a deck: labels, flags, nested games and opposing cards."""
-    cards = (opponent_cards(rows.select("match_id", "my_seat", "event_key"), commanders, brawl_only=True)
-             .groupBy("match_id").agg(F.array_sort(F.collect_set("grp_id")).alias("opp_cards")))
-    own = nested_games(games.join(rows.select("match_id"), "match_id", "left_semi"))
-    out = with_event_labels(rows).join(cards, "match_id", "left").join(own, "match_id", "left")
+    key, of_games = match_key(rows), match_key(rows, games)
+    cards = (opponent_cards(rows.select(*key, "my_seat", "event_key"), commanders, brawl_only=True)
+             .groupBy(*key).agg(F.array_sort(F.collect_set("grp_id")).alias("opp_cards")))
+    own = nested_games(games.join(rows.select(*of_games), of_games, "left_semi"))
+    out = with_event_labels(rows).join(cards, key, "left").join(own, of_games, "left")
     return out.select(
         *keys, "match_id", "start_time", "event_key", "event_label", "play_draw", "my_result",
         "my_deck_tag", "my_deck_version", "source", F.coalesce("match_mode", F.lit("unknown")).alias("match_mode"),
@@ -123,10 +125,12 @@ def records_against(rows: DataFrame, commanders: DataFrame, grp_id: str | None =
     if (grp_id is None) == (evidence is None):
         raise ValueError("choose either a card or an observation")
     if grp_id is not None:
-        hit = opponent_cards(rows.select("match_id", "my_seat", "event_key"),
+        key = match_key(rows)
+        hit = opponent_cards(rows.select(*key, "my_seat", "event_key"),
                              commanders.filter(F.col("grp_id") == grp_id), brawl_only=True)
-        return rows.join(hit.select("match_id"), "match_id", "left_semi")
-    return rows.join(evidence.select("match_id"), "match_id", "left_semi")
+        return rows.join(hit.select(*key), key, "left_semi")
+    key = match_key(rows, evidence)
+    return rows.join(evidence.select(*key), key, "left_semi")
 
 
 def deck_detail(matches: DataFrame, games: DataFrame, commanders: DataFrame, scope: Scope, today: date,

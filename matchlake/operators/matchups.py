@@ -7,25 +7,28 @@ from ..functions import classify as C
 from ..functions.event_labels import with_event_labels
 from ..functions.winrate import count_where, is_decided, is_loss, is_win, pct, rate_columns, side_counts
 from ..scope import Scope
+from .keys import match_key
 from .overview import mulligan_state, single_mode_events, top_ranked
 
 
 def opponent_cards(matches: DataFrame, commanders: DataFrame, brawl_only: bool = False) -> DataFrame:
-    """Distinct (match, opposing card) next to the match columns; an unknown seat on either side drops out."""
+    """Distinct (player, match, opposing card) next to the match columns; an unknown seat on either side drops out."""
     rows = matches.filter(C.is_brawl()) if brawl_only else matches
-    opposing = (commanders.join(rows.select("match_id", "my_seat"), "match_id")
+    own = match_key(rows)
+    opposing = (commanders.join(rows.select(*own, "my_seat"), match_key(rows, commanders))
                 .filter((F.col("seat") != F.col("my_seat")) & F.col("grp_id").isNotNull())
-                .select("match_id", "grp_id").distinct())
-    return rows.join(opposing, "match_id")
+                .select(*own, "grp_id").distinct())
+    return rows.join(opposing, own)
 
 
 def enriched_matches(matches: DataFrame, mulligans: DataFrame, commanders: DataFrame) -> DataFrame:
     """Match rows with tri-state mulligan and the sorted opposing card set (commander events only)."""
-    cards = (opponent_cards(matches.select("match_id", "my_seat", "event_key"), commanders, brawl_only=True)
-             .groupBy("match_id").agg(F.array_sort(F.collect_set("grp_id")).alias("commanders")))
-    state = mulligan_state(matches, mulligans).select("match_id", "mulligan")
+    own = match_key(matches)
+    cards = (opponent_cards(matches.select(*own, "my_seat", "event_key"), commanders, brawl_only=True)
+             .groupBy(*own).agg(F.array_sort(F.collect_set("grp_id")).alias("commanders")))
+    state = mulligan_state(matches, mulligans).select(*own, "mulligan")
     empty = F.array().cast("array<string>")
-    return (matches.join(state, "match_id", "left").join(cards, "match_id", "left")
+    return (matches.join(state, own, "left").join(cards, own, "left")
             .withColumn("commanders", F.coalesce("commanders", empty)))
 
 
@@ -54,9 +57,10 @@ def matchups(matches: DataFrame, commanders: DataFrame, names: DataFrame, archet
 def commander_coverage(matches: DataFrame, commanders: DataFrame, scope: Scope) -> DataFrame:
     """Eligible decided matches, those with known opposing cards, and when the known ones span."""
     rows = scope.decided(matches)
-    known = opponent_cards(rows.select("match_id", "my_seat", "event_key"), commanders, brawl_only=True)
-    known = known.select("match_id").distinct().withColumn("known", F.lit(True))
-    joined = rows.join(known, "match_id", "left")
+    own = match_key(rows)
+    known = opponent_cards(rows.select(*own, "my_seat", "event_key"), commanders, brawl_only=True)
+    known = known.select(*own).distinct().withColumn("known", F.lit(True))
+    joined = rows.join(known, own, "left")
     return joined.groupBy("player_id").agg(
         count_where(C.is_brawl()).alias("eligible"), count_where(F.col("known")).alias("with_cards"),
         F.count(F.lit(1)).alias("all_total"),
@@ -154,7 +158,8 @@ def card_environment(rows: DataFrame, baseline: DataFrame, commanders: DataFrame
 
 
 def own_cards(rows: DataFrame, commanders: DataFrame, keys: list[str], top: int = 4) -> DataFrame:
-    own = (commanders.join(rows.filter(C.is_brawl()).select("match_id", "my_seat", *keys), "match_id")
+    mine = rows.filter(C.is_brawl()).select(*dict.fromkeys([*match_key(rows), "my_seat", *keys]))
+    own = (commanders.join(mine, match_key(mine, commanders))
            .filter((F.col("seat") == F.col("my_seat")) & F.col("grp_id").isNotNull())
            .select(*keys, "match_id", "grp_id").distinct())
     return top_ranked(own.groupBy(*keys, "grp_id").agg(F.count(F.lit(1)).alias("n")), keys,
@@ -162,18 +167,18 @@ def own_cards(rows: DataFrame, commanders: DataFrame, keys: list[str], top: int
 
 
 def _card_lists(page: DataFrame, commanders: DataFrame) -> DataFrame:
-    """match_id -> sorted own and opposing card lists of the given matches."""
-    mine = F.col("seat") == F.col("my_seat")
-    joined = commanders.join(page.select("match_id", "my_seat"), "match_id").filter(
+    """(player, match) -> sorted own and opposing card lists of the given matches."""
+    mine, own = F.col("seat") == F.col("my_seat"), match_key(page)
+    joined = commanders.join(page.select(*own, "my_seat"), match_key(page, commanders)).filter(
         F.col("grp_id").isNotNull() & F.col("seat").isNotNull() & F.col("my_seat").isNotNull())
-    return joined.groupBy("match_id").agg(
+    return joined.groupBy(*own).agg(
         F.array_sort(F.collect_set(F.when(mine, F.col("grp_id")))).alias("my_cards"),
         F.array_sort(F.collect_set(F.when(~mine, F.col("grp_id")))).alias("opp_cards"))
 
 
 def nested_games(games: DataFrame) -> DataFrame:
-    """match_id -> games ordered by number."""
-    return games.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(
+    """Match (of a player, where games name one) -> games ordered by number."""
+    return games.groupBy(*match_key(games)).agg(F.array_sort(F.collect_list(F.struct(
         "game_no", "result", "play_draw", "duration_sec"))).alias("games"))
 
 
@@ -187,13 +192,15 @@ def match_page(matches: DataFrame, games: DataFrame, mulligans: DataFrame, comma
     scoped = scope.apply(matches)
     page = top_ranked(scoped, ["player_id"], [F.desc_nulls_last("start_time"), F.desc("match_id")],
                       offset + limit, "position").filter(F.col("position") > offset)
-    ids = page.select("match_id", "my_seat")
-    kept = mulligan_state(ids, mulligans).select("match_id", "kept_sum")
+    own = match_key(page)
+    ids = page.select(*own, "my_seat")
+    kept = mulligan_state(ids, mulligans).select(*own, "kept_sum")
     cards = _card_lists(ids, commanders)
-    own_games = nested_games(games.join(ids.select("match_id"), "match_id", "left_semi"))
+    of_games = match_key(page, games)
+    own_games = nested_games(games.join(ids.select(*of_games), of_games, "left_semi"))
     labels = deck_labels(matches).select("player_id", "my_deck_id", "limited_label")
     sole = single_mode_events(matches).withColumn("mode_sole", F.lit(True))
-    out = (with_event_labels(page).join(kept, "match_id", "left").join(cards, "match_id", "left").join(own_games, "match_id", "left")
+    out = (with_event_labels(page).join(kept, own, "left").join(cards, own, "left").join(own_games, of_games, "left")
            .join(labels, ["player_id", "my_deck_id"], "left").join(sole, ["player_id", "event_key"], "left"))
     empty = F.array().cast("array<string>")
     brawl = C.is_brawl()
@@ -218,11 +225,12 @@ def export_matches(matches: DataFrame, mulligans: DataFrame, commanders: DataFra
                    scope: Scope) -> DataFrame:
     """The flat match export: 19 text-safe columns after the player."""
     rows = scope.apply(matches)
-    kept = mulligan_state(rows, mulligans).select("match_id", "kept_sum")
+    own = match_key(rows)
+    kept = mulligan_state(rows, mulligans).select(*own, "kept_sum")
     named = commanders.join(names.select("grp_id", "card_name"), "grp_id", "left").withColumn(
         "grp_id", F.coalesce("card_name", F.concat(F.lit("grpId:"), "grp_id")))
     cards = _card_lists(rows, named)
-    out = rows.join(kept, "match_id", "left").join(cards, "match_id", "left")
+    out = rows.join(kept, own, "left").join(cards, own, "left")
 
     def listed(col):
         return C.csv_safe(F.when(C.is_brawl(), F.array_join(col, " // ")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C
 from ..functions.winrate import count_where
+from .keys import match_key
 from .matchups import opponent_cards
 
 LAST_KNOWN = ("event_key", "start_time", "end_time", "duration_sec", "my_seat", "opponent_name",
@@ -17,11 +18,6 @@ LAST_KNOWN = ("event_key", "start_time", "end_time", "duration_sec", "my_seat",
               "opp_archetype_tag", "match_mode", "play_day", "is_bot")
 
 
-def match_key(*frames: DataFrame) -> list[str]:
-    """The match columns all frames know."""
-    return [c for c in ("player_id", "match_id") if all(c in f.columns for f in frames)]
-
-
 def _with_arrival(df: DataFrame, value) -> DataFrame:
     return df if "arrival" in df.columns else df.withColumn("arrival", F.lit(value).cast("bigint"))
 
@@ -174,8 +170,8 @@ def apply_profile_tags(matches: DataFrame, commanders: DataFrame, cards: DataFra
     valid, rejects = split_tag_requests(requests)
     set_of = F.struct(F.col("clean_tag").alias("tag"))
     hits = (_opposing_keys(matches, commanders, cards).join(valid, ["player_id", "card_name"])
-            .groupBy("match_id").agg(F.max_by(set_of, "req_no").alias("t")))
-    tagged = matches.join(hits, "match_id", "left").withColumn("opp_archetype_tag", F.when(
+            .groupBy("player_id", "match_id").agg(F.max_by(set_of, "req_no").alias("t")))
+    tagged = matches.join(hits, ["player_id", "match_id"], "left").withColumn("opp_archetype_tag", F.when(
         F.col("t").isNotNull(), F.col("t.tag")).otherwise(F.col("opp_archetype_tag"))).drop("t")
     names = cards.select(F.concat(F.lit("grpId:"), "grp_id").alias("card_name"), F.col("name").alias("full"))
     keyed = (valid.join(names, "card_name", "left").withColumn("card_name", F.coalesce("full", "card_name"))
@@ -188,22 +184,23 @@ def apply_profile_tags(matches: DataFrame, commanders: DataFrame, cards: DataFra
 def tag_single_matches(matches: DataFrame, commanders: DataFrame, cards: DataFrame, profiles: DataFrame,
                        requests: DataFrame) -> dict[str, DataFrame]:
     """Tag one match each: eligible constructed events directly, commander events through their first
-    opposing card (lowest id), everything else rejected. ``requests(match_id, tag, req_no)``."""
+    opposing card (lowest id), everything else rejected. ``requests([player_id,] match_id, tag, req_no)``; without a
+    player a request goes to every player of the match."""
     valid, invalid = split_tag_requests(requests, single=True)
     facts = matches.select("match_id", "player_id", "event_key", F.lit(True).alias("found"))
-    first = opponent_cards(matches.select("match_id", "my_seat"), commanders).groupBy("match_id").agg(
+    first = opponent_cards(matches.select("player_id", "match_id", "my_seat"), commanders).groupBy("player_id", "match_id").agg(
         F.min("grp_id").alias("grp_id")).join(cards.select("grp_id", "name"), "grp_id", "left").select(
-        "match_id", F.coalesce("name", F.concat(F.lit("grpId:"), "grp_id")).alias("card_name"))
-    routed = valid.join(facts, "match_id", "left").join(first, "match_id", "left")
+        "player_id", "match_id", F.coalesce("name", F.concat(F.lit("grpId:"), "grp_id")).alias("card_name"))
+    routed = valid.join(facts, match_key(valid, facts), "left").join(first, ["player_id", "match_id"], "left")
     reason = (F.when(F.col("found").isNull(), "match not found")
               .when(C.is_constructed_event(), F.lit(None))
               .when(~C.is_brawl(), "event takes no opponent type")
               .when(F.col("card_name").isNull(), "no opposing card recorded"))
     routed = routed.withColumn("reason", reason)
     fine = routed.filter("reason is null")
-    direct = fine.filter(C.is_constructed_event()).groupBy("match_id").agg(
+    direct = fine.filter(C.is_constructed_event()).groupBy("player_id", "match_id").agg(
         F.max_by(F.struct(F.col("clean_tag").alias("tag")), "req_no").alias("t"))
-    after = matches.join(direct, "match_id", "left").withColumn("opp_archetype_tag", F.when(
+    after = matches.join(direct, ["player_id", "match_id"], "left").withColumn("opp_archetype_tag", F.when(
         F.col("t").isNotNull(), F.col("t.tag")).otherwise(F.col("opp_archetype_tag"))).drop("t")
     by_card = fine.filter(~C.is_constructed_event()).select(
         "player_id", "card_name", F.coalesce("clean_tag", F.lit("")).alias("tag"), "req_no")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import classify as C
 from ..functions.winrate import (count_where, is_decided, is_loss, is_win, pct, rate_columns, side_counts)
 from ..scope import Scope
+from .keys import match_key
 
 UNKNOWN_EVENT = "(unknown)"
 UNLABELLED_DECK = "(unlabelled)"
@@ -206,16 +207,16 @@ def filter_options(matches: DataFrame, scope: Scope) -> DataFrame:
 def mulligan_distribution(matches: DataFrame, mulligans: DataFrame, scope: Scope) -> DataFrame:
     """How often the player kept after k mulligans; a NULL seat is the player's own."""
     m = scope.decided(matches).select("player_id", "match_id", "my_seat")
-    return (mulligans.join(m, "match_id")
+    return (mulligans.join(m, match_key(m, mulligans))
             .filter(F.col("seat").isNull() | (F.col("seat") == F.col("my_seat")))
             .groupBy("player_id", "kept_on").agg(F.count(F.lit(1)).alias("n")))
 
 
 def mulligan_state(matches: DataFrame, mulligans: DataFrame) -> DataFrame:
-    """match_id -> any_mulligan (true/false); absent when nothing of the player's own is recorded."""
+    """(player, match) -> any_mulligan (true/false); absent when nothing of the player's own is recorded."""
     own = mulligans.filter("kept_on is not null").join(
-        matches.select("match_id", "my_seat"), "match_id").filter("seat is null or seat = my_seat")
-    return own.groupBy("match_id").agg(F.max(F.col("kept_on") > 0).alias("mulligan"),
+        matches.select(*match_key(matches), "my_seat"), match_key(matches, mulligans)).filter("seat is null or seat = my_seat")
+    return own.groupBy(*match_key(matches)).agg(F.max(F.col("kept_on") > 0).alias("mulligan"),
                                        F.sum("kept_on").alias("kept_sum"))
 
 
@@ -224,7 +225,7 @@ def rate_by_mulligan(matches: DataFrame, mulligans: DataFrame, scope: Scope) ->
     state = mulligan_state(rows, mulligans)
     key = (F.when(F.col("mulligan"), "mulligan").when(F.col("mulligan").isNotNull(), "clean")
            .otherwise("unknown"))
-    return (rows.join(state, "match_id", "left").groupBy("player_id", key.alias("key"))
+    return (rows.join(state, match_key(rows), "left").groupBy("player_id", key.alias("key"))
             .agg(F.count(F.lit(1)).alias("cnt"), count_where(is_win()).alias("won"))
             .select("player_id", "key", *rate_columns("won", "cnt")))
 

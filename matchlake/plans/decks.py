@@ -263,6 +263,42 @@ def _(t):
         "my_result")
 
 
+# both players of every match keep a record: seats exchanged, results turned round
+_SHARED = """mm as (select * from m union all select * replace (player_id+1000000 as player_id, 3-my_seat as my_seat,
+    case my_result when 'win' then 'loss' when 'loss' then 'win' end as my_result) from m)"""
+
+
+def _shared(t):
+    flip = F.expr("case my_result when 'win' then 'loss' when 'loss' then 'win' end")
+    return t.m.unionByName(t.m.withColumn("player_id", (F.col("player_id") + 1000000).cast(t.m.schema["player_id"].dataType)).withColumn(
+        "my_seat", (3 - F.col("my_seat")).cast(t.m.schema["my_seat"].dataType)).withColumn("my_result", flip))
+
+
+@query("shared_match_cards", f"""with {_SHARED}, cards_by as (select player_id, match_id, list_sort(list(distinct grp_id)) as commanders from
+    (select mm.player_id, mm.match_id, c.grp_id from mm join c on c.match_id=mm.match_id and c.seat<>mm.my_seat where {_BRAWL}) group by 1,2),
+  mull as (select player_id, match_id, max(case when kept_on>0 then 1 else 0 end)=1 as mulligan from mu join mm using (match_id)
+    where kept_on is not null and (seat is null or seat=my_seat) group by 1,2)
+  select mm.player_id, mm.match_id, mulligan, coalesce(array_to_string(commanders, ','), '') as commanders, my_result from mm
+  left join mull using (player_id, match_id) left join cards_by using (player_id, match_id)""", ("m", "mu", "c"))
+def _(t):
+    """Two players in one match see each other's cards and their own mulligans."""
+    return M.enriched_matches(_shared(t), t.mu, t.c).select(
+        "player_id", "match_id", "mulligan", F.array_join("commanders", ",").alias("commanders"), "my_result")
+
+
+@query("shared_match_page", f"""with {_SHARED}, p as (select *, cast(row_number() over (partition by player_id
+    order by start_time desc nulls last, match_id desc) as int) as position from mm where {VISIBLE} qualify position between 3 and 12)
+  select player_id, position, match_id, my_result, (select cast(sum(kept_on) as bigint) from mu where mu.match_id=p.match_id
+    and (seat is null or seat=p.my_seat)) as kept_sum, case when contains(event_key,'Brawl') then coalesce((select array_to_string(
+    list_sort(list(distinct c.grp_id)),',') from c where c.match_id=p.match_id and c.seat=p.my_seat),'') else '' end as my_cards,
+  case when contains(event_key,'Brawl') then coalesce((select array_to_string(list_sort(list(distinct c.grp_id)),',') from c
+    where c.match_id=p.match_id and c.seat<>p.my_seat),'') else '' end as opp_cards from p""", ("m", "mu", "c"))
+def _(t):
+    page = M.match_page(_shared(t), t.g, t.mu, t.c, ALL, limit=10, offset=2)
+    return page.select("player_id", "position", "match_id", "my_result", "kept_sum", F.array_join("my_cards", ",").alias("my_cards"),
+                       F.array_join("opp_cards", ",").alias("opp_cards"))
+
+
 @query("nemeses", f"""with m as (select * from md), {_OPP}, a as (select player_id, grp_id, {CNT} as n, {cnt("my_result='win'")} as wins from oc
   where {_BRAWL} and my_result is not null group by 1,2 having n>=3 and wins::double/n<0.4),
   b as (select *, {pct_sql('wins', 'n')} as wr from a)
