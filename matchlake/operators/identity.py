@@ -24,30 +24,43 @@ def name_node():
     return F.concat(F.lit("n:"), _clean("my_deck_tag"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """(player_id, a, b) links -> (player_id, node, label), label = smallest node of the component.
 
-    Each round takes the smallest neighbouring label and then jumps to the label's own label, so long
-    chains shrink geometrically. Rounds end when nothing changed; every round is checkpointed, which
-    also keeps the plan flat and survives lost executors. Each join has a side with one row per node, so
-    a node with very many links can be split by adaptive execution.
+    Alternating stars: in a large star every node ties its larger neighbours to the smallest node it sees, in a small star itself
+    and its smaller neighbours. Connected nodes stay connected, and chains of any length and order shrink in a logarithmic
+    number of rounds, until every node hangs on the smallest of its component. Links leave as they are replaced, so
+    their number never grows. Every round is checkpointed. Each join has a side with one row per node, so a node with very
+    many links can be split by adaptive execution. ``rounds`` receives the number of links after each round.
     """
-    pairs = edges.select("player_id", "a", "b").distinct()
-    both = pairs.union(pairs.select("player_id", "b", "a")).toDF("player_id", "node", "other")
-    both = cut_lineage(both)
-    labels = cut_lineage(both.select("player_id", "node").distinct().withColumn("label", F.col("node")))
+    pairs = edges.select("player_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = cut_lineage(pairs)
+    nodes = pairs.select("player_id", F.col("a").alias("node")).union(pairs.select("player_id", "b")).distinct()
+    links, before = pairs.filter("a <> b"), None
     while True:
-        seen = labels.select("player_id", F.col("node").alias("other"), F.col("label").alias("near"))
-        offered = (both.join(seen, ["player_id", "other"])
-                   .groupBy("player_id", "node").agg(F.min("near").alias("near")))
-        hooked = labels.join(offered, ["player_id", "node"]).select(
-            "player_id", "node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        target = hooked.select("player_id", F.col("node").alias("mid"), F.col("mid").alias("label"))
-        jumped = hooked.join(target, ["player_id", "mid"])
-        step = cut_lineage(jumped.select("player_id", "node", "label", (F.col("label") != F.col("old")).alias("moved")))
-        labels = step.select("player_id", "node", "label")
-        if step.filter("moved").isEmpty():
-            return labels
+        links = cut_lineage(_small_star(_large_star(links)))
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("player_id", "a", "b").cast("decimal(38,0)"))).first()
+        if rounds is not None:
+            rounds.append(now[0])
+        if now == before:
+            break
+        before = now
+    hung = links.select("player_id", F.col("a").alias("node"), F.col("b").alias("label"))
+    return nodes.join(hung, ["player_id", "node"], "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """(a > b) links: every node ties its larger neighbours to the smallest of itself and its neighbours."""
+    both = links.union(links.select("player_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("player_id", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    return both.filter("b > a").join(least, ["player_id", "a"]).select("player_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """(a > b) links: every node ties itself and its smaller neighbours to the smallest of them."""
+    least = links.groupBy("player_id", "a").agg(F.min("b").alias("m"))
+    tied = links.join(least, ["player_id", "a"]).filter("b <> m").select("player_id", F.col("b").alias("a"), F.col("m").alias("b"))
+    return tied.union(least.select("player_id", "a", F.col("m").alias("b"))).distinct()
 
 
 def deck_edges(matches: DataFrame) -> DataFrame:

@@ -110,19 +110,12 @@ _MIX = """s as (select player_id, {cards} as cards, {a} as a, {b} as b from rec
     sum(power(a-ea,2)/ea+power(b-eb,2)/eb) as stat, min(least(ea,eb)) as le from cell group by 1)"""
 
 
-def _parity_cards(rows):
-    """A coarse composition so that expected counts reach five on the small test set."""
-    first = F.element_at("commanders", 1).cast("int") % 2
-    return rows.withColumn("commanders", F.when(F.size("commanders") > 0, F.array(first.cast("string"))).otherwise(
-        F.array().cast("array<string>")))
-
-
 @query("opponent_mix_shift", f"""with {_W30}, {_ENR},
-  {_MIX.format(cards="cast(cast(commanders[1] as int)%2 as varchar)", a=cnt('now_'), b=cnt('then_'), known='len(commanders)>0')}
+  {_MIX.format(cards="array_to_string(commanders, ',')", a=cnt('now_'), b=cnt('then_'), known='len(commanders)>0')}
   select player_id, now_n, before_n, kinds, case when le>=5 and kinds>1 then round(stat,6) end as chi2,
   case when le>=5 and kinds>1 then kinds-1 end as df from mix""", ("md", "mu", "c"))
 def _(t):
-    return P.opponent_mix_shift(_parity_cards(_enriched(t)), ["player_id"], DAY, 10).withColumn(
+    return P.opponent_mix_shift(_enriched(t), ["player_id"], DAY, 10).withColumn(
         "chi2", F.round("chi2", 6))
 
 
@@ -134,7 +127,7 @@ _TAIL = """least(1.0, case when df % 2 = 1 then greatest(0.0, 1 - 2 / sqrt(pi())
 
 
 @query("opponent_mix_p_values", f"""with {_W30}, {_ENR},
-  {_MIX.format(cards="cast(cast(commanders[1] as int)%2 as varchar)", a=cnt('now_'), b=cnt('then_'), known='len(commanders)>0')},
+  {_MIX.format(cards="array_to_string(commanders, ',')", a=cnt('now_'), b=cnt('then_'), known='len(commanders)>0')},
   x as (select player_id, now_n, before_n, kinds, case when le>=5 and kinds>1 then stat end as chi2,
     case when le>=5 and kinds>1 then kinds-1 end as df from mix),
   y as (select *, case when chi2 is null then null when chi2<=0 then 1.0 else {_TAIL} end as p_ from (select *, chi2/2 as h from x)),
@@ -142,7 +135,7 @@ _TAIL = """least(1.0, case when df % 2 = 1 then greatest(0.0, 1 - 2 / sqrt(pi())
   select player_id, now_n, before_n, kinds, chi2, df, p, case when p is null then null when p>=0.10 then 50.0 when p<=1e-4 then 100.0
     else round(50+50*(log10(p)+1)/-3.0, 1) end as score from z""", ("md", "mu", "c"))
 def _(t):
-    mix = P.opponent_mix_shift(_parity_cards(_enriched(t)), ["player_id"], DAY, 10)
+    mix = P.opponent_mix_shift(_enriched(t), ["player_id"], DAY, 10)
     p = chi2_tail("chi2", F.col("df").cast("double"))
     return mix.withColumn("p", F.round(p, 6)).withColumn("score", p_to_score("p"))
 

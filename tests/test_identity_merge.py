@@ -109,3 +109,25 @@ def test_csv_sink_has_a_mark_and_keeps_order(spark, tmp_path):
     lines = [f.read_text(encoding="utf-8") for f in sorted((tmp_path / "out").glob("part-*.csv"))]
     assert all(text.startswith("﻿t,name") for text in lines)
     assert [x for text in lines for x in text.split()[1:]] == ["1,n1", "2,n2", "3,n3"]
+
+
+def test_long_chains_in_few_rounds(spark):
+    """A path of 3,000 nodes in shuffled order, a star, a ring and a loop; labels by brute force, rounds logarithmic."""
+    import random
+    rng = random.Random(5)
+    names = [f"n{i:05d}" for i in range(3000)]
+    rng.shuffle(names)
+    links = list(zip(names, names[1:])) + [("hub", f"x{i}") for i in range(500)] + [(f"r{i}", f"r{(i + 1) % 64}") for i in range(64)] + [("self", "self")]
+    parent = {}
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    rounds = []
+    df = spark.createDataFrame([(1, a, b) for a, b in links] + [(2, "a", "b")], "player_id int, a string, b string")
+    got = {(r.player_id, r.node): r.label for r in I.components(df, rounds).collect()}
+    assert got == {**{(1, x): find(x) for x in list(parent)}, (2, "a"): "a", (2, "b"): "a"}
+    assert len(rounds) <= 16 and max(rounds) <= len(links) + 1
