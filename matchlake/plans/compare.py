@@ -140,12 +140,67 @@ def _(t):
     return mix.withColumn("p", F.round(p, 6)).withColumn("score", p_to_score("p"))
 
 
-@query("window_report", None)
+@query("mulligan_shift_p_values", f"""with {_W30}, {_ENR}, a as (select player_id, {cnt('now_ and mulligan')} as now_yes,
+    {cnt('now_ and mulligan is not null')} as now_n, {cnt('then_ and mulligan')} as before_yes,
+    {cnt('then_ and mulligan is not null')} as before_n from rec group by 1),
+  b as (select *, (now_yes+before_yes)::double/(now_n+before_n) as p from a),
+  x as (select player_id, 1 as df, case when least(now_n*p, now_n*(1-p), before_n*p, before_n*(1-p))>=5 then
+    power((now_yes::double/now_n-before_yes::double/before_n)/sqrt(p*(1-p)*(1.0/now_n+1.0/before_n)),2) end as chi2 from b),
+  y as (select *, case when chi2 is null then null when chi2<=0 then 1.0 else {_TAIL} end as p_ from (select *, chi2/2 as h from x))
+  select player_id, round(p_, 6) as p from y""", ("md", "mu", "c"))
 def _(t):
-    rows = _enriched(t)
+    shift = P.mulligan_shift(_enriched(t), ["player_id"], DAY, 10)
+    return shift.select("player_id", F.round(chi2_tail("chi2", F.lit(1.0)), 6).alias("p"))
+
+
+def _report_sql(keys: str, where: str) -> str:
+    """The whole window report: side balance, both shifts with p values where they may be judged, the longest losing streak."""
+    same = lambda c: f"min(coalesce({c},''))=max(coalesce({c},''))"
+    return f"""with {_W30}, {_ENR}, rw as (select *, coalesce(my_result,'')='loss' as lost from rec where (now_ or then_) and {where}),
+  un as (select {keys}, {cnt('now_')} as n, {same('event_key')} and {same('my_deck_tag')} and {same('my_deck_version')}
+    and min(coalesce(my_deck_version,''))<>'' as comparable, {cnt("now_ and play_draw='play'")} as play,
+    {cnt("now_ and play_draw='draw'")} as draw, {cnt('now_ and mulligan')} as my, {cnt('now_ and mulligan is not null')} as mn,
+    {cnt('then_ and mulligan')} as by_, {cnt('then_ and mulligan is not null')} as bn_ from rw group by {keys}),
+  si as (select *, least(1.0, 2*(select sum(exp(lgamma(play+draw+1)-lgamma(i+1)-lgamma(play+draw-i+1)+(play+draw)*ln(0.5::double)))
+    from unnest(range(0, least(play,draw)+1)) u(i))) as side_p, (my+by_)::double/nullif(mn+bn_,0) as mp from un),
+  x as (select *, case when least(mn*mp, mn*(1-mp), bn_*mp, bn_*(1-mp))>=5 then power((my::double/mn-by_::double/bn_)
+    /sqrt(mp*(1-mp)*(1.0/mn+1.0/bn_)),2) end as chi2, 1 as df from si),
+  mu_p as (select {keys}, case when chi2 is null then null when chi2<=0 then 1.0 else {_TAIL} end as mull_p
+    from (select *, chi2/2 as h from x)),
+  {_MIX.format(cards="array_to_string(commanders, ',')", a=cnt('now_'), b=cnt('then_'), known='len(commanders)>0')
+      .replace('player_id', keys).replace('s.' + keys, ', '.join('s.' + k.strip() for k in keys.split(','))).replace('from rec', 'from rw').replace('group by 1,2', f'group by {keys}, cards').replace('group by 1)', f'group by {keys})')},
+  mx as (select *, case when le>=5 and kinds>1 then stat end as chi2, case when le>=5 and kinds>1 then kinds-1 end as df from mix),
+  cp as (select {keys}, now_n as card_n, before_n, case when chi2 is null then null when chi2<=0 then 1.0 else {_TAIL} end as cards_p
+    from (select *, chi2/2 as h from mx)),
+  nowr as (select * from rw where now_), {islands_sql('i', 'nowr', keys, 'lost', 'coalesce(start_time,-1), match_id')},
+  ml as (select {keys}, coalesce(max(len) filter (where state),0) as streak from i group by {keys})
+  select {keys}, n, comparable, case when n>0 then play end as play, case when n>0 then draw end as draw,
+  case when play+draw>=20 then round(side_p,6) end as side_p,
+  case when play+draw>=20 then case when side_p>=0.1 then 50.0 when side_p<=0.0001 then 100.0
+    else round(50+50*(log10(side_p)+1)/-3.0,1) end end as side_score, mn as mulligan_n, my as mulligan_yes,
+  case when comparable and bn_>=20 and mn>=20 then round(mull_p,6) end as mulligan_p, coalesce(card_n,0) as card_n,
+  case when comparable and card_n>=20 and before_n>=20 then round(cards_p,6) end as card_p, coalesce(streak,0) as max_loss_streak
+  from x left join mu_p using ({keys}) left join cp using ({keys}) left join ml using ({keys})"""
+
+
+def _report(t, keys, rows):
     now, _ = P.window_periods(DAY, 10)
-    loss = S.loss_streaks(rows.filter(now), ["player_id"])
-    return P.window_report(rows, loss, ["player_id"], DAY, 10)
+    out = P.window_report(rows, S.loss_streaks(rows.filter(now), keys), keys, DAY, 10)
+    return out.withColumns({c: F.round(c, 6) for c in ("side_p", "mulligan_p", "card_p")})
+
+
+@query("window_report", _report_sql("player_id", "true"), ("md", "mu", "c"))
+def _(t):
+    return _report(t, ["player_id"], _enriched(t))
+
+
+_BUILD = "event_key is not null and my_deck_tag is not null and my_deck_version is not null"
+
+
+@query("window_report_by_build", _report_sql("event_key, my_deck_tag, my_deck_version", _BUILD), ("md", "mu", "c"))
+def _(t):
+    """Rows of one event, deck and version of all players, so that the shifts may be judged."""
+    return _report(t, ["event_key", "my_deck_tag", "my_deck_version"], _enriched(t).filter(_BUILD))
 
 
 @query("match_set_summary", f"""with w as (select * from m where {VISIBLE}), {_ENR},

@@ -238,6 +238,18 @@ def _(t):
     return M.matchups(t.m, t.c, K.display_names(t.cards), _archetypes(t), ALL)
 
 
+@query("matchups_by_recency", f"""with {_OPP}, {_ARCH}, a as (select player_id, grp_id, max(start_time) as last_time, {CNT} as c_,
+    {cnt("my_result='win'")} as w, {cnt("play_draw='play'")} as pn, {cnt("play_draw='play' and my_result='win'")} as pw,
+    {cnt("play_draw='draw'")} as dn, {cnt("play_draw='draw' and my_result='win'")} as dw from oc where {DECIDED} group by 1,2)
+  select player_id, cast(row_number() over (partition by player_id order by last_time desc nulls last, c_ desc, grp_id) as int)
+  as position, grp_id, coalesce(name_zh, name, 'grpId:' || grp_id) as card_name, coalesce(x.tags, y.tags, '') as archetype,
+  last_time, {rate_sql('w', 'c_')}, {rate_sql('pw', 'pn', 'on_play')}, {rate_sql('dw', 'dn', 'on_draw')}
+  from a left join cards using (grp_id) left join arch x on x.card_name=cards.name
+  left join arch y on y.card_name=coalesce(name_zh, name)""", ("m", "c", "cards"))
+def _(t):
+    return M.matchups(t.m, t.c, K.display_names(t.cards), _archetypes(t), ALL, sort="recent")
+
+
 @query("commander_coverage", f"""with {_OPP}, k as (select distinct match_id from oc where {_BRAWL})
   select player_id, {cnt(_BRAWL)} as eligible, {cnt('k.match_id is not null')} as with_cards, {CNT} as all_total,
   min(start_time) filter (where k.match_id is not null) as first_time,

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..operators import deck_detail as DD, decks as D, identity as I, sequences as S
+from ..operators.overview import side_summary
 from ..session import cut_lineage
 from .catalog import CNT, VISIBLE, cnt, pct_sql, query, rate_sql
 from .decks import LABELS
@@ -109,6 +110,12 @@ def _(t):
     return side_summary(DD.apply_scope(_visible(t), "last20", DAY), DD.KEYS)
 
 
+for _scope, _day in (("today", "2024-01-20"), ("yesterday", "2024-01-19")):
+    @query(f"deck_summary_{_scope}", f"""with recursive {_IDENT} {summary_sql(K, 'vis', f"play_day = date '{_day}'")}""", ("md",))
+    def _(t, scope=_scope):
+        return side_summary(DD.apply_scope(_visible(t), scope, DAY), DD.KEYS)
+
+
 @query("deck_summary_last7", f"""with recursive {_IDENT} {summary_sql(K, 'vis', "play_day between date '2024-01-14' and date '2024-01-20'")}""",
        ("md",))
 def _(t):

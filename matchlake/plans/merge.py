@@ -140,6 +140,12 @@ def _(t):
     return U.clean_commanders(t.c)
 
 
+@query("clear_abnormal", f"select match_id, player_id, 0 as is_abnormal, my_result from m", ("m",))
+def _(t):
+    """Every abnormal flag taken back, nothing else touched."""
+    return U.clear_abnormal(t.m).select("match_id", "player_id", "is_abnormal", "my_result")
+
+
 @query("dedupe_ranks", """with x as (select *, case when id%3=0 then null else ts//86400000 end as t2 from r)
   select player_id, t2 as ts, constructed_class, constructed_level, limited_class, limited_level, min(id) as id from x
   group by all""", ("r",))
