@@ -5,8 +5,9 @@ group with more than ``target_rows`` rows is cut into consecutive chunks of abou
 window runs per (key, chunk), and only a few edge rows per chunk are stitched together afterwards.
 
 Cuts are made in exact row counts per minute, cumulated within the group, so bursts and outlier times
-make no chunk larger than the target plus one minute. Undated rows form a chunk of their own in front. Counts
-are exact, so the cut is the same on every evaluation. All sizes travel by ordinary joins.
+make no chunk larger than the target plus one minute. Undated rows form chunks of their own in front: one, or, where a
+tie-breaker is named, consecutive ones of at most about the target. Counts are exact, so the cut is the same on every
+evaluation. All sizes travel by ordinary joins.
 """
 from __future__ import annotations
 
@@ -27,25 +28,47 @@ def _same(left_keys: list[str], right_keys: list[str]) -> Column:
     return cond
 
 
-def chunked(df: DataFrame, keys: list[str], time: str, target_rows: int | None = None) -> DataFrame:
-    """Add ``_chunk`` (monotone in ``time`` within the key, 0 for ordinary groups) and ``_chunks``."""
+def chunked(df: DataFrame, keys: list[str], time: str, target_rows: int | None = None, tie: str | None = None) -> DataFrame:
+    """Add ``_chunk`` (monotone in ``time`` within the key, 0 for ordinary groups) and ``_chunks``.
+
+    With ``tie`` the undated rows of a group, which have no other order, are cut in the order of that column.
+    """
     target = target_rows or TARGET_ROWS
     undated = F.col(time).isNull() | (F.col(time) <= 0)  # stand-ins for a missing time are not positive
     cell = F.when(undated, F.lit(-1)).otherwise(F.floor(F.col(time) / MINUTE)).cast("bigint")
     names = [f"_h_{k}" for k in keys]
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target)
            .select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
+    if tie:
+        places = _undated_places(df.filter(undated).join(hot, _same(keys, names), "left_semi").select(*keys, tie), keys, tie, target)
+        if places is not None:
+            df = df.join(places, _same([*keys, tie], [*names, "_h_tie"]), "left").drop(*names, "_h_tie")
+            cell = F.when(undated, F.coalesce("_place", F.lit(-1))).otherwise(cell).cast("bigint")
     counts = df.join(hot, _same(keys, names), "left_semi").groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
     before = F.sum("_n").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     late = F.coalesce(F.sum(F.when(F.col("_cell") < 0, F.col("_n"))).over(whole), F.lit(0))
-    first = F.when(late > 0, F.lit(1)).otherwise(F.lit(0))
-    chunk = F.when(F.col("_cell") < 0, F.lit(0)).otherwise(first + F.floor((before - late) / target)).cast("bigint")
-    cuts = counts.withColumn(CHUNK, chunk).withColumn(CHUNKS, F.max(CHUNK).over(whole) + 1).select(
+    number = F.row_number().over(whole.orderBy("_cell"))
+    first = F.coalesce(F.max(F.when(F.col("_cell") < 0, F.col("_number"))).over(whole), F.lit(0))
+    chunk = F.when(F.col("_cell") < 0, F.col("_number") - 1).otherwise(first + F.floor((before - late) / target)).cast("bigint")
+    cuts = counts.withColumn("_number", number).withColumn(CHUNK, chunk).withColumn(CHUNKS, F.max(CHUNK).over(whole) + 1).select(
         *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_cell").alias("_h_cell"), CHUNK, CHUNKS)
     return (df.withColumn("_cell", cell).join(cuts, _same([*keys, "_cell"], [*names, "_h_cell"]), "left")
             .withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint"))).withColumn(CHUNKS, F.coalesce(CHUNKS, F.lit(1).cast("bigint")))
-            .drop("_cell", "_h_cell", *names))
+            .drop("_cell", "_h_cell", "_place", *names))
+
+
+def _undated_places(rows: DataFrame, keys: list[str], tie: str, target: int) -> DataFrame | None:
+    """(keys, tie) of the undated rows of large groups -> a negative place that grows with the tie, at most about ``target`` rows
+    to a place; None if they are few. The rows are range-partitioned, and the partition is written with them, since another
+    evaluation may draw other bounds."""
+    total = rows.count()
+    if total <= target:
+        return None
+    parts = -(-2 * total // target)
+    ranged = rows.repartitionByRange(parts, *keys, tie).withColumn("_place", F.spark_partition_id() - parts)
+    names = {**{k: f"_h_{k}" for k in keys}, tie: "_h_tie"}
+    return stored(ranged.withColumnsRenamed(names).distinct(), "undated-places")
 
 
 def mark_ties(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:

@@ -71,7 +71,7 @@ def _folded(matches: DataFrame, fold_rows: int, block: int) -> DataFrame:
                     F.coalesce("start_time", F.lit(0)).alias("time"), "match_id",
                     (F.col("my_result") == "win").cast("int").alias("won"), "spec.*"))
     spec = ["kind", "cap_wins", "cap_losses", "break_even"]
-    pieces = chunked(rows, KEYS, "time", fold_rows).groupBy(*KEYS, CHUNK, CHUNKS, *spec).agg(
+    pieces = chunked(rows, KEYS, "time", fold_rows, "match_id").groupBy(*KEYS, CHUNK, CHUNKS, *spec).agg(
         F.array_sort(F.collect_list(F.struct("time", "match_id", "won"))).alias("seq"))
     many = pieces.filter(F.col(CHUNKS) > 1).withColumn("trans", F.expr(_TRANSITIONS)).select(
         *KEYS, CHUNK, F.floor(F.col(CHUNK) / block).alias("_block"), "cap_losses", "trans")

@@ -133,3 +133,21 @@ def test_chunks_are_cut_by_rows(spark):
     assert sizes[0] == 1 and max(sizes.values()) <= 400 and len(sizes) >= len(times) // 400
     assert [r[1] for r in got] == sorted(r[1] for r in got)
     assert chunked(df, ["k"], "t", 200).filter(f"k = 2 and {CHUNK} <> 0").count() == 0
+
+
+def test_undated_rows_are_cut_evenly(spark):
+    """All rows of a heavy player undated, a light player beside: consecutive chunks of at most twice the target."""
+    rng = random.Random(9)
+    rows = [row(i, start_time=None if i % 3 else 0, my_result=rng.choice(["win", "loss"]), event_key="QuickDraft_A_1") for i in range(600)]
+    rows += [row(1000 + i, player_id=2, start_time=None, event_key="QuickDraft_A_1") for i in range(20)]
+    rows += [row(2000 + i, my_result="win", event_key="QuickDraft_A_1") for i in range(30)]
+    df = matches(spark, rows)
+    cut = OR.chunked(df, P, "start_time", 60, "match_id")
+    got = {(r.player_id, r[OR.CHUNK]): (r.n, r.lo, r.hi, r.dated) for r in cut.groupBy("player_id", OR.CHUNK).agg(
+        F.count(F.lit(1)).alias("n"), F.min("match_id").alias("lo"), F.max("match_id").alias("hi"), F.max(F.coalesce("start_time", F.lit(0))).alias("dated")).collect()}
+    heavy = [v for k, v in sorted(got.items()) if k[0] == 1]
+    assert max(v[0] for v in heavy) <= 120 and sum(v[0] for v in heavy) == 630 and got[2, 0][0] == 20
+    assert [k[1] for k in sorted(got) if k[0] == 1] == list(range(len(heavy)))
+    assert all(a[2] < b[1] for a, b in zip(heavy, heavy[1:])) and [v[3] > 0 for v in heavy] == [False] * (len(heavy) - 1) + [True]
+    names = [*R.KEYS, "run_no", "wins", "losses", "end_match"]
+    assert as_set(R.capped_runs(df, 60, 3).select(*names)) == as_set(R.capped_runs(df).select(*names))
