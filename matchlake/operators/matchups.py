@@ -7,10 +7,14 @@ from ..functions import classify as C
 from ..functions.event_labels import with_event_labels
 from ..functions.winrate import count_where, is_decided, is_loss, is_win, pct, rate_columns, side_counts
 from ..scope import Scope
+from ..session import stored
 from .keys import match_key
 from .overview import mulligan_state, single_mode_events, top_ranked
 
 
+PAGE_BLOCK = 86_400_000  # milliseconds of a block of the page index
+
+
 def opponent_cards(matches: DataFrame, commanders: DataFrame, brawl_only: bool = False) -> DataFrame:
     """Distinct (player, match, opposing card) next to the match columns; an unknown seat on either side drops out."""
     rows = matches.filter(C.is_brawl()) if brawl_only else matches
@@ -182,16 +186,45 @@ def nested_games(games: DataFrame) -> DataFrame:
         "game_no", "result", "play_draw", "duration_sec"))).alias("games"))
 
 
+def page_index(matches: DataFrame) -> DataFrame:
+    """(player_id, day, n): rows of every player by day (NULL: undated), the index that pages are found by."""
+    return matches.groupBy("player_id", _page_day()).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _page_day():
+    return F.floor(F.col("start_time") / PAGE_BLOCK).alias("day")
+
+
+def page_rows(matches: DataFrame, index: DataFrame, limit: int, offset: int) -> DataFrame:
+    """Rows ``offset + 1 .. offset + limit`` of every player, newest first, with ``position``.
+
+    The index tells which days hold them and how many rows come before; only rows of these days are ranked, so a far page
+    costs what a near one does. Days are cumulated in a window over one row per player and day.
+    """
+    newest = Window.partitionBy("player_id").orderBy(F.desc_nulls_last("day"))
+    until = F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    spans = index.withColumn("_until", until).withColumn("_before", F.col("_until") - F.col("n")).filter(
+        (F.col("_before") < offset + limit) & (F.col("_until") > offset))
+    spans = spans.withColumn("_first", F.min("_before").over(Window.partitionBy("player_id"))).select(
+        F.col("player_id").alias("_player"), F.col("day").alias("_day"), "_first")
+    near = matches.withColumn("_d", _page_day()).join(
+        spans, F.col("player_id").eqNullSafe(F.col("_player")) & F.col("_d").eqNullSafe(F.col("_day")))
+    order = Window.partitionBy("player_id").orderBy(F.desc_nulls_last("start_time"), F.desc("match_id"))
+    ranked = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") + F.col("_first") <= offset + limit)
+    return ranked.withColumn("position", (F.col("_r") + F.col("_first")).cast("int")).filter(F.col("position") > offset).drop(
+        "_d", "_day", "_player", "_first", "_r")
+
+
 def match_page(matches: DataFrame, games: DataFrame, mulligans: DataFrame, commanders: DataFrame,
-               scope: Scope, limit: int = 500, offset: int = 0) -> DataFrame:
+               scope: Scope, limit: int = 500, offset: int = 0, index: DataFrame | None = None) -> DataFrame:
     """The newest matches of every player, one page, with children, labels and flags.
 
-    The page is cut first (each task keeps only its own best rows), children are joined afterwards.
+    The page is found through ``index`` (``page_index`` of the scoped matches, made here if none is kept) and written first; the
+    children are joined to its few rows afterwards.
     """
     from .decks import deck_labels
     scoped = scope.apply(matches)
-    page = top_ranked(scoped, ["player_id"], [F.desc_nulls_last("start_time"), F.desc("match_id")],
-                      offset + limit, "position").filter(F.col("position") > offset)
+    page = stored(page_rows(scoped, page_index(scoped) if index is None else index, limit, offset), "match-page")
     own = match_key(page)
     ids = page.select(*own, "my_seat")
     kept = mulligan_state(ids, mulligans).select(*own, "kept_sum")

@@ -5,6 +5,7 @@ from ..functions import classify as C
 from ..functions import event_labels as L
 from ..operators import cards as K, decks as D, matchups as M, overview as O
 from ..scope import Scope
+from ..session import cut_lineage
 from .catalog import CNT, DECIDED, VISIBLE, cnt, family_sql, pct_sql, query, rate_sql
 from .overview import ALL, DAY
 from .views import TODAY
@@ -356,6 +357,17 @@ def _(t):
     return M.match_page(t.m, t.g, t.mu, t.c, ALL, limit=5000, offset=30).select("player_id", "position", "match_id")
 
 
+@query("match_page_last", f"""select player_id, position, match_id, case when contains(event_key,'Brawl') then coalesce((select array_to_string(
+    list_sort(list(distinct c.grp_id)),',') from c where c.match_id=p.match_id and c.seat<>p.my_seat),'') else '' end as opp_cards
+  from (select *, cast(row_number() over (partition by player_id order by start_time desc nulls last, match_id desc) as int) as position
+    from m where {VISIBLE}) p where position between 41 and 60""", ("m", "c"))
+def _(t):
+    """A page found by a kept index, whose last rows are undated for some players."""
+    index = cut_lineage(M.page_index(ALL.apply(t.m)))
+    page = M.match_page(t.m, t.g, t.mu, t.c, ALL, limit=20, offset=40, index=index)
+    return page.select("player_id", "position", "match_id", F.array_join("opp_cards", ",").alias("opp_cards"))
+
+
 @query("match_page_totals", f"""select player_id, {cnt(VISIBLE)} as total, {cnt('is_abnormal=1 or is_bot=1')} as hidden
   from m where match_mode='BO1' group by 1""")
 def _(t):

@@ -131,3 +131,18 @@ def test_long_chains_in_few_rounds(spark):
     got = {(r.player_id, r.node): r.label for r in I.components(df, rounds).collect()}
     assert got == {**{(1, x): find(x) for x in list(parent)}, (2, "a"): "a", (2, "b"): "a"}
     assert len(rounds) <= 16 and max(rounds) <= len(links) + 1
+
+
+def test_pages_found_by_the_index(spark):
+    import random
+    rng = random.Random(2)
+    rows = [row(i, player_id=i % 3, start_time=None if i % 11 == 0 else BASE + rng.randrange(6) * 86_400_000 + rng.randrange(5)) for i in range(200)]
+    df = matches(spark, rows)
+    index = M.page_index(df).cache()
+    every = {(r.player_id, r.position): r.match_id for r in M.page_rows(df, index, 1000, 0).collect()}
+    for p in range(3):
+        own = sorted((r for r in rows if r["player_id"] == p), key=lambda r: (r["start_time"] is not None, r["start_time"] or 0, r["match_id"]), reverse=True)
+        assert [every[p, i + 1] for i in range(len(own))] == [r["match_id"] for r in own]
+    for limit, offset in ((1, 0), (7, 20), (10, 60), (5, 66), (3, 500)):
+        got = {(r.player_id, r.position): r.match_id for r in M.page_rows(df, index, limit, offset).collect()}
+        assert got == {k: v for k, v in every.items() if offset < k[1] <= offset + limit}
