@@ -211,9 +211,9 @@ def _tagged(t):
 
 
 @query("tag_by_card_name", """with h as (select distinct m.match_id, grp_id from m join c on c.match_id=m.match_id and c.seat<>m.my_seat
-    where grp_id in ('3','23','5')),
-  t as (select match_id, arg_max(case grp_id when '3' then 'Ramp,Combo' when '23' then '' else 'Control' end,
-    case grp_id when '3' then 1 when '23' then 3 else 5 end) as tag from h group by 1)
+    where grp_id in ('3','23','99','5')),
+  t as (select match_id, arg_max(case grp_id when '3' then 'Ramp,Combo' when '23' then '' when '99' then 'Aggro' else 'Control' end,
+    case grp_id when '3' then 1 when '23' then 3 when '99' then 4 else 5 end) as tag from h group by 1)
   select match_id, case when t.match_id is not null then nullif(t.tag,'') else opp_archetype_tag end as opp_archetype_tag
   from m left join t using (match_id)""", ("m", "c"))
 def _(t):
