@@ -23,6 +23,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it (names differ without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold():
     """crc32 of the id as text modulo five; NULL for a NULL id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5

@@ -13,6 +13,8 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import free_name
+
 BUDGET = 0.08
 ITEMS_PER_BLOCK = 20_000     # benchmark items matched in one pass over the documents
 LEAST = 12                   # shorter items (normalised characters) are matched whole and between word ends
@@ -133,7 +135,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET
     sc = docs.sparkSession.sparkContext
     hit = "array<struct<item:bigint,distance:int>>"
     found = docs if keep_columns else docs.select("doc_id", "text")
-    found = found.withColumn("llm_hits", F.array().cast(hit))
+    hits = free_name(found, "llm_hits")
+    found = found.withColumn(hits, F.array().cast(hit))
     kind = found.schema
     for items in item_blocks(benchmark, block):
         shared = sc.broadcast(items)
@@ -142,16 +145,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET
             matcher = None
             for b in batches:
                 matcher = matcher or Matcher([(i, t) for i, (_, t) in enumerate(shared.value)], budget)
-                old = b.column("llm_hits").to_pylist()
+                old = b.column(hits).to_pylist()
                 new = [o + [{"item": shared.value[k][0], "distance": d} for k, d, _ in matcher.hits(t.as_py())]
                        for o, t in zip(old, b.column("text"))]
-                at = b.schema.get_field_index("llm_hits")
+                at = b.schema.get_field_index(hits)
                 yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
         found = found.mapInArrow(search, kind)
     if keep_columns:
-        return found.filter(F.size("llm_hits") == 0).select(*docs.columns)
-    items = F.array_sort(F.array_distinct(F.transform("llm_hits", lambda h: h["item"])))
-    return found.select("doc_id", (F.size("llm_hits") > 0).alias("contaminated"), items.alias("items"),
+        return found.filter(F.size(hits) == 0).select(*docs.columns)
+    items = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item"])))
+    return found.select("doc_id", (F.size(hits) > 0).alias("contaminated"), items.alias("items"),
                         F.transform(items, lambda i: F.array_min(F.transform(F.filter(
-                            "llm_hits", lambda h: h["item"] == i), lambda h: h["distance"]))).alias("distances"))
+                            hits, lambda h: h["item"] == i), lambda h: h["distance"]))).alias("distances"))

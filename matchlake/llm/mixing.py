@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .common import WORD, written
+from .common import WORD, free_name, written
 
 WEIGHTS = (5, 2, 1)     # by source in code-point order, repeating
 SHARE = 1.5             # of all words
@@ -109,10 +109,15 @@ def mix(docs: DataFrame, seed: int = 17, shards: int = SHARDS, blocks: int = BLO
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """Document rows repeated as the mix takes them (columns of ``docs``), by output shard and in shuffled order within each."""
+    """Document rows repeated as the mix takes them (columns of ``docs``), by output shard and in shuffled order within each.
+
+    NULL texts have no words and are taken like empty ones; rows that agree in id and text are all taken as often as the one
+    taken most; an empty table gives an empty result. ``docs`` may have columns of any names.
+    """
     key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+    h, copies, copy = (free_name(docs, n) for n in ("mix_h", "mix_copies", "mix_copy"))
     plan = mix(docs, seed).filter("times > 0").groupBy("h").agg(F.max_by("copies", "times").alias("copies"))
-    plan = plan.toDF("mix_h", "mix_copies")
-    repeated = docs.withColumn("mix_h", key).join(plan, "mix_h").withColumn("mix_copy", F.explode("mix_copies"))
-    place = [F.col("mix_copy.shard"), F.col("mix_copy.place")]
+    plan = plan.toDF(h, copies)
+    repeated = docs.withColumn(h, key).join(plan, h).withColumn(copy, F.explode(copies))
+    place = [F.col(copy)["shard"], F.col(copy)["place"]]
     return repeated.repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)

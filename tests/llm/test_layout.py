@@ -129,3 +129,14 @@ def test_empty_tables(spark):
     assert sharding.sharded_documents(none).collect() == []
     assert mixing.mix(none).collect() == []
     assert mixing.mixed_documents(none).collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from matchlake.llm import decontamination, mixing
+    docs = spark.createDataFrame([(i, f"word{i} " * 9, "s", [i], "h", 1.5, "x") for i in range(20)],
+                                 "doc_id long, text string, source string, llm_hits array<int>, mix_h string, mix_copies double, MIX_COPY string")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {(r.doc_id, r.mix_h, r.mix_copies, r.MIX_COPY) for r in mixed.collect()} <= {(i, "h", 1.5, "x") for i in range(20)}
+    bench = spark.createDataFrame([(7, "word3 " * 9)], "item_id long, text string")
+    clean = decontamination.decontaminated(docs, bench, keep_columns=True)
+    assert clean.columns == docs.columns and sorted((r.doc_id, r.llm_hits) for r in clean.collect()) == [(i, [i]) for i in range(20) if i != 3]
