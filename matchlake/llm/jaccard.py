@@ -6,11 +6,17 @@ Jaccard of 3/4 share one of their first n - ceil(3n/4) + 1 shingles. Two relatio
 
 * within a list, sets are sorted by size and cut into blocks; a block whose size and position bound cannot reach the
   threshold with the probing set is skipped whole;
-* for a few turns each set is compared with one leader (the set that leads most of its lists). Sets linked to a leader are
-  one component, so their pairs need no look; for the others the first leader's computed distance d decides by the
-  triangle inequality: |d(x, leader) - d(y, leader)| > 1/4 rules a pair out.
+* for a few turns each set is compared with one leader (the set that leads most of its lists; a list is led by a set that
+  shares much of its prefix, the middle of a group of near copies). Sets linked to a leader are one component, so their pairs
+  need no look; for the others the first leader's computed distance d decides by the triangle inequality:
+  |d(x, leader) - d(y, leader)| > 1/4 rules a pair out.
 
-Only pairs of different components that survive both are compared, which finds every component exactly.
+Each set also carries the parities of its shingles in 256 hash cells. Two sets differ in at least as many shingles as cells,
+which rules out most pairs of a group of near copies that lie a little too far apart.
+
+Only pairs of different components that survive both are compared. One link joins two components, so a list first gives the
+closest pairs of every two components, and what these join is not looked at again; the last round holds every pair still
+open, which finds every component exactly.
 """
 from __future__ import annotations
 
@@ -25,10 +31,15 @@ THRESHOLD = 75          # per cent
 LOCAL = 4               # a shingle in so many different sets of one chunk of a task is reported ...
 FREQUENT = 64           # ... and is frequent if the reports add up to this much
 MOST_FREQUENT = 1 << 20  # bound of the table of frequent shingles that every task receives
+SHORT = 32              # sets of lists that are paired many lists at once
 BLOCK = 128             # sets of a block in a list
-TURNS = 4               # rounds of comparisons with leaders before the remaining pairs are listed
+CLASSES = 8             # of sets by the share of their prefix that others have; a list's leader is of its highest class
+TURNS = 2               # rounds of comparisons with leaders before pairs are listed
+ROUNDS = (2, None)      # pairs that a list gives of every two components, round by round; the last round gives all
+MARKS = ("m0", "m1", "m2", "m3")  # 256 parity bits of a set
+HELD = 200_000          # pairs of a list that are held before the closest are chosen
 PIECE = 2048            # sets compared with one leader in one task
-FEW_IDS = 1_000_000     # document ids that may be broadcast (8 MB)
+FEW_IDS = 1_000_000     # document ids that may be broadcast with their leaders
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -50,13 +61,28 @@ def sets_of(batch: pa.RecordBatch, most: int = 4_000_000):
         yield i, j, hashes, ends, np.diff(ends), set_ids(hashes, ends)
 
 
+def parities(hashes: np.ndarray, at: np.ndarray) -> list:
+    """For each set 256 bits in four columns: whether an odd number of its members falls into the cell."""
+    cell = mix(hashes ^ np.uint64(0xE7037ED1A0B428DB))
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    some = np.flatnonzero(np.diff(at))
+    out = []
+    for k in range(len(MARKS)):
+        word = np.zeros(len(at) - 1, np.uint64)
+        if len(some):
+            word[some] = np.bitwise_xor.reduceat(np.where((cell >> np.uint64(6)) % np.uint64(len(MARKS)) == k, bit, np.uint64(0)), at[some])
+        out.append(word.view(np.int64))
+    return out
+
+
 def describe(batches):
-    """(doc_id, n, sid): one row per document."""
+    """(doc_id, n, sid, parities): one row per document."""
     for b in batches:
-        n, sid = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-        for i, j, _, _, size, ids in sets_of(b):
-            n[i:j], sid[i:j] = size, ids
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(sid)], ["doc_id", "n", "sid"])
+        cols = [np.zeros(len(b), np.int64) for _ in range(2 + len(MARKS))]
+        for i, j, hashes, ends, size, ids in sets_of(b):
+            for c, part in zip(cols, (size, ids, *parities(hashes, ends))):
+                c[i:j] = part
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols)], ["doc_id", "n", "sid", *MARKS])
 
 
 def report(batches):
@@ -134,64 +160,142 @@ def within(a: str, b: str):
     return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
-def cross_pairs(batches):
-    """Sorted postings (h, sid, n, pos, comp, leader, far) -> (a, b) of different components that may be linked."""
+def cross_pairs(batches, most: int | None = None):
+    """Sorted postings (h, sid, n, pos, comp, leader, far, parities) -> (a, b, lists held back): pairs of different components
+    that may be linked. With ``most``, each list gives so many of the closest pairs of every two components; the shingles of
+    lists that had more come along."""
+    for cols, cuts in lists(batches):
+        short = np.diff(cuts) <= SHORT
+        for size in np.unique(np.diff(cuts)[short]):
+            if size < 2:
+                continue
+            i, j = np.triu_indices(size, 1)
+            starts = cuts[:-1][np.diff(cuts) == size]
+            i, j = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+            n, pos = cols[2], cols[3]
+            swap = (n[j] < n[i]) | ((n[j] == n[i]) & (pos[j] < pos[i]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            keep = early(n, pos)[i]
+            best = Closest(most)
+            best.add(*likely(cols, i[keep], j[keep]))
+            yield from best.pairs()
+        for lo, hi in zip(cuts[:-1][~short], cuts[1:][~short]):
+            best = Closest(most)
+            for found in blocks([c[lo:hi] for c in cols]):
+                best.add(*found)
+                if most is None:
+                    yield from best.pairs()
+            yield from best.pairs()
+
+
+def early(n, pos):
+    """Of a pair, the set of fewer shingles must share one of its first n - ceil(2t/(1+t) n) + 1."""
+    return pos <= n - (2 * THRESHOLD * n.astype(np.int64) + 99 + THRESHOLD) // (100 + THRESHOLD)
+
+
+def likely(cols, i, j):
+    """(list, components, unlikeness, ids) of the pairs (i, j) of postings of one list that no bound rules out; i is the set
+    of fewer shingles."""
+    t = THRESHOLD / 100
+    h, sid, n, pos, comp, leader, far, *marks = cols
+    shared = np.minimum(n[j] - pos[j], n[i] - pos[i])
+    ok = (comp[j] != comp[i]) & (n[j] * t <= n[i]) & (shared >= (n[i] + n[j]) * t / (1 + t) - 1e-6)
+    ok &= (leader[j] != leader[i]) | (np.abs(far[j] - far[i]) <= 1 - t + 1e-9)
+    ok &= (leader[j] != sid[i]) & (sid[j] != leader[i])
+    i, j, shared = i[ok], j[ok], shared[ok]
+    # linked sets of sizes p and q differ in at most (1-t)/(1+t) (p+q) shingles
+    unlike = sum((np.bitwise_count((m[j] ^ m[i]).view(np.uint64)).astype(np.int64) for m in marks), np.zeros(len(i), np.int64))
+    ok = (100 + THRESHOLD) * unlike <= (100 - THRESHOLD) * (n[j].astype(np.int64) + n[i])
+    i, j, shared = i[ok], j[ok], shared[ok]
+    score = shared / np.maximum(n[i] + n[j] - shared, 1) + (n[j] - pos[j]) / n[j] / 1000
+    return (h[i], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), -score,
+            np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]))
+
+
+def blocks(cols):
+    """``likely`` pairs of one long list: each early set against the blocks of larger sets that are not skipped."""
     t = THRESHOLD / 100
-    slack = 1 - t + 1e-9
-    for h, sid, n, pos, comp, leader, far in lists(batches):
-        order = np.lexsort((pos, n))
-        sid, n, pos, comp, leader, far = (c[order] for c in (sid, n, pos, comp, leader, far))
-        starts = np.arange(0, len(sid), BLOCK)
-        smallest, largest = n[starts], n[np.minimum(starts + BLOCK, len(sid)) - 1]
-        room = np.maximum.reduceat(n - pos, starts)      # what a block's sets can still share from this shingle on
-        # of a pair, the set of fewer shingles must share one of its first n - ceil(2t/(1+t) n) + 1
-        early = pos <= n - (2 * THRESHOLD * n.astype(np.int64) + 99 + THRESHOLD) // (100 + THRESHOLD)
-        for i in np.flatnonzero(early):
-            for k in range(i // BLOCK, len(starts)):
-                if smallest[k] * t > n[i]:
-                    break                                 # sizes only grow
-                if min(n[i] - pos[i], room[k]) < (n[i] + smallest[k]) * t / (1 + t) - 1e-6:
-                    continue                              # no position in the block leaves enough shared shingles
-                lo, hi = max(i + 1, starts[k]), min(starts[k] + BLOCK, len(sid))
-                j = slice(lo, hi)
-                ok = (comp[j] != comp[i]) & (n[j] * t <= n[i]) & (
-                    np.minimum(n[j] - pos[j], n[i] - pos[i]) >= (n[i] + n[j]) * t / (1 + t) - 1e-6)
-                ok &= (leader[j] != leader[i]) | (np.abs(far[j] - far[i]) <= slack)
-                ok &= (leader[j] != sid[i]) & (sid[j] != leader[i])
-                if ok.any():
-                    other = sid[j][ok]
-                    yield np.minimum(other, sid[i]), np.maximum(other, sid[i])
+    order = np.lexsort((cols[3], cols[2]))
+    cols = [c[order] for c in cols]
+    n, pos = cols[2], cols[3]
+    starts = np.arange(0, len(n), BLOCK)
+    smallest = n[starts]
+    room = np.maximum.reduceat(n - pos, starts)      # what a block's sets can still share from this shingle on
+    for i in np.flatnonzero(early(n, pos)):
+        near = np.arange(i // BLOCK, np.searchsorted(smallest * t, n[i], "right"))  # sizes only grow
+        # blocks with a position that leaves enough shared shingles
+        near = near[np.minimum(n[i] - pos[i], room[near]) >= (n[i] + smallest[near]) * t / (1 + t) - 1e-6]
+        j = (starts[near][:, None] + np.arange(BLOCK)).ravel()
+        j = j[(j > i) & (j < len(n))]
+        if len(j):
+            yield likely(cols, np.full(len(j), i), j)
 
 
 def lists(batches):
-    """One list after another from batches sorted by shingle."""
+    """(columns, cuts) of whole lists, one after another, from batches sorted by shingle."""
     held = None
     for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "sid", "n", "pos", "comp", "leader", "far")]
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "sid", "n", "pos", "comp", "leader", "far", *MARKS)]
         if held is not None:
             cols = [np.concatenate((a, c)) for a, c in zip(held, cols)]
         h = cols[0]
         if not len(h):
             continue
         cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        for lo, hi in zip(cuts, cuts[1:]):
-            yield [c[lo:hi] for c in cols]
+        if len(cuts) > 1:
+            yield cols, cuts
         held = [c[cuts[-1]:] for c in cols]
     if held is not None:
-        yield held
-
-
-def emit_cross(batches):
-    a, b, size = [], [], 0
-    for x, y in cross_pairs(batches):
-        a.append(x)
-        b.append(y)
-        size += len(x)
-        if size > 100_000:
+        yield held, np.array([0, len(held[0])])
+
+
+class Closest:
+    """The ``most`` closest pairs of every two components in each list (None: all of them)."""
+
+    def __init__(self, most):
+        self.most, self.parts, self.size, self.more = most, [], 0, []
+
+    def add(self, *cols):
+        if len(cols[0]):
+            self.parts.append(cols)
+            self.size += len(cols[0])
+        if self.size > HELD and self.most is not None:
+            self.choose()
+
+    def choose(self):
+        cols = [np.concatenate(c) for c in zip(*self.parts)]
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]))
+        head = np.flatnonzero(new)
+        keep = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order)))) < self.most
+        self.more += np.unique(cols[0][~keep]).tolist()
+        self.parts, self.size = [[c[keep] for c in cols]], 0  # counts what comes on top
+
+    def pairs(self):
+        if self.parts:
+            if self.most is not None:
+                self.choose()
+            yield np.concatenate([p[4] for p in self.parts]), np.concatenate([p[5] for p in self.parts]), sorted(set(self.more))
+            self.parts, self.size = [], 0
+
+
+def emit_cross(most: int | None = None):
+    """Postings -> (a, b) as ``cross_pairs`` gives them; (NULL, shingle) of each list that held pairs back."""
+    def run(batches):
+        a, b, size = [], [], 0
+        for x, y, more in cross_pairs(batches, most):
+            a.append(x)
+            b.append(y)
+            size += len(x)
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array(more, pa.int64())], ["a", "b"])
+            if size > 100_000:
+                yield pair_batch(a, b)
+                a, b, size = [], [], 0
+        if size:
             yield pair_batch(a, b)
-            a, b, size = [], [], 0
-    if size:
-        yield pair_batch(a, b)
+    return run
 
 
 def pair_batch(a, b):
@@ -199,31 +303,22 @@ def pair_batch(a, b):
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def pack_sets(batches):
-    """(sid, n, members): sorted hashes as bytes, each set once per batch."""
-    for b in batches:
-        seen: set = set()
-        ids, ns, blobs = [], [], []
-        for _, _, hashes, ends, n, sids in sets_of(b):
-            for d in np.flatnonzero(fresh(sids, seen)):
-                ids.append(sids[d])
-                ns.append(n[d])
-                blobs.append(hashes[ends[d]:ends[d + 1]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(blobs, pa.binary())],
-                                         ["sid", "n", "members"])
-
-
 def compare(batches):
-    """Rows sorted by (a, piece, leader first): each member set against its leader -> (a, b, both, na, nb)."""
+    """Texts sorted by (a, piece, leader first): the set of each against its leader's -> (a, b, both, na, nb).
+
+    A text whose set is not ``a`` leads nothing (a repeated id may have other texts); any other comparison is true of its sets."""
     key, lead = None, None
     for batch in batches:
+        a, piece, role = (batch.column(c).to_numpy() for c in ("a", "piece", "role"))
         out = []
-        for a, piece, b, role, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "piece", "b", "role", "members"))):
-            s = np.frombuffer(blob, np.uint64)
-            if role == 0:
-                key, lead = (a, piece), s
-            elif key == (a, piece):
-                out.append((a, b, shared_members(s, lead), len(lead), len(s)))
+        for i, _, hashes, ends, n, sids in sets_of(batch):
+            for d in range(len(n)):
+                at, s = (a[i + d], piece[i + d]), hashes[ends[d]:ends[d + 1]]
+                if role[i + d] == 0:
+                    if sids[d] == at[0]:
+                        key, lead = at, s.copy()
+                elif key == at and len(s) and sids[d] != at[0]:
+                    out.append((at[0], sids[d], shared_members(s, lead), len(lead), len(s)))
         cols = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "both", "na", "nb"])
 
@@ -233,18 +328,26 @@ def shared_members(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) pairs of set ids -> (a, b, both, na, nb). Sets travel to the leader ``a``; a leader of many pairs is repeated
-    for every PIECE of them, so no task holds more than one piece of a hot leader."""
-    from pyspark.sql import Window
+def verified(pairs: DataFrame, texts: DataFrame, described: DataFrame) -> DataFrame:
+    """(a, b) pairs of set ids -> (a, b, both, na, nb). The text of one document of each set travels to the leader ``a``, where
+    the sets are made again (a text takes less room in a shuffle than its hashes); a leader of many pairs is repeated for every
+    PIECE of them, so no task holds more than one piece of a hot leader.
+
+    The ids of these documents are broadcast with their leaders while they are few (checked), so that only texts on their way
+    leave the scan; beyond that, texts and ids meet in a shuffle."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     pieces = sizes.select("a", F.ceil(F.col("m") / PIECE).cast("int").alias("pieces"))
-    members = pairs.join(pieces, "a").select("a", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int").alias("piece"), "b", F.lit(1).alias("role"))
-    leaders = pieces.select("a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("a").alias("b"), F.lit(0).alias("role"))
-    rows = members.unionByName(leaders).join(sets.select(F.col("sid").alias("b"), "members"), "b")
+    members = pairs.join(pieces, "a").select("a", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int").alias("piece"), F.col("b").alias("sid"), F.lit(1).alias("role"))
+    leaders = pieces.select("a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("a").alias("sid"), F.lit(0).alias("role"))
+    # of a set without any id but NULL, one row is enough: rows of NULL ids are all tried
+    holders = described.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("holder"))
+    ways = written(members.unionByName(leaders).join(holders, "sid").select("holder", "a", "piece", "role").distinct(), "ways")
+    if ways.count() <= FEW_IDS:
+        ways = F.broadcast(ways)
+    rows = texts.join(ways, texts["doc_id"].eqNullSafe(ways["holder"])).select("a", "piece", "role", "text")
     return (rows.repartition(n, "a", "piece").sortWithinPartitions("a", "piece", "role")
-            .select("a", "piece", "b", "role", "members").mapInArrow(compare, "a long, b long, both long, na long, nb long"))
+            .mapInArrow(compare, "a long, b long, both long, na long, nb long").distinct())
 
 
 def plausible(pairs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -257,18 +360,6 @@ def plausible(pairs: DataFrame, postings: DataFrame) -> DataFrame:
     return counted.filter((100 + THRESHOLD) * (F.col("both") + beyond) >= THRESHOLD * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def members(texts: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, n, members) of the sets in ``pairs``, from one document of each. The ids of these documents are broadcast while
-    they are few (checked), so that only their texts leave the scan; beyond that, texts and ids meet in a shuffle."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    holders = described.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi")
-    holders = written(holders.select("doc_id").distinct(), "holders")
-    if holders.count() <= FEW_IDS:
-        holders = F.broadcast(holders)
-    return texts.join(holders, texts["doc_id"].eqNullSafe(holders["doc_id"]), "left_semi").mapInArrow(
-        pack_sets, "sid long, n long, members binary")
-
-
 def linked(v: DataFrame) -> DataFrame:
     return v.filter(100 * F.col("both") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -285,7 +376,11 @@ def with_components(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
 def star_pairs(known: DataFrame, turn: int) -> DataFrame:
     """(a, b): each set with one leader of another component, the one that leads most of its lists. A list's leader is its
     least set under a hash that changes from turn to turn, so the pairs are at most as many as the sets."""
-    leaders = known.groupBy("h").agg(F.min_by(F.struct("sid", "n", "comp"), F.xxhash64("sid", F.lit(turn))).alias("lead"))
+    open_ = F.count(F.lit(1)).alias("open")
+    prefix = F.col("n") - F.ceil(THRESHOLD * F.col("n") / 100) + 1
+    ranks = known.groupBy("sid", "n").agg(open_).select("sid", F.floor(CLASSES * F.col("open") / prefix).alias("rank"))
+    leaders = known.join(ranks, "sid").groupBy("h").agg(
+        F.max_by(F.struct("sid", "n", "comp"), F.struct("rank", F.xxhash64("sid", F.lit(turn)))).alias("lead"))
     star = (known.join(leaders, "h").filter((F.col("comp") != F.col("lead.comp")) & within("n", "lead.n"))
             .groupBy("sid", F.col("lead.sid").alias("leader")).agg(F.count(F.lit(1)).alias("times")))
     return star.groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader")).select(
@@ -298,7 +393,7 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    described = written(texts.mapInArrow(describe, f"doc_id {kind}, n long, sid long"), "sets")
+    described = written(texts.mapInArrow(describe, f"doc_id {kind}, n long, sid long, " + ", ".join(f"{m} long" for m in MARKS)), "sets")
     reports = written(texts.mapInArrow(report, "h long, times long").groupBy("h").agg(F.sum("times").alias("times")), "frequent")
     least = max(FREQUENT, (described.agg(F.sum("n")).first()[0] or 0) // MOST_FREQUENT)
     rows = reports.filter(F.col("times") >= least).select("h").toArrow()
@@ -311,18 +406,31 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = written(plausible(star_pairs(known, turn), postings), "star-pairs")
         if turn and pairs.isEmpty():
             break
-        near = written(verified(pairs, members(texts, described, pairs)), "star-verified")
+        near = written(verified(pairs, texts, described), "star-verified")
         links = linked(near) if links is None else links.unionByName(linked(near))
         if far is None:
-            far = near.select(F.col("b").alias("sid"), F.col("a").alias("leader"),
-                              (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
+            far = near.groupBy(F.col("b").alias("sid")).agg(F.min_by(F.struct(F.col("a").alias("leader"), (
+                1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far")), "a").alias("x")).select("sid", "x.*")
         comp = components(links).toDF("sid", "comp")
-    rest = (with_components(postings, comp).join(far, "sid", "left")
-            .select("h", "sid", "n", "pos", "comp", F.coalesce("leader", "sid").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    crossing = rest.repartition(n, "h").sortWithinPartitions("h").mapInArrow(emit_cross, "a long, b long").distinct()
-    crossing = written(plausible(crossing, postings), "cross-pairs")
-    more = linked(verified(crossing, members(texts, described, crossing)))
-    return described, components(links.unionByName(more)).toDF("sid", "comp")
+    tried, left = None, postings
+    traits = described.filter("n > 0").groupBy("sid").agg(*[F.min(m).alias(m) for m in MARKS]).join(far, "sid", "left")
+    for most in ROUNDS:
+        rest = with_components(left, comp).join(traits, "sid").select(
+            "h", "sid", "n", "pos", "comp", F.coalesce("leader", "sid").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"), *MARKS)
+        crossing = written(rest.repartition(n, "h").sortWithinPartitions("h").mapInArrow(emit_cross(most), "a long, b long").distinct(), "crossing")
+        fresh_ = crossing.filter("a is not null")
+        if tried is not None:
+            fresh_ = fresh_.join(tried, ["a", "b"], "left_anti")
+        pairs = written(plausible(fresh_, postings), "cross-pairs")
+        more = linked(written(verified(pairs, texts, described), "cross-verified"))
+        links = links.unionByName(more)
+        comp = components(links).toDF("sid", "comp")
+        held_back = crossing.filter("a is null").select(F.col("b").alias("h"))
+        if held_back.isEmpty():
+            break
+        tried = fresh_ if tried is None else tried.unionByName(fresh_)
+        left = postings.join(held_back, "h", "left_semi")  # the other lists gave every pair
+    return described.select("doc_id", "n", "sid"), comp
 
 
 def grouped(docs: DataFrame) -> DataFrame:

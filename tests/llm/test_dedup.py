@@ -117,6 +117,47 @@ def test_components_with_frequent_shingles_and_small_blocks(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.grouped(docs(spark, rows)).collect()), key=str) == brute_sets(rows)
 
 
+def test_components_with_long_lists_and_held_back_pairs(spark, monkeypatch):
+    for name, value in (("SHORT", 2), ("HELD", 5), ("ROUNDS", (1, 2, None)), ("TURNS", 1), ("BLOCK", 4), ("FEW_IDS", 3)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    rows = sample_rows(5) + near_copies(120)
+    assert sorted(map(tuple, jaccard.grouped(docs(spark, rows)).collect()), key=str) == brute_sets(rows)
+
+
+def near_copies(n):
+    """Copies of one text, each with some words replaced and some with the end cut off."""
+    r = random.Random(8)
+    base = ["v%d" % r.randrange(3000) for _ in range(80)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(r.randint(0, 5)):
+            t[r.randrange(80)] = "x%d" % r.randrange(10 ** 6)
+        rows.append((5000 + i, " ".join(t[:80 - r.choice((0, 0, 0, 4, 8, 12))])))
+    return rows
+
+
+def test_pairs_of_near_copies_grow_with_the_group(spark, monkeypatch):
+    counts = []
+    cut = jaccard.written
+    listed = lambda df, name: (lambda out: (name == "cross-pairs" and counts.append(out.count()), out)[1])(cut(df, name))
+    monkeypatch.setattr(jaccard, "written", listed)
+    rows = near_copies(600)
+    assert sorted(map(tuple, jaccard.grouped(docs(spark, rows)).collect()), key=str) == brute_sets(rows)
+    assert sum(counts) < 4 * len(rows)
+
+
+def test_hash_cells_never_exceed_the_difference():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 400, r.integers(0, 300)).astype(np.uint64)) for _ in range(40)]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    marks = jaccard.parities(np.concatenate(sets), at)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            cells = sum((int(m[i] ^ m[j]) & (1 << 64) - 1).bit_count() for m in marks)
+            assert cells <= len(np.setxor1d(x, y)) and (i != j or cells == 0)
+
+
 def test_one_of_each_keeps_columns_and_lone_rows(spark):
     rows = sample_rows(6)
     kept = jaccard.one_of_each(docs(spark, rows))
