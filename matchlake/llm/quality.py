@@ -18,6 +18,7 @@ LOW, HIGH = 0.01, 0.99       # quantiles of trusted perplexity; HIGH also of tru
 NEAR = 4                     # words before a word that it may repeat
 FEW_IDS = 1_000_000          # trusted ids that may be broadcast (8 MB)
 PAD = "\x02"                 # before the first character
+SCORED = 200_000             # bytes of text scored at once, whose arrays stay in the processor's cache
 SLOTS = 20                   # bits of the direct-mapped tables of n-grams in a task
 
 
@@ -34,11 +35,11 @@ def gram_keys(points: np.ndarray, offsets: np.ndarray, salts: np.ndarray):
     length = np.diff(offsets) - (ORDER - 1)
     doc = np.repeat(np.arange(len(length)), length)
     start = np.arange(len(doc)) + doc * (ORDER - 1)
-    key = salts[doc].copy()
     wide = points.astype(np.uint64) + np.uint64(1)
-    for d in range(ORDER):
-        key += wide[start + d] * factors[d]
-    return mix(key), start, doc
+    sums = np.zeros(max(len(points) - ORDER + 1, 0), np.uint64)
+    for d in range(ORDER):  # at every place, also across texts; the places of real characters are taken after that
+        sums += wide[d:d + len(sums)] * factors[d]
+    return mix(sums[start] + np.repeat(salts, length)), start, doc
 
 
 def lang_salt(langs: list) -> np.ndarray:
@@ -65,7 +66,8 @@ def count_grams(batches):
 
 
 def gram_rows(points, start, doc, langs, key, first, n):
-    grams = ["".join(map(chr, points[s:s + ORDER])) for s in start[first]]
+    joined = points[start[first][:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le", "surrogatepass")
+    grams = [joined[s:s + ORDER] for s in range(0, len(joined), ORDER)]
     return pa.RecordBatch.from_arrays(
         [pa.array([langs[d] or "" for d in doc[first]], pa.string()), pa.array(grams, pa.string()),
          pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "key", "n"])
@@ -150,6 +152,26 @@ def resolved(corpus_grams: DataFrame, counts: DataFrame) -> DataFrame:
     return below.mapInArrow(with_keys, "key long, logp double")
 
 
+def bucket_starts(keys: np.ndarray) -> np.ndarray:
+    """First place in the sorted ``keys`` of each value of their SLOTS leading bits, and the end."""
+    return np.concatenate(([0], np.cumsum(np.bincount((keys >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS))))
+
+
+def positions(keys: np.ndarray, begin: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted key in the sorted ``keys``, -1 if it is not there: a walk through the few keys of its bucket."""
+    bucket = (wanted >> np.uint64(64 - SLOTS)).astype(np.int64)
+    at, end = begin[bucket], begin[bucket + 1]
+    out = np.full(len(wanted), -1)
+    open_ = np.flatnonzero(at < end)
+    while len(open_):
+        here = at[open_]
+        hit = keys[here] == wanted[open_]
+        out[open_[hit]] = here[hit]
+        at[open_] += 1
+        open_ = open_[~hit & (here + 1 < end[open_])]
+    return out
+
+
 def echoes(texts: pa.Array) -> np.ndarray:
     """Share of the words of each text that repeat one of the NEAR words before; zero without words."""
     word, doc = word_hashes(*utf8(texts))
@@ -182,23 +204,23 @@ def perplexities(docs: DataFrame, grams: DataFrame, block: int = SHARD_GRAMS) ->
             bits = np.uint64(64 - SLOTS)
             slot = np.zeros(1 << SLOTS, np.uint64)
             value = np.zeros(1 << SLOTS)
+            begin = bucket_starts(keys)
             if len(keys):
                 slot[keys >> bits], value[keys >> bits] = keys, logp
             for b in batches:
                 total = b.column("total").to_numpy().copy()
                 chars = b.column("chars").to_numpy().copy()
                 echo = b.column("echo").to_numpy().copy()
-                for i, j, texts, langs in text_chunks(b):
+                for i, j, texts, langs in text_chunks(b, SCORED):
                     points, at = code_points(texts)
                     key, _, doc = gram_keys(points, at, lang_salt(langs))
                     where = key >> bits
                     got = value[where]
                     other = np.flatnonzero(slot[where] != key)
-                    if len(other) and len(keys):
-                        found = np.minimum(np.searchsorted(keys, key[other]), len(keys) - 1)
-                        got[other] = np.where(keys[found] == key[other], logp[found], 0.0)
-                    elif len(other):
-                        got[other] = 0.0
+                    got[other] = 0.0
+                    if len(keys):
+                        found = positions(keys, begin, key[other])
+                        got[other[found >= 0]] = logp[found[found >= 0]]
                     total[i:j] += np.bincount(doc, got, minlength=j - i)
                     if first:
                         chars[i:j] = np.bincount(doc, minlength=j - i)

@@ -308,3 +308,25 @@ def test_unseen_words_fall_back_to_grams():
     assert language.predict_text("known", model, {})[0] == "a"
     assert language.predict_text("wxyzw", model, {})[0] == "b"
     assert language.predict_text("qx", model, {})[0] == "a"
+
+
+def test_keys_are_found_in_their_buckets():
+    import numpy as np
+    r = np.random.default_rng(4)
+    keys = np.unique(np.concatenate((r.integers(0, 1 << 64, 3000, np.uint64), np.uint64(7 << 44) + r.integers(0, 500, 200, np.uint64),
+                                     np.array([0, (1 << 64) - 1], np.uint64))))
+    wanted = np.concatenate((keys[::2], keys[1::3] + np.uint64(1), r.integers(0, 1 << 64, 100, np.uint64)))
+    for held in (keys, keys[:0]):
+        place = {k: i for i, k in enumerate(held.tolist())}
+        found = quality.positions(held, quality.bucket_starts(held), wanted)
+        assert found.tolist() == [place.get(w, -1) for w in wanted.tolist()]
+
+
+def test_gram_rows_keep_every_character():
+    import numpy as np
+    texts = ["a\x00b\x00", "", "\U0001f600é\x00", "abcdefgh"]
+    points, at = quality.code_points(texts)
+    key, start, doc = quality.gram_keys(points, at, np.arange(4).astype(np.uint64))
+    rows = quality.gram_rows(points, start, doc, ["x", "x", "y", None], key, np.arange(len(key)), np.ones(len(key)))
+    padded = [quality.PAD * (quality.ORDER - 1) + t for t in texts]
+    assert rows.column("gram").to_pylist() == [p[k:k + quality.ORDER] for p, t in zip(padded, texts) for k in range(len(t))]
