@@ -39,7 +39,9 @@ ROUNDS = (2, None)      # pairs that a list gives of every two components, round
 MARKS = ("m0", "m1", "m2", "m3")  # 256 parity bits of a set
 HELD = 200_000          # pairs of a list that are held before the closest are chosen
 PIECE = 2048            # sets compared with one leader in one task
-FEW_IDS = 1_000_000     # document ids that may be broadcast with their leaders
+FEW_IDS = 1_000_000     # ids (of documents, sets or lists) that may be broadcast with a label
+MARKED = 640            # sets of so many shingles carry no parities: linked ones may differ in more cells than any two do
+PART = 1_000_000        # bytes of text whose shingles are made at once; some fifty times as much memory
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -53,7 +55,7 @@ def set_ids(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)), np.uint64(0)).view(np.int64)
 
 
-def sets_of(batch: pa.RecordBatch, most: int = 4_000_000):
+def sets_of(batch: pa.RecordBatch, most: int = PART):
     """(first row, last row, hashes, offsets, n, set ids) for parts of a batch."""
     data, at = utf8(batch.column("text"))
     for i, j in chunks(at, most):
@@ -89,10 +91,11 @@ def report(batches):
     """(h, times): shingles of at least LOCAL different sets of a part of the task."""
     for b in batches:
         seen: set = set()
-        held = []
-        for _, _, hashes, ends, n, ids in sets_of(b):
-            held.append(hashes[np.repeat(fresh(ids, seen), n)])
-        found, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        held = [hashes[np.repeat(fresh(ids, seen), n)] for _, _, hashes, ends, n, ids in sets_of(b)]
+        held = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        held.sort()
+        at = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1], [True]))) if len(held) else np.zeros(1, np.int64)
+        found, times = held[at[:-1]], np.diff(at)
         often = times >= LOCAL
         yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["h", "times"])
 
@@ -155,16 +158,62 @@ def drop_singles(batches):
     yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in (h, sid, n, pos)], ["h", "sid", "n", "pos"])
 
 
-def within(a: str, b: str):
-    """The sizes alone allow the threshold."""
-    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
+def gathered(batches):
+    """Postings of a shuffle partition -> one row per set: its k shared prefix shingles (hs) and their positions (ps)."""
+    cols = stacked(batches, ("sid", "n", "pos", "h"))
+    if cols is None or not len(cols[0]):
+        return
+    order = np.lexsort((cols[2], cols[0]))
+    sid, n, pos, h = (c[order] for c in cols)
+    at = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1], [True])))
+    ends, first = pa.array(at.astype(np.int32)), at[:-1]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(sid[first]), pa.array(n[first]), pa.array(np.diff(at).astype(np.int32)),
+         pa.ListArray.from_arrays(ends, pa.array(h)), pa.ListArray.from_arrays(ends, pa.array(pos))], ["sid", "n", "k", "hs", "ps"])
+
+
+def reachable(na, ka, nb, kb):
+    """The sizes of two sets and the numbers of their shared prefix shingles leave the threshold within reach (as in
+    ``plausible``; two sets share at most the fewer of them)."""
+    least, most = np.minimum(na, nb).astype(np.int64), np.maximum(na, nb).astype(np.int64)
+    beyond = (THRESHOLD * most + 99) // 100 - 1
+    return (100 * least >= THRESHOLD * most) & ((100 + THRESHOLD) * (np.minimum(ka, kb) + beyond) >= THRESHOLD * (least + most))
+
+
+def stars(turn: int):
+    """Whole lists (h, sid, n, k, comp) -> (sid, leader, times): how many lists of each set are led by a set of another component
+    to which it may be linked."""
+    def run(batches):
+        cols = stacked(batches, ("h", "sid", "n", "k", "comp"))
+        if cols is None or not len(cols[0]):
+            return
+        key = mix(cols[1].view(np.uint64) + np.array([turn], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.lexsort((key, CLASSES * cols[3] // np.maximum(prefix_length(cols[2].astype(np.int64)), 1), cols[0]))
+        h, sid, n, k, comp = (c[order] for c in cols)
+        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+        lead = np.repeat(at[1:] - 1, np.diff(at))
+        ok = (comp != comp[lead]) & reachable(n, k, n[lead], k[lead])
+        sid, lead = sid[ok], sid[lead[ok]]
+        order = np.lexsort((lead, sid))
+        sid, lead = sid[order], lead[order]
+        if len(sid):
+            at = np.flatnonzero(np.concatenate(([True], (sid[1:] != sid[:-1]) | (lead[1:] != lead[:-1]), [True])))
+            yield pa.RecordBatch.from_arrays([pa.array(sid[at[:-1]]), pa.array(lead[at[:-1]]), pa.array(np.diff(at))], ["sid", "leader", "times"])
+    return run
 
 
 def cross_pairs(batches, most: int | None = None):
-    """Sorted postings (h, sid, n, pos, comp, leader, far, parities) -> (a, b, lists held back): pairs of different components
+    """Sorted postings (h, sid, n, pos, comp, leader, far, k, parities) -> (a, b, lists held back): pairs of different components
     that may be linked. With ``most``, each list gives so many of the closest pairs of every two components; the shingles of
     lists that had more come along."""
     for cols, cuts in lists(batches):
+        mixed = np.minimum.reduceat(cols[4], cuts[:-1]) != np.maximum.reduceat(cols[4], cuts[:-1])
+        if not mixed.any():
+            continue
+        if not mixed.all():  # lists of one component need no look
+            size = np.diff(cuts)
+            cols = [c[:cuts[-1]][np.repeat(mixed, size)] for c in cols]
+            cuts = np.concatenate(([0], np.cumsum(size[mixed])))
         short = np.diff(cuts) <= SHORT
         for size in np.unique(np.diff(cuts)[short]):
             if size < 2:
@@ -197,15 +246,15 @@ def likely(cols, i, j):
     """(list, components, unlikeness, ids) of the pairs (i, j) of postings of one list that no bound rules out; i is the set
     of fewer shingles."""
     t = THRESHOLD / 100
-    h, sid, n, pos, comp, leader, far, *marks = cols
+    h, sid, n, pos, comp, leader, far, k, *marks = cols
     shared = np.minimum(n[j] - pos[j], n[i] - pos[i])
     ok = (comp[j] != comp[i]) & (n[j] * t <= n[i]) & (shared >= (n[i] + n[j]) * t / (1 + t) - 1e-6)
     ok &= (leader[j] != leader[i]) | (np.abs(far[j] - far[i]) <= 1 - t + 1e-9)
-    ok &= (leader[j] != sid[i]) & (sid[j] != leader[i])
+    ok &= (leader[j] != sid[i]) & (sid[j] != leader[i]) & reachable(n[i], k[i], n[j], k[j])
     i, j, shared = i[ok], j[ok], shared[ok]
     # linked sets of sizes p and q differ in at most (1-t)/(1+t) (p+q) shingles
     unlike = sum((np.bitwise_count((m[j] ^ m[i]).view(np.uint64)).astype(np.int64) for m in marks), np.zeros(len(i), np.int64))
-    ok = (100 + THRESHOLD) * unlike <= (100 - THRESHOLD) * (n[j].astype(np.int64) + n[i])
+    ok = (np.maximum(n[i], n[j]) >= MARKED) | ((100 + THRESHOLD) * unlike <= (100 - THRESHOLD) * (n[j].astype(np.int64) + n[i]))
     i, j, shared = i[ok], j[ok], shared[ok]
     score = shared / np.maximum(n[i] + n[j] - shared, 1) + (n[j] - pos[j]) / n[j] / 1000
     return (h[i], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), -score,
@@ -235,7 +284,7 @@ def lists(batches):
     """(columns, cuts) of whole lists, one after another, from batches sorted by shingle."""
     held = None
     for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "sid", "n", "pos", "comp", "leader", "far", *MARKS)]
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "sid", "n", "pos", "comp", "leader", "far", "k", *MARKS)]
         if held is not None:
             cols = [np.concatenate((a, c)) for a, c in zip(held, cols)]
         h = cols[0]
@@ -342,20 +391,23 @@ def verified(pairs: DataFrame, texts: DataFrame, described: DataFrame) -> DataFr
     leaders = pieces.select("a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("a").alias("sid"), F.lit(0).alias("role"))
     # of a set without any id but NULL, one row is enough: rows of NULL ids are all tried
     holders = described.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("holder"))
-    ways = written(members.unionByName(leaders).join(holders, "sid").select("holder", "a", "piece", "role").distinct(), "ways")
-    if ways.count() <= FEW_IDS:
-        ways = F.broadcast(ways)
+    ways = few(written(members.unionByName(leaders).join(holders, "sid").select("holder", "a", "piece", "role").distinct(), "ways"))
     rows = texts.join(ways, texts["doc_id"].eqNullSafe(ways["holder"])).select("a", "piece", "role", "text")
     return (rows.repartition(n, "a", "piece").sortWithinPartitions("a", "piece", "role")
             .mapInArrow(compare, "a long, b long, both long, na long, nb long").distinct())
 
 
-def plausible(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+def few(rows: DataFrame) -> DataFrame:
+    """Written rows, broadcast in joins while they are few (counted)."""
+    return F.broadcast(rows) if rows.count() <= FEW_IDS else rows
+
+
+def plausible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose shared prefix shingles leave the threshold within reach: beyond the shorter of two prefixes at most
     ceil(3/4 of the larger set) - 1 shingles can be common, and 3/7 of both sizes must be."""
-    pa = postings.select("h", F.col("sid").alias("a"), F.col("n").alias("na"))
-    pb = postings.select("h", F.col("sid").alias("b"), F.col("n").alias("nb"))
-    counted = pairs.join(pa, "a").join(pb, ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    of_a = prefixes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha"))
+    of_b = prefixes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
+    counted = pairs.join(of_b, "b").join(of_a, "a").withColumn("both", F.size(F.array_intersect("ha", "hb")))
     beyond = F.floor((THRESHOLD * F.greatest("na", "nb") + 99) / 100) - 1
     return counted.filter((100 + THRESHOLD) * (F.col("both") + beyond) >= THRESHOLD * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -364,25 +416,19 @@ def linked(v: DataFrame) -> DataFrame:
     return v.filter(100 * F.col("both") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def with_components(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Postings of lists that still hold sets of different components, with the component of each set."""
+def with_components(prefixes: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Sets with their components (a set without links is its own)."""
     if comp is None:
-        return postings.withColumn("comp", F.col("sid"))
-    known = postings.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    open_ = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
-    return known.join(open_, "h", "left_semi")
+        return prefixes.withColumn("comp", F.col("sid"))
+    return prefixes.join(few(comp), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
 
 
 def star_pairs(known: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each set with one leader of another component, the one that leads most of its lists. A list's leader is its
-    least set under a hash that changes from turn to turn, so the pairs are at most as many as the sets."""
-    open_ = F.count(F.lit(1)).alias("open")
-    prefix = F.col("n") - F.ceil(THRESHOLD * F.col("n") / 100) + 1
-    ranks = known.groupBy("sid", "n").agg(open_).select("sid", F.floor(CLASSES * F.col("open") / prefix).alias("rank"))
-    leaders = known.join(ranks, "sid").groupBy("h").agg(
-        F.max_by(F.struct("sid", "n", "comp"), F.struct("rank", F.xxhash64("sid", F.lit(turn)))).alias("lead"))
-    star = (known.join(leaders, "h").filter((F.col("comp") != F.col("lead.comp")) & within("n", "lead.n"))
-            .groupBy("sid", F.col("lead.sid").alias("leader")).agg(F.count(F.lit(1)).alias("times")))
+    """(a, b): each set with one leader of another component, the one that leads most of its lists. A list's leader is the set
+    of its highest class that is largest under a hash that changes from turn to turn, so the pairs are at most as many as the sets."""
+    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    star = (known.select(F.explode("hs").alias("h"), "sid", "n", "k", "comp").repartition(n, "h")
+            .mapInArrow(stars(turn), "sid long, leader long, times long").groupBy("sid", "leader").agg(F.sum("times").alias("times")))
     return star.groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader")).select(
         F.col("leader").alias("a"), F.col("sid").alias("b"))
 
@@ -400,28 +446,33 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     frequent = spark.sparkContext.broadcast(np.sort(rows.column("h").to_numpy().view(np.uint64)))
     postings = written(texts.mapInArrow(lambda b: postings_of(frequent.value)(b), POSTING).repartition(n, "h")
                        .mapInArrow(drop_singles, POSTING), "postings")
+    # one row per set from here on: joins by set move no posting
+    marks = described.filter("n > 0").groupBy("sid").agg(*[F.when(F.min("n") < MARKED, F.min(m)).otherwise(0).alias(m) for m in MARKS])
+    prefixes = written(postings.repartition(n, "sid").mapInArrow(gathered, "sid long, n int, k int, hs array<long>, ps array<int>")
+                       .join(marks, "sid"), "prefixes")
     comp, links, far = None, None, None
     for turn in range(TURNS):
-        known = with_components(postings, comp)
-        pairs = written(plausible(star_pairs(known, turn), postings), "star-pairs")
+        pairs = written(plausible(star_pairs(with_components(prefixes, comp), turn), prefixes), "star-pairs")
         if turn and pairs.isEmpty():
             break
         near = written(verified(pairs, texts, described), "star-verified")
         links = linked(near) if links is None else links.unionByName(linked(near))
         if far is None:
-            far = near.groupBy(F.col("b").alias("sid")).agg(F.min_by(F.struct(F.col("a").alias("leader"), (
-                1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far")), "a").alias("x")).select("sid", "x.*")
+            far = written(near.groupBy(F.col("b").alias("sid")).agg(F.min_by(F.struct(F.col("a").alias("leader"), (
+                1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far")), "a").alias("x")).select("sid", "x.*"), "far")
         comp = components(links).toDF("sid", "comp")
-    tried, left = None, postings
-    traits = described.filter("n > 0").groupBy("sid").agg(*[F.min(m).alias(m) for m in MARKS]).join(far, "sid", "left")
+    tried, held_back = None, None
     for most in ROUNDS:
-        rest = with_components(left, comp).join(traits, "sid").select(
-            "h", "sid", "n", "pos", "comp", F.coalesce("leader", "sid").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"), *MARKS)
+        rest = with_components(prefixes, comp).join(few(far), "sid", "left")
+        rest = rest.select(F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("pos"))), "sid", "n", "comp",
+                           F.coalesce("leader", "sid").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"), "k", *MARKS)
+        if held_back is not None:
+            rest = rest.join(few(held_back), "h", "left_semi")  # the other lists gave every pair
         crossing = written(rest.repartition(n, "h").sortWithinPartitions("h").mapInArrow(emit_cross(most), "a long, b long").distinct(), "crossing")
         fresh_ = crossing.filter("a is not null")
         if tried is not None:
             fresh_ = fresh_.join(tried, ["a", "b"], "left_anti")
-        pairs = written(plausible(fresh_, postings), "cross-pairs")
+        pairs = written(plausible(fresh_, prefixes), "cross-pairs")
         more = linked(written(verified(pairs, texts, described), "cross-verified"))
         links = links.unionByName(more)
         comp = components(links).toDF("sid", "comp")
@@ -429,7 +480,6 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held_back.isEmpty():
             break
         tried = fresh_ if tried is None else tried.unionByName(fresh_)
-        left = postings.join(held_back, "h", "left_semi")  # the other lists gave every pair
     return described.select("doc_id", "n", "sid"), comp
 
 

@@ -4,8 +4,10 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from matchlake.llm import jaccard, suffixes
@@ -147,6 +149,42 @@ def test_pairs_of_near_copies_grow_with_the_group(spark, monkeypatch):
     assert sum(counts) < 4 * len(rows)
 
 
+def test_postings_are_dealt_by_shingle_once_a_turn(spark, monkeypatch):
+    plans, cut = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), cut(df, name))[1])
+    rows = sample_rows(7) + long_texts()
+    assert sorted(map(tuple, jaccard.grouped(docs(spark, rows)).collect()), key=str) == brute_sets(rows)
+    dealt = {name: len(re.findall(r"Exchange hashpartitioning\(h#", plan)) for name, plan in plans.items()}
+    assert dealt["star-pairs"] == dealt["crossing"] == 1 and dealt["cross-pairs"] == 0
+
+
+def long_texts():
+    """Chains of texts of about as many words as sets that carry no parities have, linked and not quite linked."""
+    r, rows = random.Random(9), []
+    for k, words in enumerate((500, 620, 645, 800, 1000)):
+        base = ["l%d" % r.randrange(10 ** 6) for _ in range(words)]
+        for i, changes in enumerate((0, words // 40, words // 36, words // 30, words // 20)):
+            t = list(base[:words - 25 * i])
+            for at in r.sample(range(len(t)), changes):
+                t[at] = "y%d" % r.randrange(10 ** 6)
+            rows.append((8000 + 10 * k + i, " ".join(t)))
+    return rows
+
+
+def test_memory_of_making_sets_does_not_follow_the_batch():
+    r = np.random.default_rng(4)
+    words = np.array(["w%d" % i for i in range(5000)])
+    texts = [" ".join(words[r.integers(0, 5000, 400)]) for _ in range(1600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1600)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        list(jaccard.describe([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 3_000_000 and peak < 80e6
+
+
 def test_hash_cells_never_exceed_the_difference():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 400, r.integers(0, 300)).astype(np.uint64)) for _ in range(40)]
