@@ -45,7 +45,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES, n_terms
     sample = sample_of(docs, labels, per_class)
 
     def vectors(batches):
-        for b in batches:
+        for b in (x.slice(k, 200) for x in batches for k in range(0, len(x), 200)):  # a row for each term of few texts at a time
             rows = [(i, y, s, t, n) for i, y, s, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "size", "text")))
                     for t, n in terms_of(text).items()]
             cols = list(zip(*rows)) or [[]] * 5
