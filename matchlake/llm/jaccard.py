@@ -6,9 +6,10 @@ Jaccard of 3/4 share one of their first n - ceil(3n/4) + 1 shingles. Two relatio
 
 * within a list, sets are sorted by size and cut into blocks; a block whose size and position bound cannot reach the
   threshold with the probing set is skipped whole;
-* for a few turns each set is compared with one leader (the set that leads most of its lists; a list is led by a set that
-  shares much of its prefix, the middle of a group of near copies). Sets linked to a leader are one component, so their pairs
-  need no look; for the others the first leader's computed distance d decides by the triangle inequality:
+* for a few turns each set is compared with one leader (the set that leads most of a few of its lists, drawn by hash so that
+  near copies draw mostly the same; a list is led by a set that shares much of its prefix, the middle of a group of near
+  copies). Sets linked to a leader are one component, so their pairs need no look; for the others the first leader's computed
+  distance d decides by the triangle inequality:
   |d(x, leader) - d(y, leader)| > 1/4 rules a pair out.
 
 Each set also carries the parities of its shingles in 256 hash cells. Two sets differ in at least as many shingles as cells,
@@ -34,6 +35,7 @@ MOST_FREQUENT = 1 << 20  # bound of the table of frequent shingles that every ta
 SHORT = 32              # sets of lists that are paired many lists at once
 BLOCK = 128             # sets of a block in a list
 CLASSES = 8             # of sets by the share of their prefix that others have; a list's leader is of its highest class
+VOTES = 8               # lists by which a set finds its leader in a turn
 TURNS = 2               # rounds of comparisons with leaders before pairs are listed
 ROUNDS = (2, None)      # pairs that a list gives of every two components, round by round; the last round gives all
 MARKS = ("m0", "m1", "m2", "m3")  # 256 parity bits of a set
@@ -181,8 +183,8 @@ def reachable(na, ka, nb, kb):
 
 
 def stars(turn: int):
-    """Whole lists (h, sid, n, k, comp) -> (sid, leader, times): how many lists of each set are led by a set of another component
-    to which it may be linked."""
+    """Whole lists of the sets that drew them (h, sid, n, k, comp) -> (sid, leader, times): how many lists of each set are led by
+    a set of another component to which it may be linked."""
     def run(batches):
         cols = stacked(batches, ("h", "sid", "n", "k", "comp"))
         if cols is None or not len(cols[0]):
@@ -424,10 +426,16 @@ def with_components(prefixes: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def star_pairs(known: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each set with one leader of another component, the one that leads most of its lists. A list's leader is the set
-    of its highest class that is largest under a hash that changes from turn to turn, so the pairs are at most as many as the sets."""
+    """(a, b): each set with one leader of another component, the one that leads most of the lists it draws. A list's leader is
+    the set of its highest class that is largest under a hash that changes from turn to turn, so the pairs are at most as many
+    as the sets.
+
+    A set draws the lists of its VOTES shingles that are smallest under another such hash: its lists lie in as many tasks as
+    there are, where hardly any of their leaders could be counted together. The draw only decides which pairs are tried first;
+    the lists of ``cross_pairs`` are whole."""
     n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    star = (known.select(F.explode("hs").alias("h"), "sid", "n", "k", "comp").repartition(n, "h")
+    keyed = F.array_sort(F.transform("hs", lambda h: F.struct(F.xxhash64(h, F.lit(turn)).alias("key"), h.alias("h"))))
+    star = (known.select(F.explode(F.slice(keyed, 1, VOTES)["h"]).alias("h"), "sid", "n", "k", "comp").repartition(n, "h")
             .mapInArrow(stars(turn), "sid long, leader long, times long").groupBy("sid", "leader").agg(F.sum("times").alias("times")))
     return star.groupBy("sid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader")).select(
         F.col("leader").alias("a"), F.col("sid").alias("b"))

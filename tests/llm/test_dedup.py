@@ -149,6 +149,32 @@ def test_pairs_of_near_copies_grow_with_the_group(spark, monkeypatch):
     assert sum(counts) < 4 * len(rows)
 
 
+def test_votes_for_leaders_do_not_grow_with_lists_or_tasks(spark, monkeypatch):
+    made, stars = spark.sparkContext.accumulator(0), jaccard.stars
+
+    def counted(turn):
+        run = stars(turn)
+
+        def counting(batches):
+            for b in run(batches):
+                made.add(b.num_rows)
+                yield b
+        return counting
+
+    monkeypatch.setattr(jaccard, "stars", counted)
+    r = random.Random(11)
+    shingles = [r.randrange(-2 ** 63, 2 ** 63) for _ in range(80)]
+    known = [(sid, 240, 61, r.sample(shingles, 61), sid) for sid in range(1, 201)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        pairs = jaccard.star_pairs(spark.createDataFrame(known, "sid long, n int, k int, hs array<long>, comp long"), 0).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < made.value <= 8 * len(known)
+    assert len({p.b for p in pairs}) == len(pairs) >= len(known) - 1 and all(p.a != p.b for p in pairs)
+
+
 def test_postings_are_dealt_by_shingle_once_a_turn(spark, monkeypatch):
     plans, cut = {}, jaccard.written
     monkeypatch.setattr(jaccard, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), cut(df, name))[1])
