@@ -186,3 +186,74 @@ def test_stream_late_result_and_restart(spark, tmp_path):
     log.compact()
     assert log.snapshot() == 1 and {r.match_id: r.my_result for r in log.current()["matches"].collect()} == want
     assert spark.read.parquet(f"{root}/quarantine").count() == 1
+
+
+def parsed(spark, lines):
+    df = spark.createDataFrame([("f", 0, i, t) for i, t in enumerate(lines)], "file string, chunk long, pos long, text string")
+    return LG.parse_payloads(LG.assemble_records(df)).withColumn("owner", F.lit("o"))
+
+
+def test_events_leave_their_text_behind_and_lie_by_kind(spark):
+    events = SE.segment(parsed(spark, [start("m", T), turn(1, 1), done(T + 9), P + '{"constructedClass":"Gold"}']))
+    assert "text" not in events.columns
+    assert {f.split("kind=")[1].split("/")[0] for f in events.inputFiles() if "kind=" in f} == {
+        str(sum(SE.BITS[n] for n in names)) for names in (["start", "roster"], ["state"], ["completion"], ["rank"])}
+    assert [r.user_id for r in SE.votes_from(events).orderBy("user_id").collect()] == [ME, OPP]
+
+
+def test_very_long_strings_are_read(spark):
+    long = 'a{\\"' * 60_000
+    row = parsed(spark, [P + '{"finalMatchResult":{"matchId":"m","resultList":[]}} {"note":"%s"}' % long]).orderBy("part").collect()
+    assert [(r.part, r.bad) for r in row][0] == (0, False) and row[0].p.finalMatchResult.matchId == "m"
+
+
+@pytest.mark.parametrize("text, body, several", [
+    ('a {"x":1} b', '{"x":1}', False), ("} {", "", False), ("none", "", False), ('{"a":"}x{"}', '{"a":"}x{"}', False),
+    ('{"a":1} {"b":2}', '{"a":1} {"b":2}', True), ('é{"a":{"b":1},"c":"é}y"} z', '{"a":{"b":1},"c":"é}y"}', False), (None, None, None)])
+def test_braced_texts(spark, text, body, several):
+    row = spark.createDataFrame([(text,)], "t string").select(LG.braced(F.col("t")).alias("b")).select("b", LG.has_several(F.col("b")).alias("s")).first()
+    assert (row.b, row.s) == (body, several)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 50])
+def test_depths_follow_the_lines_one_by_one(spark, chunk):
+    import random
+
+    rng = random.Random(7)
+    lines = [rng.choice([P, P, ""]) + rng.choice(["{", "}", "{}", "{{", "}}", "x", '"{"', "}{"]) + str(i) for i in range(120)]
+    want, current, depth = [], [], 0
+    for i, t in enumerate(lines):
+        if t.startswith(P) and current:
+            want.append((current[0], len(current), False))
+            current, depth = [], 0
+        bare = t.replace('"{"', "")
+        depth = max(0, depth + bare.count("{") - bare.count("}"))
+        current.append(i)
+        if depth == 0:
+            want.append((current[0], len(current), True))
+            current = []
+    want += [(current[0], len(current), False)] if current else []
+    df = spark.createDataFrame([("f", i // chunk, i, t) for i, t in enumerate(lines)], "file string, chunk long, pos long, text string")
+    got = LG.assemble_records(df).select("pos", "lines", "closed").collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def most_tasks(spark, group, work):
+    """Tasks of the largest stage of the work."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    out = work()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds]
+    return max((s.numTasks for s in stages if s), default=0), out
+
+
+def test_many_small_logs_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(90):
+        (tmp_path / f"owner={i}").mkdir()
+        (tmp_path / f"owner={i}" / "a.log").write_text(start(f"m{i}", T) + "\n")
+    tasks, records = most_tasks(spark, "many-logs", lambda: LG.assemble_records(
+        LG.distinct_logs(spark, [f"{tmp_path}/*"], F.regexp_extract("path", "owner=([^/]+)/", 1))))
+    assert tasks <= 16 and records.count() == 90
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
