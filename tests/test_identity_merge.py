@@ -146,3 +146,13 @@ def test_pages_found_by_the_index(spark):
     for limit, offset in ((1, 0), (7, 20), (10, 60), (5, 66), (3, 500)):
         got = {(r.player_id, r.position): r.match_id for r in M.page_rows(df, index, limit, offset).collect()}
         assert got == {k: v for k, v in every.items() if offset < k[1] <= offset + limit}
+
+
+def test_rounds_are_written_packed(spark):
+    import glob
+
+    kept = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    edges = spark.createDataFrame([(1, f"i:{i // 2}", f"v:{(i + 1) // 2}") for i in range(40)], "player_id int, a string, b string")
+    before = set(glob.glob(f"{kept}/*/rdd-*"))
+    assert {r.label for r in I.components(edges).collect()} == {"i:0"}
+    assert set(glob.glob(f"{kept}/*/rdd-*")) <= before
