@@ -257,3 +257,16 @@ def test_many_small_logs_are_read_by_few_tasks(spark, tmp_path):
         LG.distinct_logs(spark, [f"{tmp_path}/*"], F.regexp_extract("path", "owner=([^/]+)/", 1))))
     assert tasks <= 16 and records.count() == 90
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_a_stream_reads_many_small_logs_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / "in" / f"owner={i}").mkdir(parents=True)
+        (tmp_path / "in" / f"owner={i}" / "a.log").write_text(start(f"m{i}", T) + "\n")
+    query = start_ingest(spark, f"{tmp_path}/in/*", f"{tmp_path}/facts", f"{tmp_path}/checkpoint", F.regexp_extract("file", "owner=([^/]+)/", 1))
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 16
+    assert FactLog(spark, f"{tmp_path}/facts").raw("starts").count() == 60
